@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from fabtrail.functions.text import let
 from fabtrail.schema import ENTRIES
 
 #: how deep nested objects are unfolded; deeper ones stay JSON values
@@ -59,15 +60,13 @@ def unfold(entries: Column, depth: int = MAX_DEPTH) -> Column:
         )
         return unfold(nested, depth - 1)
 
-    return F.when(
-        F.exists(entries, lambda e: e["kind"] == "O"),
-        F.flatten(
-            F.transform(
-                entries,
-                lambda e: F.when(e["kind"] == "O", members(e)).otherwise(F.array(e)),
-            )
-        ),
-    ).otherwise(entries)
+    def level(found: Column) -> Column:
+        opened = F.transform(
+            found, lambda e: F.when(e["kind"] == "O", members(e)).otherwise(F.array(e))
+        )
+        return F.when(F.exists(found, lambda e: e["kind"] == "O"), F.flatten(opened)).otherwise(found)
+
+    return let(entries, level)
 
 
 def keys(entries: Column) -> Column:
@@ -76,13 +75,19 @@ def keys(entries: Column) -> Column:
 
 def dedupe(entries: Column) -> Column:
     """One entry per key: the place of the first, the value of the last."""
-    names = F.array_distinct(keys(entries))
-    return F.when(
-        F.size(names) < F.size(entries),
-        F.transform(
-            names, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)
-        ),
-    ).otherwise(entries)
+
+    def last(found: Column, names: Column) -> Column:
+        return F.transform(
+            names, lambda k: F.element_at(F.filter(found, lambda e: e["key"] == k), -1)
+        )
+
+    def unique(found: Column) -> Column:
+        return let(
+            F.array_distinct(keys(found)),
+            lambda names: F.when(F.size(names) < F.size(found), last(found, names)).otherwise(found),
+        )
+
+    return let(entries, unique)
 
 
 def json_entries(json: Column) -> Column:
@@ -97,6 +102,7 @@ def as_map(entries: Column) -> Column:
 
 def as_text(entry_col: Column) -> Column:
     """Value as a string field keeps it."""
-    return F.when(entry_col["kind"] == "B", F.initcap(entry_col["value"])).otherwise(
-        entry_col["value"]
+    return let(
+        entry_col,
+        lambda e: F.when(e["kind"] == "B", F.initcap(e["value"])).otherwise(e["value"]),
     )

@@ -17,6 +17,11 @@ LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 _GROUP_SEP = "\x1e"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Remove all leading and trailing whitespace."""
     return F.btrim(col, F.lit(WHITESPACE))
@@ -143,7 +148,7 @@ def json_string(col: Column) -> Column:
 def json_value(entry: Column) -> Column:
     """The value of an entry as JSON text."""
     return F.when(entry["value"].isNull(), F.lit("null")).when(
-        entry["kind"] == "S", json_string(entry["value"])
+        entry["kind"].isin("S", "T"), json_string(entry["value"])
     ).otherwise(entry["value"])
 
 

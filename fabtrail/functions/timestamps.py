@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from fabtrail.functions.text import capture, group, strip
+from fabtrail.functions.text import capture, group, let, strip
 
 _ISO = (
     r"(\d{4}-\d{2}-\d{2})(?:[T ]+(\d{2}:\d{2})(?::(\d{2}))?(?:[.,](\d{1,9}))?"
@@ -36,33 +36,28 @@ _NO_DATE = r"^\d{1,2}:\d{2}:\d{2}$"
 
 def _wall_clock(text: Column, ingest_ts: Column) -> Column:
     """Timestamp of a text in one of the listed shapes; a missing year or date is the run's."""
-    squeezed = F.initcap(F.regexp_replace(strip(text), r"\s+", " "))
-    # initcap puts month names in the case the patterns want, and leaves digits alone
-    squeezed = F.regexp_replace(squeezed, _WEEKDAY, "")
-    hit = F.lit(None).cast("timestamp")
-    for shape, pattern in reversed(_SHAPES):
-        hit = F.when(squeezed.rlike(shape), F.try_to_timestamp(squeezed, F.lit(pattern))).otherwise(
-            hit
-        )
-    year = F.substring(ingest_ts, 1, 4)
-    day = F.substring(ingest_ts, 1, 10)
-    return (
-        F.when(
+
+    def read(squeezed: Column) -> Column:
+        year = F.concat(F.substring(ingest_ts, 1, 4), F.lit(" "))
+        day = F.concat(F.substring(ingest_ts, 1, 10), F.lit(" "))
+        hit = F.when(
             squeezed.rlike(_NO_YEAR),
-            F.try_to_timestamp(F.concat(year, F.lit(" "), squeezed), F.lit("yyyy MMM d HH:mm:ss")),
-        )
-        .when(
+            F.try_to_timestamp(F.concat(year, squeezed), F.lit("yyyy MMM d HH:mm:ss")),
+        ).when(
             squeezed.rlike(_NO_DATE),
-            F.try_to_timestamp(F.concat(day, F.lit(" "), squeezed), F.lit("yyyy-MM-dd H:mm:ss")),
+            F.try_to_timestamp(F.concat(day, squeezed), F.lit("yyyy-MM-dd H:mm:ss")),
         )
-        .otherwise(hit)
-        .cast("timestamp_ntz")
-    )
+        for shape, pattern in _SHAPES:
+            hit = hit.when(squeezed.rlike(shape), F.try_to_timestamp(squeezed, F.lit(pattern)))
+        return hit.cast("timestamp_ntz")
 
+    # initcap puts month names in the case the patterns want, and leaves digits alone
+    squeezed = F.initcap(F.regexp_replace(strip(text), r"\s+", " "))
+    return let(F.regexp_replace(squeezed, _WEEKDAY, ""), read)
 
-def _iso_parts(text: Column) -> tuple[Column, Column, Column]:
-    """(wall clock to the second as ISO text, fraction, offset) of an ISO-like text."""
-    parts = capture(strip(text), _ISO, 5, at_start=True)
+
+def _iso_parts(parts: Column) -> tuple[Column, Column, Column]:
+    """(wall clock to the second as ISO text, fraction, offset) of captured groups."""
     seconds = F.concat(
         group(parts, 1),
         F.lit("T"),
@@ -71,7 +66,7 @@ def _iso_parts(text: Column) -> tuple[Column, Column, Column]:
         F.coalesce(group(parts, 3), F.lit("00")),
     )
     micros = F.rpad(F.left(group(parts, 4), F.lit(6)), 6, "0")
-    fraction = F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(F.lit(""))
+    fraction = F.when(micros != "000000", F.concat(F.lit("."), micros))
     zone = F.upper(F.coalesce(group(parts, 5), F.lit("")))
     offset = (
         F.when(zone == "", F.lit(""))
@@ -83,26 +78,31 @@ def _iso_parts(text: Column) -> tuple[Column, Column, Column]:
 
 def iso_timestamp(text: Column, ingest_ts: Column) -> Column:
     """ISO form of a time text; text that is no known time stays as it is, blank gives null."""
-    seconds, fraction, offset = _iso_parts(text)
-    valid = seconds.try_cast("timestamp_ntz").isNotNull()
-    listed = _wall_clock(text, ingest_ts)
-    return (
-        F.when(text == "", F.lit(None).cast("string"))
-        .when(valid, F.concat(seconds, fraction, offset))
-        .when(listed.isNotNull(), F.date_format(listed, "yyyy-MM-dd'T'HH:mm:ss"))
-        .otherwise(text)
-    )
+
+    def iso(parts: Column) -> Column:
+        seconds, fraction, offset = _iso_parts(parts)
+        known = seconds.try_cast("timestamp_ntz").isNotNull()
+        return F.when(known, F.concat(seconds, fraction, offset))
+
+    def read(raw: Column) -> Column:
+        listed = F.date_format(_wall_clock(raw, ingest_ts), "yyyy-MM-dd'T'HH:mm:ss")
+        parts = capture(strip(raw), _ISO, 5, at_start=True)
+        return F.when(raw != "", F.coalesce(let(parts, iso), listed, raw))
+
+    return let(text, read)
 
 
 def event_time(text: Column, ingest_ts: Column) -> Column:
     """Time text as a zone-less timestamp: UTC where the text has an offset, else wall clock."""
-    seconds, fraction, offset = _iso_parts(text)
-    wall = F.concat(seconds, fraction).try_cast("timestamp_ntz")
-    sign = F.when(F.left(offset, F.lit(1)) == "-", F.lit(1)).otherwise(F.lit(-1))
-    minutes = sign * (
-        F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 5, 2).try_cast("int")
-    )
-    iso = F.when(offset == "", wall).otherwise(
-        F.timestamp_add("MINUTE", F.coalesce(minutes, F.lit(0)), wall)
-    )
-    return F.coalesce(iso, _wall_clock(text, ingest_ts))
+
+    def iso(parts: Column) -> Column:
+        seconds, fraction, offset = _iso_parts(parts)
+        wall = F.concat(seconds, fraction).try_cast("timestamp_ntz")
+        sign = F.when(F.left(offset, F.lit(1)) == "-", F.lit(1)).otherwise(F.lit(-1))
+        hours = F.substring(offset, 2, 2).try_cast("int")
+        minutes = F.substring(offset, 5, 2).try_cast("int")
+        shift = F.coalesce(sign * (hours * 60 + minutes), F.lit(0))
+        return F.when(offset == "", wall).otherwise(F.timestamp_add("MINUTE", shift, wall))
+
+    parts = capture(strip(text), _ISO, 5, at_start=True)
+    return F.coalesce(let(parts, iso), _wall_clock(text, ingest_ts))

@@ -67,13 +67,14 @@ def group_values(numbered: DataFrame, keys: list[str], **aggregates: Column) ->
 
 def with_group_values(numbered: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
     """Numbered rows with aggregates of their group."""
-    values = group_values(numbered, keys, **aggregates)
+    return join_group_values(numbered, group_values(numbered, keys, **aggregates), keys)
+
+
+def join_group_values(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the values of their group, met per slice; null keys are a group too."""
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, SLICE]]
-    return (
-        numbered.alias("l")
-        .join(values.alias("r"), same)
-        .select("l.*", *[f"r.{name}" for name in aggregates])
-    )
+    added = [c for c in values.columns if c not in (*keys, SLICE)]
+    return rows.alias("l").join(values.alias("r"), same).select("l.*", *[f"r.{c}" for c in added])
 
 
 def occurrence_number(df: DataFrame, keys: list[str], name: str) -> DataFrame:
