@@ -62,8 +62,8 @@ def _parsed(df: DataFrame, fmt: str) -> DataFrame:
     "text_round_trip",
     with_logs(
         f"""SELECT id, timestamp, tool_id, severity, {_LOG_TYPE.format("line")} AS log_type,
-          'text' AS source_format, event_name, recipe_id, wafer_id, CAST(NULL AS VARCHAR) AS alarm_code,
-          parameter_name, parameter_value, unit, line AS raw_message, {_SHOWN} AS normalized_message
+          'text' AS source_format, replace(event_name, ' fault', '') AS event_name, recipe_id, wafer_id, CAST(NULL AS VARCHAR) AS alarm_code,
+          parameter_name, parameter_value, unit, line AS raw_message, replace({_SHOWN}, ' fault', '') AS normalized_message
         FROM (SELECT *, {_TEXT_LINE} AS line FROM logs)"""
     ),
 )
@@ -222,7 +222,7 @@ def parquet_scan(spark, sf_dir):
 
 
 _INGEST_SQL = LOGS_SQL + f"""
-SELECT 'text' AS source_format, timestamp, tool_id, severity, {_LOG_TYPE.format("line")} AS log_type, event_name, wafer_id, parameter_value
+SELECT 'text' AS source_format, timestamp, tool_id, severity, {_LOG_TYPE.format("line")} AS log_type, replace(event_name, ' fault', '') AS event_name, wafer_id, parameter_value
   FROM (SELECT *, {_TEXT_LINE} AS line FROM logs)
 UNION ALL SELECT f, timestamp, tool_id, severity, 'info', event_name, wafer_id, parameter_value
   FROM logs, (VALUES ('json'), ('csv'), ('xml'), ('parquet')) v(f)

@@ -43,8 +43,12 @@ def object_entries(json: Column) -> Column:
     """Members of one JSON object in source order; null for anything else."""
     texts = F.map_entries(F.from_json(json, "map<string,string>"))
     kinds = F.map_values(F.from_json(json, "map<string,variant>"))
-    return F.transform(
-        texts, lambda e, i: entry(e["key"], e["value"], _kind_of(F.get(kinds, i)))
+    # bound once: inside the inner function it would be parsed again per member
+    return let(
+        kinds,
+        lambda found: F.transform(
+            texts, lambda e, i: entry(e["key"], e["value"], _kind_of(F.get(found, i)))
+        ),
     )
 
 

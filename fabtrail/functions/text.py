@@ -63,10 +63,11 @@ def capture(col: Column, pattern: str, groups: int, *, at_start: bool = False) -
     lead = "^" if at_start else "^.*?"
     keep = _GROUP_SEP.join(f"${i}" for i in range(1, groups + 1))
     # the marker in front tells a match from an unchanged line
-    parts = F.split(
-        F.regexp_replace(col, f"{lead}(?:{pattern}).*$", f"{_GROUP_SEP}{keep}"), _GROUP_SEP
+    found = F.regexp_replace(col, f"{lead}(?:{pattern}).*$", f"{_GROUP_SEP}{keep}")
+    return let(
+        F.split(found, _GROUP_SEP),
+        lambda parts: F.when(F.size(parts) == groups + 1, F.slice(parts, 2, groups)),
     )
-    return F.when(F.size(parts) == groups + 1, F.slice(parts, 2, groups))
 
 
 def group(captured: Column, number: int) -> Column:

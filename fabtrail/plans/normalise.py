@@ -164,12 +164,19 @@ def _exact(name: str) -> Column:
 
 def unmapped_keys(keys: Column, mapping: Column | None = None) -> Column:
     """Column names that neither the mapping nor the name rules know."""
-    known = lambda k: R.alias_field(k).isNotNull()
+    unknown = F.filter(keys, lambda k: R.alias_field(k).isNull())
     if mapping is None:
-        return F.filter(keys, lambda k: ~known(k))
-    mapped = F.map_keys(F.coalesce(mapping, F.create_map().cast("map<string,string>")))
-    names = F.array_union(mapped, F.transform(mapped, F.lower))
-    return F.filter(keys, lambda k: ~known(k) & ~F.array_contains(names, k))
+        return unknown
+    return X.let(
+        _mapped_names(mapping),
+        lambda names: F.filter(unknown, lambda k: ~F.array_contains(names, k)),
+    )
+
+
+def _mapped_names(mapping: Column) -> Column:
+    """Names a mapping covers: its keys as they are and in lower case."""
+    names = F.coalesce(F.map_keys(mapping), F.array().cast("array<string>"))
+    return F.array_union(names, F.transform(names, F.lower))
 
 
 def normalise_entries(
@@ -220,6 +227,10 @@ def normalise_entries(
             F.concat(e["key"], F.lit("="), e["value"])
         ),
     )
+    # a column without a target is unmapped, unless the mapping has it in another case
+    unmapped = E.keys(F.filter(fields, lambda e: e["target"].isNull()))
+    if mapping:
+        unmapped = F.array_except(unmapped, _mapped_names(map_col))
     has_raw = F.exists(fields, lambda e: e["key"] == "raw_message")
     whole = X.json_object(X.json_members(fields))
 
@@ -242,7 +253,7 @@ def normalise_entries(
             "unit": _last("unit"),
             "alarm_code": _exact("alarm_code"),
             "_step_stated": X.first_text(_exact("step_number")),
-            "_unmapped": unmapped_keys(E.keys(fields), map_col),
+            "_unmapped": unmapped,
             "raw_message": F.when(has_raw, F.coalesce(_exact("raw_message"), whole))
             .when(F.size(parts) > 0, F.array_join(parts, " | "))
             .otherwise(whole),
@@ -329,7 +340,7 @@ def normalise_entries(
             ),
         }
     )
-    unmapped = F.when(
+    noted = F.when(
         F.size("_unmapped") > 0,
         F.array(F.concat(F.lit('"ai_unmapped_columns": '), F.to_json("_unmapped"))),
     ).otherwise(F.array().cast("array<string>"))
@@ -342,6 +353,6 @@ def normalise_entries(
         & ~(read_step & (e["key"] == "step_number")),
     )
     df = df.withColumn(
-        "metadata", X.json_object(F.concat(fixed, X.json_members(own), unmapped))
+        "metadata", X.json_object(F.concat(fixed, X.json_members(own), noted))
     )
     return _finish(df, ingest_ts)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fabtrail import schema as S
 from fabtrail.functions import entries as E
+from fabtrail.functions import text as X
 from fabtrail.functions.text import empty_to_null
 from fabtrail.operators.lookups import apply_edits
 from fabtrail.plans.normalise import normalise_entries
@@ -106,19 +107,21 @@ def new_template(
 
 def remap(entries: Column, mapping: Column) -> Column:
     """Entries with the mapped names first, then all fields whose name is not taken yet."""
-    targets = F.map_entries(mapping)
-    by_key = E.as_map(entries)
-    renamed = F.filter(
-        F.transform(
-            targets,
-            lambda m: F.struct(
-                m["value"].alias("key"),
-                F.try_element_at(by_key, m["key"]).alias("value"),
-                F.lit("S").alias("kind"),
-            ),
-        ),
-        lambda e: e["value"].isNotNull(),
+
+    def renamed(by_key: Column) -> Column:
+        found = F.transform(
+            F.map_entries(mapping),
+            lambda m: E.entry(m["value"], F.try_element_at(by_key, m["key"]), F.lit("S")),
+        )
+        return F.filter(found, lambda e: e["value"].isNotNull())
+
+    def with_rest(first: Column) -> Column:
+        rest = X.let(
+            E.keys(first),
+            lambda taken: F.filter(entries, lambda e: ~F.array_contains(taken, e["key"])),
+        )
+        return E.dedupe(F.concat(first, rest))
+
+    return F.when(mapping.isNull(), entries).otherwise(
+        X.let(X.let(E.as_map(entries), renamed), with_rest)
     )
-    taken = E.keys(renamed)
-    rest = F.filter(entries, lambda e: ~F.array_contains(taken, e["key"]))
-    return F.when(mapping.isNull(), entries).otherwise(E.dedupe(F.concat(renamed, rest)))

@@ -30,7 +30,7 @@ WHOLE_JSON_BYTES = 512 * 1024 * 1024
 def _object_line(line: Column) -> Column:
     """A line without the comma that ends it; null if it starts no object."""
     return let(
-        F.rtrim(F.lit(","), strip(line)), lambda text: F.when(text.startswith("{"), text)
+        F.rtrim(strip(line), F.lit(",")), lambda text: F.when(text.startswith("{"), text)
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import sys
+import threading
 import time
 
 import duckdb
@@ -16,6 +18,8 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
+LIMIT_SECONDS = int(os.environ.get("CHECK_LIMIT", "40"))
+
 
 def canonical(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
@@ -43,7 +47,9 @@ def compare(spark, connection, name: str, sf_dir: str) -> tuple[bool, str]:
     took = time.time() - started
     if name not in ORACLE:
         return True, f"rows only: {len(got)} rows, {took:.1f}s"
+    started = time.time()
     want = connection.execute(ORACLE[name]).df()
+    took_sql = time.time() - started
     if sorted(got.columns) != sorted(want.columns):
         return False, f"columns {sorted(got.columns)} != {sorted(want.columns)}"
     left, right = canonical(got), canonical(want)
@@ -52,7 +58,12 @@ def compare(spark, connection, name: str, sf_dir: str) -> tuple[bool, str]:
         missing = [r for r in right if r not in set(left)][:2]
         return False, f"{len(left)} rows vs {len(right)}\n   only here: {extra}\n   only SQL:  {missing}"
     types = {c: (str(got[c].dtype), str(want[c].dtype)) for c in got if got[c].dtype != want[c].dtype}
-    return True, f"{len(left)} rows, {took:.1f}s" + (f" types {types}" if types else "")
+    return True, f"{len(left)} rows, {took:.1f}s, SQL {took_sql:.1f}s" + (f" types {types}" if types else "")
+
+
+def stop(spark, connection) -> None:
+    spark.sparkContext.cancelAllJobs()
+    connection.interrupt()
 
 
 def main() -> None:
@@ -68,10 +79,15 @@ def main() -> None:
     names = [n for n in QUERIES if not args or any(a in n for a in args)]
     failed = []
     for name in names:
+        # a query that runs too long is stopped and counts as failed
+        timer = threading.Timer(LIMIT_SECONDS, stop, (spark, connection))
+        timer.start()
         try:
             ok, note = compare(spark, connection, name, sf_dir)
         except Exception as error:  # report and go on
             ok, note = False, f"{type(error).__name__}: {str(error)[:1500]}"
+        finally:
+            timer.cancel()
         print(("ok   " if ok else "FAIL ") + name + ": " + note, flush=True)
         if not ok:
             failed.append(name)
