@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from fabtrail import schema as S
-from fabtrail.functions.text import strip
+from fabtrail.functions.text import let, once, strip
 
 
 def literal_map(mapping: dict[str, str]) -> Column:
@@ -47,34 +47,43 @@ def syslog_severity(priority: Column) -> Column:
 
 def parameter_name_of(raw: Column) -> Column:
     """Canonical parameter name, else the lower-cased name."""
-    name = F.lower(strip(raw))
-    hit = F.when(name.isNull(), F.lit(None).cast("string"))
-    for prefix, canonical in S.PARAMETER_PREFIXES.items():
-        starts = name.rlike(f"^{prefix}") if "*" in prefix else name.startswith(prefix)
-        hit = hit.when(starts, F.lit(canonical))
-    return hit.otherwise(name)
+
+    def canonical(name: Column) -> Column:
+        hit = F.when(name.isNull(), F.lit(None).cast("string"))
+        for prefix, field in S.PARAMETER_PREFIXES.items():
+            starts = name.rlike(f"^{prefix}") if "*" in prefix else name.startswith(prefix)
+            hit = hit.when(starts, F.lit(field))
+        return hit.otherwise(name)
+
+    return once(F.lower(strip(raw)), canonical)
 
 
 def log_type_of(text: Column) -> Column:
     """First log type whose words occur in the text; ``info`` if none does."""
-    lowered = F.lower(text)
-    hit = None
-    for log_type, pattern in S.LOG_TYPE_PATTERNS.items():
-        cond = lowered.rlike(pattern)
-        hit = F.when(cond, F.lit(log_type)) if hit is None else hit.when(cond, F.lit(log_type))
-    return hit.otherwise(F.lit("info"))
+
+    def classify(lowered: Column) -> Column:
+        hit = F.when(F.lit(False), F.lit(""))
+        for log_type, pattern in S.LOG_TYPE_PATTERNS.items():
+            hit = hit.when(lowered.rlike(pattern), F.lit(log_type))
+        return hit.otherwise(F.lit("info"))
+
+    return once(F.lower(text), classify)
 
 
 def promoted_severity(severity: Column, message: Column) -> Column:
     """Raise INFO by the first listed whole word found in the message."""
-    lowered = F.lower(message)
-    hit = F.when(severity != "INFO", severity)
-    # one test first: most lines hold none of the words
     any_word = "|".join(S.PROMOTION_WORDS)
-    hit = hit.when(~lowered.rlike(rf"(?U)\b(?:{any_word})\b"), severity)
-    for word, level in S.PROMOTION_WORDS.items():
-        hit = hit.when(lowered.rlike(rf"(?U)\b{word}\b"), F.lit(level))
-    return hit.otherwise(severity)
+
+    def raised(lowered: Column) -> Column:
+        # one test first: most lines hold none of the words
+        hit = F.when(~lowered.rlike(rf"(?U)\b(?:{any_word})\b"), F.lit("INFO"))
+        for word, level in S.PROMOTION_WORDS.items():
+            hit = hit.when(lowered.rlike(rf"(?U)\b{word}\b"), F.lit(level))
+        return hit.otherwise(F.lit("INFO"))
+
+    return once(
+        severity, lambda s: F.when(s == "INFO", let(F.lower(message), raised)).otherwise(s)
+    )
 
 
 def alias_field(key: Column) -> Column:
@@ -91,10 +100,14 @@ def target_field(key: Column, mapping: Column | None = None) -> Column:
     mapped = F.coalesce(
         F.try_element_at(mapping, key), F.try_element_at(mapping, F.lower(strip(key)))
     )
-    leading = F.when(F.lit(False), F.lit(""))
-    for field in S.LEADING_FIELDS:
-        leading = leading.when((mapped == field) | (alias == field), F.lit(field))
-    return leading.otherwise(F.coalesce(mapped, alias))
+
+    def pick(both: Column) -> Column:
+        leading = F.when(F.lit(False), F.lit(""))
+        for field in S.LEADING_FIELDS:
+            leading = leading.when((both["m"] == field) | (both["a"] == field), F.lit(field))
+        return leading.otherwise(F.coalesce(both["m"], both["a"]))
+
+    return let(F.struct(mapped.alias("m"), alias.alias("a")), pick)
 
 
 # -- fallbacks over event text -------------------------------------------------------

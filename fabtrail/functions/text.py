@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # characters a string strip removes
@@ -22,17 +24,26 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(col: Column, body) -> Column:
+    """Like :func:`let`, but a plain column is used as it is.
+
+    Every function that mentions its argument more than once goes through this: nested calls
+    would otherwise multiply the expression, and with it planning and evaluation.
+    """
+    return body(col) if re.fullmatch(r"Column<'[\w.\[\]`]+'>", str(col)) else let(col, body)
+
+
 def strip(col: Column) -> Column:
     """Remove all leading and trailing whitespace."""
     return F.btrim(col, F.lit(WHITESPACE))
 
 
 def blank_to_null(col: Column) -> Column:
-    return F.when(strip(col) != "", col)
+    return once(col, lambda c: F.when(strip(c) != "", c))
 
 
 def empty_to_null(col: Column) -> Column:
-    return F.when(col != "", col)
+    return once(col, lambda c: F.when(c != "", c))
 
 
 def first_text(*cols: Column) -> Column:
@@ -46,12 +57,16 @@ def split_lines(content: Column) -> Column:
 
 def to_number(col: Column) -> Column:
     """Text to double; anything that is not a plain number becomes null."""
-    text = strip(col)
-    plain = text.rlike(r"^[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?$")
-    special = F.lower(text).rlike(r"^[+-]?(?:inf|infinity|nan)$")
-    return F.when(
-        plain, F.regexp_replace(text, "_", "").try_cast("double")
-    ).when(special, text.try_cast("double"))
+
+    def read(text: Column) -> Column:
+        plain = text.rlike(
+            r"^[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?$"
+        )
+        special = text.rlike(r"(?i)^[+-]?(?:inf|infinity|nan)$")
+        digits = F.regexp_replace(text, "_", "").try_cast("double")
+        return F.when(plain, digits).when(special, text.try_cast("double"))
+
+    return once(strip(col), read)
 
 
 def capture(col: Column, pattern: str, groups: int, *, at_start: bool = False) -> Column:
@@ -76,9 +91,12 @@ def group(captured: Column, number: int) -> Column:
 
 
 def ellipsis(col: Column, width: int) -> Column:
-    return F.when(F.length(col) > width, F.concat(F.left(col, F.lit(width)), F.lit("…"))).otherwise(
-        col
-    )
+
+    def cut(text: Column) -> Column:
+        short = F.concat(F.left(text, F.lit(width)), F.lit("…"))
+        return F.when(F.length(text) > width, short).otherwise(text)
+
+    return once(col, cut)
 
 
 def sanitize(col: Column, max_length: int = 1500) -> Column:
@@ -92,9 +110,12 @@ def base_name(path: Column) -> Column:
 
 def extension(name: Column, default: str = "") -> Column:
     """Lower-cased part after the last dot."""
-    return F.when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise(
-        F.lit(default)
-    )
+
+    def after_dot(n: Column) -> Column:
+        last = F.lower(F.substring_index(n, ".", -1))
+        return F.when(F.contains(n, F.lit(".")), last).otherwise(F.lit(default))
+
+    return once(name, after_dot)
 
 
 def stem(name: Column) -> Column:
@@ -116,24 +137,43 @@ def hour_of(ts: Column) -> Column:
 
 def number_text(value: Column) -> Column:
     """A double in shortest form: plain between 1e-4 and 1e16, else with an exponent."""
-    size = F.abs(value)
-    java = value.cast("string")
-    wide = F.regexp_replace(
-        F.regexp_replace(value.try_cast("decimal(38,14)").cast("string"), "0+$", ""), r"\.$", ".0"
-    )
-    small = F.regexp_replace(value.try_cast("decimal(38,30)").cast("string"), "0+$", "")
-    mantissa = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", "")
-    power = F.substring_index(java, "E", -1).try_cast("int")
-    exponent = F.concat(
-        mantissa,
-        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(power).cast("string"), 2, "0"),
-    )
-    return (
-        F.when(~java.contains("E"), java)
-        .when((size >= 1e7) & (size < 1e16), wide)
-        .when((size >= 1e-4) & (size < 1e-3), small)
-        .otherwise(exponent)
+    return once(value, _number_text)
+
+
+def _number_text(value: Column) -> Column:
+    def shortest(text: Column) -> Column:
+        # the usual text may have a digit too many; the fewest that read back the same do
+        short, middle = F.format_string("%.15e", value), F.format_string("%.16e", value)
+        return (
+            F.when(F.length(text) < 18, text)
+            .when(short.try_cast("double") == value, short)
+            .when(middle.try_cast("double") == value, middle)
+            .otherwise(text)
+        )
+
+    def plain(text: Column, scale: int) -> Column:
+        digits = F.regexp_replace(text.try_cast(f"decimal(38,{scale})").cast("string"), "0+$", "")
+        return F.regexp_replace(digits, r"\.$", ".0")
+
+    def shown(text: Column) -> Column:
+        size = F.abs(value)
+        parts = F.split(F.lower(text), "e")
+        mantissa = F.regexp_replace(F.regexp_replace(F.get(parts, F.lit(0)), "0+$", ""), r"\.$", "")
+        power = F.get(parts, F.lit(1)).try_cast("int")
+        exponent = F.concat(
+            mantissa,
+            F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
+            F.lpad(F.abs(power).cast("string"), 2, "0"),
+        )
+        return (
+            F.when(~F.lower(text).contains("e"), text)
+            .when((size >= 1e-3) & (size < 1e16), plain(text, 20))
+            .when((size >= 1e-4) & (size < 1e-3), plain(text, 30))
+            .otherwise(exponent)
+        )
+
+    return F.when(value == 0, value.cast("string")).otherwise(
+        let(let(value.cast("string"), shortest), shown)
     )
 
 
@@ -142,8 +182,13 @@ def number_text(value: Column) -> Column:
 
 def json_string(col: Column) -> Column:
     """A quoted and escaped JSON string; null stays null."""
-    quoted = F.to_json(F.array(col))
-    return F.when(col.isNotNull(), F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+    # null gives null, not the text "null"
+    return once(
+        F.to_json(F.array(col)),
+        lambda quoted: F.when(
+            quoted != "[null]", F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+        ),
+    )
 
 
 def json_value(entry: Column) -> Column:
@@ -188,8 +233,9 @@ def latin(content: Column) -> Column:
 
 def le_u32(content: Column, position: Column) -> Column:
     """Little-endian unsigned 32-bit number at a 1-based byte position."""
-    four = F.substring(content, position, F.lit(4))
-    return F.conv(F.hex(F.reverse(four.cast("string")).cast("binary")), 16, 10).cast("long")
+    digits = F.hex(F.substring(content, position, F.lit(4)))
+    swapped = F.concat(*[F.substring(digits, at, 2) for at in (7, 5, 3, 1)])
+    return F.conv(swapped, 16, 10).cast("long")
 
 
 def hex_bytes(content: Column) -> Column:

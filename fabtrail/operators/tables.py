@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fabtrail import schema as S
 from fabtrail.operators import lookups
-from fabtrail.session import stored
+from fabtrail.session import conformed, stored
 
 #: tables laid out by a column, the others are small and plain
 LAYOUT = {"logs": "source_filename", "recipes": "source_filename", "pending_reviews": "job_id"}
@@ -29,17 +29,12 @@ class Appended:
 def to_recipes(logs: DataFrame) -> DataFrame:
     """Recipe rows of a log frame in the columns of the recipe table."""
     rows = logs.where(F.col("log_type") == "recipe")
-    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.RECIPES])
+    return rows.select(*conformed(rows, S.RECIPES))
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Columns of a table in order; missing ones are null."""
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in S.TABLES[table]
-        ]
-    )
+    return df.select(*conformed(df, S.TABLES[table]))
 
 
 class LogStore:

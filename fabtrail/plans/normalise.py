@@ -13,6 +13,7 @@ from fabtrail.functions import entries as E
 from fabtrail.functions import rules as R
 from fabtrail.functions import text as X
 from fabtrail.functions.timestamps import event_time, iso_timestamp
+from fabtrail.session import barrier, conformed
 
 #: columns a parsed frame may carry through normalisation
 CARRIED = ["source_path", "block", "row", "job_id"]
@@ -32,6 +33,7 @@ def default_tool(name: Column) -> Column:
 
 def reading_text(name: Column, value: Column, unit: Column) -> Column:
     """``| name=value unit`` part of a display message; null without name or value."""
+    # callers pass plain columns
     return F.when(
         (name != "") & value.isNotNull(),
         F.concat(
@@ -71,8 +73,7 @@ def _finish(df: DataFrame, ingest_ts: str) -> DataFrame:
         if name not in df.columns:
             df = df.withColumn(name, col)
     df = df.withColumn("event_ts", event_time(F.col("timestamp"), F.lit(ingest_ts)))
-    types = {f.name: f.dataType for f in S.LOGS}
-    return df.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()], *_carried(df))
+    return barrier(df.select(*conformed(df, S.LOGS), *_carried(df)))
 
 
 def normalise_lines(df: DataFrame, ingest_ts: str) -> DataFrame:

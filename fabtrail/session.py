@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def build_session(app_name: str = "fabtrail", master: str | None = None, **conf) -> SparkSession:
@@ -57,3 +57,28 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def barrier(df: DataFrame) -> DataFrame:
+    """Keep later filters above the projections of ``df``.
+
+    A filter on a parsed column would be pushed below the projections that derive it: the
+    parsing would run twice, and the expression would multiply with every stage it passes.
+    The condition always holds.
+    """
+    return df.where(F.monotonically_increasing_id() >= 0)
+
+
+def conformed(df: DataFrame, schema: T.StructType) -> list[Column]:
+    """The columns of a schema; missing ones are null.
+
+    A column that has its type already is taken as it is: a cast to the same type would make
+    an alias, and the optimizer carries every known fact over to every alias.
+    """
+    have = {f.name: f.dataType for f in df.schema}
+    return [
+        F.col(f.name)
+        if have.get(f.name) == f.dataType
+        else (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in schema
+    ]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from fabtrail.functions import entries as E
 from fabtrail.functions.text import let, number_text, split_lines, strip
 from fabtrail.schema import ENTRIES
+from fabtrail.session import barrier
 from fabtrail.sources.files import (
     file_place,
     open_file,
@@ -56,11 +57,8 @@ def object_texts(content: Column) -> Column:
 
 def parse_json_lines(df: DataFrame) -> DataFrame:
     """``line`` to ``entries``; lines that are no JSON object are skipped."""
-    return (
-        df.withColumn("entries", json_line_entries(F.col("line")))
-        .where(F.col("entries").isNotNull())
-        .drop("line")
-    )
+    parsed = barrier(df.withColumn("entries", json_line_entries(F.col("line"))).drop("line"))
+    return parsed.where(F.col("entries").isNotNull())
 
 
 def array_objects(content: Column) -> Column:

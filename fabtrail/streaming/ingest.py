@@ -12,7 +12,7 @@ from fabtrail.operators.ordering import occurrence_number
 from fabtrail.operators.tables import LogStore
 from fabtrail.plans.ingest import run_timestamp, warning
 from fabtrail.plans.normalise import normalise_entries
-from fabtrail.session import stored
+from fabtrail.session import barrier, stored
 from fabtrail.sources.structured import object_texts
 
 UNKNOWN_TOPIC_TOOL = "MQTT_UNKNOWN"
@@ -40,7 +40,7 @@ def with_source(messages: DataFrame) -> DataFrame:
 def message_records(messages: DataFrame) -> DataFrame:
     """One row of ``entries`` per object in an admitted message."""
     kept = [c for c in messages.columns if c not in ("payload", "content", "admitted", "row")]
-    return (
+    parsed = (
         with_source(messages)
         .where("admitted")
         .select(
@@ -52,9 +52,9 @@ def message_records(messages: DataFrame) -> DataFrame:
         )
         .withColumn("row", F.col("row").cast("bigint"))
         .withColumn("entries", E.json_entries(F.col("_object")))
-        .where(F.col("entries").isNotNull())
         .drop("_object")
     )
+    return barrier(parsed).where(F.col("entries").isNotNull())
 
 
 def overridden_tool(tool: Column, source_filename: Column, topic: Column) -> Column:
