@@ -40,15 +40,11 @@ def to_pending(logs: DataFrame, job_id: Column | None = None) -> DataFrame:
 
 def review_grid(pending: DataFrame) -> DataFrame:
     """The editable fields of staged rows: of the record, else of its overflow, else ''."""
-    record = F.try_parse_json("record_data")
-    df = pending.withColumn("_record", record).withColumn(
-        "_overflow", F.try_parse_json(F.try_variant_get("_record", "$.metadata", "string"))
-    )
+    df = pending.withColumn("_overflow", F.get_json_object("record_data", "$.metadata"))
 
     def value(name: str) -> Column:
         found = [
-            empty_to_null(F.try_variant_get(c, f"$.{name}", "string"))
-            for c in ("_record", "_overflow")
+            empty_to_null(F.get_json_object(c, f"$.{name}")) for c in ("record_data", "_overflow")
         ]
         return F.coalesce(*found, F.lit(""))
 
