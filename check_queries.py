@@ -1,4 +1,4 @@
-"""Run registered queries against their SQL on DuckDB: python tools_check.py [sf_dir] [name …]."""
+"""Run registered queries against their SQL on DuckDB: python check_queries.py [sf_dir] [name …]."""
 
 from __future__ import annotations
 

@@ -11,7 +11,7 @@ from fabtrail.functions import text as X
 from fabtrail.functions.signatures import file_signature, header_fingerprint
 from fabtrail.plans.ingest import ingest
 from fabtrail.plans.normalise import normalise_entries, normalise_lines
-from fabtrail.session import scratch_path
+from fabtrail.session import scratch_path, spread
 from fabtrail.sources import binary as B
 from fabtrail.sources import structured as ST
 from fabtrail.sources.files import list_files
@@ -52,7 +52,7 @@ _SYSLOG_LINE = f"""event_name || {_ALARM.format(" ")} || ' ' || {_READING} || '
 
 def _parsed(df: DataFrame, fmt: str) -> DataFrame:
     """Render log rows as lines of a format, parse the lines and normalise them again."""
-    lines = render(df, fmt).select(
+    lines = render(spread(df), fmt).select(
         "id", "line", "source_filename", F.lit(fmt).alias("source_format")
     )
     return normalise_lines(LINE_PARSERS[fmt](lines), INGEST_TS)
@@ -143,7 +143,7 @@ SELECT {{id}} timestamp, tool_id, severity, 'info' AS log_type, event_name, reci
 
 @query("json_round_trip", _STRUCTURED_SQL.format(id="id,"))
 def json_round_trip(spark, sf_dir):
-    lines = render(logs(spark, sf_dir), "json").select(
+    lines = render(spread(logs(spark, sf_dir)), "json").select(
         "id", F.concat("line", F.lit(",")).alias("line"), "source_filename", F.lit("json").alias("source_format")
     )
     return normalise_entries(ST.parse_json_lines(lines), INGEST_TS).select("id", *FIELDS)
@@ -166,7 +166,7 @@ def json_array(spark, sf_dir):
 
 def _written(spark, sf_dir, fmt: str) -> str:
     path = scratch_path(spark, f"catalog-{fmt}") + f"/{fmt}"
-    write_files(logs(spark, sf_dir), fmt, path)
+    write_files(spread(logs(spark, sf_dir)), fmt, path)
     return path
 
 
@@ -234,7 +234,7 @@ UNION ALL SELECT 'kv', timestamp, tool_id, severity, {_LOG_TYPE.format("event_na
 def ingest_mixed_files(spark, sf_dir):
     """Files of six formats in one folder: listed, detected, parsed and normalised."""
     root = scratch_path(spark, "catalog-mixed")
-    rows = logs(spark, sf_dir)
+    rows = spread(logs(spark, sf_dir))
     for fmt in ("json", "csv", "xml", "parquet", "text", "kv"):
         write_files(rows, fmt, f"{root}/{fmt}")
     found = ingest(spark, f"{root}/*/part-*", ingest_ts=INGEST_TS, mine=False).logs
@@ -293,7 +293,7 @@ def _record_columns(records: DataFrame) -> DataFrame:
 @query("framed_binary", _FRAMES_SQL)
 def framed_binary(spark, sf_dir):
     """Two frames behind the magic bytes, found and walked."""
-    rows = logs(spark, sf_dir)
+    rows = spread(logs(spark, sf_dir))
     frame = frame_record(rows)
     content = F.concat(F.lit(MAGIC), frame, frame)
     return _record_columns(B.decode_content(rows.select("id", content.alias("content"))))
@@ -302,7 +302,7 @@ def framed_binary(spark, sf_dir):
 @query("nul_separated_pairs", _FRAMES_SQL)
 def nul_separated_pairs(spark, sf_dir):
     """Two records between NUL bytes; the second starts where the time comes again."""
-    rows = logs(spark, sf_dir)
+    rows = spread(logs(spark, sf_dir))
     frame = frame_record(rows)
     payload = F.substring(frame, F.lit(5), F.octet_length(frame))
     content = F.concat(F.unhex(F.lit("FFFE00")), payload, F.unhex(F.lit("00")), payload)
@@ -317,7 +317,8 @@ def nul_separated_pairs(spark, sf_dir):
 )
 def frame_payload(spark, sf_dir):
     """Length and pairs of single frames, read by expressions alone."""
-    rows = logs(spark, sf_dir).withColumn("_frame", frame_record(logs(spark, sf_dir)))
+    rows = spread(logs(spark, sf_dir))
+    rows = rows.withColumn("_frame", frame_record(rows))
     payload = F.substring(F.col("_frame"), F.lit(5), F.octet_length("_frame"))
     found = rows.select(
         "id",
@@ -336,7 +337,7 @@ def frame_payload(spark, sf_dir):
     with_logs(f"""SELECT id, CASE WHEN severity = 'INFO' THEN event_name ELSE replace({_PAIRS_SQL}, ' | event_name=' || event_name, '') END AS raw_message FROM logs"""),
 )
 def message_of_pairs(spark, sf_dir):
-    rows = logs(spark, sf_dir).withColumn(
+    rows = spread(logs(spark, sf_dir)).withColumn(
         "event_name", F.when(F.col("severity") == "INFO", F.col("event_name"))
     )
     frame = frame_record(rows)
@@ -354,7 +355,7 @@ chunks AS (SELECT doc_id, i AS "row", substr(h, CAST(i * 32 + 1 AS BIGINT), 32)
 
 @query("hex_rows", _HEX_SQL + """SELECT doc_id, "row", rtrim(regexp_replace(c, '(..)', '\\1 ', 'g')) AS raw_message FROM chunks""")
 def hex_rows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return B.hex_rows(docs.select("doc_id", F.encode("text", "UTF-8").alias("content")))
 
 
@@ -366,7 +367,7 @@ def hex_rows(spark, sf_dir):
         THEN chr(CAST('0x' || substr(c, CAST(p * 2 + 1 AS BIGINT), 2) AS INTEGER)) ELSE '.' END), 'string_agg', '') || '|' AS line FROM chunks""",
 )
 def hex_dump(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     data = F.encode("text", "UTF-8")
     return docs.select(
         "doc_id", F.explode(B.content_sample(data, None)).alias("line")
@@ -413,7 +414,7 @@ _KV_SQL = r"""len(regexp_extract_all(left({0}, 1000), '[\pL\pN_.\-]+\s*=\s*\S+')
 
 
 def _named_documents(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(
         "doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text"
     )
@@ -477,7 +478,7 @@ SELECT tool_id, shape, format, true AS admitted FROM shapes
 @query("sniff_rendered", _RENDERED_SQL)
 def sniff_rendered(spark, sf_dir):
     """The first lines of each tool in several formats, under several extensions."""
-    rows = logs(spark, sf_dir)
+    rows = spread(logs(spark, sf_dir))
     extensions = {"text": "log", "syslog": "log", "kv": "log", "json": "txt", "xml": "dat", "csv": "csv"}
     shapes = F.array(
         *[

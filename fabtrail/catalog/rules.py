@@ -15,7 +15,7 @@ from fabtrail.operators import aggregates as A, headers as H
 from fabtrail.operators.lookups import match_headers
 from fabtrail.plans import normalise as N
 from fabtrail.plans.review import remap
-from fabtrail.session import stored
+from fabtrail.session import spread, stored
 
 
 def _pick(options: list[str], number):
@@ -155,7 +155,7 @@ def syslog_priorities(spark, sf_dir):
 
 
 def _records(df, entries):
-    return df.select(
+    return spread(df).select(
         "id", "source_filename", F.lit("json").alias("source_format"), entries.alias("entries")
     )
 
@@ -365,7 +365,7 @@ def template_remap(spark, sf_dir):
 
 def _odd_headers(spark, sf_dir):
     """Two layouts with unusual names, one of them in two column orders."""
-    rows = logs(spark, sf_dir)
+    rows = spread(logs(spark, sf_dir))
     cells = [
         E.text_entry(F.lit("ts_utc"), F.col("timestamp")),
         E.text_entry(F.lit("equip_no"), F.col("tool_id")),

@@ -15,8 +15,8 @@ from fabtrail.operators import aggregates as A, enrich as U, lookups as J, templ
 from fabtrail.operators.ordering import POSITION, number_rows
 from fabtrail.operators.tables import LogStore, to_recipes
 from fabtrail.plans import review as V
-from fabtrail.session import scratch_path
-from fabtrail.sources.render import render
+from fabtrail.session import scratch_path, spread
+from fabtrail.sources.render import json_record
 from fabtrail.streaming import ingest as M
 
 CORE = ["id", "timestamp", "tool_id", "severity", "log_type", "source_filename"]
@@ -267,7 +267,7 @@ def _severity_scorer(rows: list[dict]):
     ),
 )
 def enrich_in_batches(spark, sf_dir):
-    rows = logs(spark, sf_dir)
+    rows = spread(logs(spark, sf_dir))
     return U.enrich_batches(rows, _severity_scorer, batch_size=1)
 
 
@@ -430,7 +430,7 @@ def template_from_review(spark, sf_dir):
 
 def _messages(spark, sf_dir):
     """Messages with numbers, ids and hex parts around a few fixed texts."""
-    rows = logs(spark, sf_dir)
+    rows = spread(logs(spark, sf_dir))
     number = F.col("id").cast("bigint")
     text = F.concat(
         F.col("event_name"), F.lit(" at "), F.format_string("%.2f", F.col("parameter_value")), F.lit(" units on run "),
@@ -464,7 +464,7 @@ _MERGED_SQL = LOGS_SQL + """, mined AS (
 
 def _mined(spark, sf_dir):
     """Messages that differ in one word: one cluster per leading words."""
-    rows = logs(spark, sf_dir)
+    rows = spread(logs(spark, sf_dir))
     word = F.translate(F.col("id"), "0123456789", "abcdefghij")
     text = F.concat(F.col("event_name"), F.lit(" seen by "), word, F.lit(" on line "), F.col("id"))
     return T.mine_templates(rows.withColumn("raw_message", text))
@@ -501,10 +501,14 @@ def document_line_templates(spark, sf_dir):
 
 def _broker_messages(spark, sf_dir):
     """One JSON message per log row, some without a tool of their own, some arrays, some junk."""
-    rows = logs(spark, sf_dir)
-    bare = render(rows.drop("tool_id"), "json").select("id", F.col("line").alias("bare"))
-    full = render(rows, "json").select("id", "log_type", "tool_id", "line")
-    both = full.join(bare, "id")
+    rows = spread(logs(spark, sf_dir))
+    both = rows.select(
+        "id",
+        "log_type",
+        "tool_id",
+        json_record(rows).alias("line"),
+        json_record(rows.drop("tool_id")).alias("bare"),
+    )
     payload = (
         F.when(F.col("log_type") == "info", F.col("bare"))
         .when(F.col("log_type") == "maintenance", F.concat(F.lit("["), "line", F.lit(", "), "line", F.lit("]")))
@@ -514,7 +518,9 @@ def _broker_messages(spark, sf_dir):
     topic = F.when(F.col("log_type") == "alarm", F.lit("short")).otherwise(
         F.concat(F.lit("fab/tool_logs/"), "tool_id")
     )
-    return both.select(topic.alias("topic"), payload.cast("binary").alias("payload"), F.col("id").alias("message_key"))
+    return both.select(
+        topic.alias("topic"), payload.cast("binary").alias("payload"), F.col("id").alias("message_key")
+    )
 
 
 _MESSAGES_SQL = LOGS_SQL + """

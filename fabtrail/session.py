@@ -69,6 +69,16 @@ def barrier(df: DataFrame) -> DataFrame:
     return df.where(F.monotonically_increasing_id() >= 0)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy work on rows that come from few small files.
+
+    A frame that has at least half as many partitions as there are cores is left as it is, so
+    large inputs are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def conformed(df: DataFrame, schema: T.StructType) -> list[Column]:
     """The columns of a schema; missing ones are null.
 

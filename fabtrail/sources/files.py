@@ -93,7 +93,9 @@ def read_heads(
                     found.append(stream.read(n_bytes))
             yield batch.assign(head=found)
 
-    files = list_files(spark, paths)
+    # the listing is packed by file size; opening files takes time per file
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    files = list_files(spark, paths).repartition(tasks)
     return files.mapInPandas(
         heads, "source_path string, source_filename string, length bigint, head binary"
     )

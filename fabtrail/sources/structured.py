@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from fabtrail.functions import entries as E
 from fabtrail.functions.text import let, number_text, split_lines, strip
 from fabtrail.schema import ENTRIES
-from fabtrail.session import barrier
+from fabtrail.session import barrier, spread
 from fabtrail.sources.files import (
     file_place,
     open_file,
@@ -379,7 +379,6 @@ def parquet_schemas(files: DataFrame) -> DataFrame:
 def read_parquet_group(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Parquet files of one shape as ``entries``."""
     rows = spark.read.parquet(*paths)
-    return rows.select(
-        *file_place(F.monotonically_increasing_id()),
-        row_entries(rows).alias("entries"),
-    )
+    # places are taken at the scan, before rows are spread over more tasks
+    placed = rows.select("*", *file_place(F.monotonically_increasing_id()))
+    return spread(placed).select(*PLACE, row_entries(rows).alias("entries"))
