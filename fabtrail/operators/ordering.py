@@ -112,23 +112,25 @@ def lookup_join(
     if counts is None:
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     heavy = heavy_keys(counts, keys)
-    heavy_rows = lookup.join(F.broadcast(heavy), keys, "left_semi").select(
-        *keys, F.struct(*values).alias("_heavy")
+    found = lookup.join(F.broadcast(heavy), keys, "left_semi")
+    # heavy keys the lookup does not have are marked too, else their rows would all meet
+    heavy_rows = heavy.join(found, keys, "left").select(
+        *keys, F.struct(*values).alias("_heavy"), F.lit(True).alias("_is_heavy")
     )
     left = df.join(F.broadcast(heavy_rows), keys, "left")
-    filler = F.when(
-        F.col("_heavy").isNotNull(), F.xxhash64(*[F.col(c) for c in _hashable(df)])
-    ).otherwise(F.lit(0))
-    # the second key is 0 for light rows; a heavy row's filler finds no partner
+    settled = F.coalesce(F.col("_is_heavy"), F.lit(False))
+    for key in keys:
+        settled = settled | F.col(key).isNull()
+    # the second join key follows from the key for light rows; that of a settled row from the
+    # whole row, so it finds no partner and spreads the rows (a constant here would be taken
+    # out of the join keys by the optimizer, and spread nothing)
+    of_key = F.xxhash64(*keys)
+    filler = F.when(settled, F.xxhash64(*[F.col(c) for c in _hashable(df)])).otherwise(of_key)
     left = left.withColumn("_spread", filler)
-    light = lookup.select(*keys, F.struct(*values).alias("_light")).withColumn(
-        "_spread", F.lit(0).cast("bigint")
-    )
+    light = lookup.select(*keys, F.struct(*values).alias("_light")).withColumn("_spread", of_key)
     joined = left.join(light, [*keys, "_spread"], "left")
-    picked = F.coalesce(F.col("_heavy"), F.col("_light"))
-    return joined.select(
-        *[F.col(c) for c in df.columns], *[picked[c].alias(c) for c in values]
-    )
+    picked = lambda c: F.when(F.col("_is_heavy"), F.col("_heavy")[c]).otherwise(F.col("_light")[c])
+    return joined.select(*[F.col(c) for c in df.columns], *[picked(c).alias(c) for c in values])
 
 
 def _hashable(df: DataFrame) -> list[str]:

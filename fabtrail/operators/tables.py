@@ -150,8 +150,10 @@ class LogStore:
         Only folders of files that have a result are rewritten.
         """
         logs = self.read("logs")
-        touched = logs.join(results.select("id").distinct(), "id", "left_semi").select("source_filename").distinct()
-        part = logs.join(touched, "source_filename", "left_semi")
+        ids = results.select("id").distinct()
+        touched = logs.join(ids, "id", "left_semi").select("source_filename").distinct()
+        marked = lookups.lookup_join(logs, touched.withColumn("_hit", F.lit(True)), ["source_filename"])
+        part = marked.where("_hit").drop("_hit")
         changed = stored(lookups.apply_enrichment(part, results), "enriched")
         self._writer(changed, "logs", "overwrite")
 

@@ -56,6 +56,22 @@ def test_preceding_events_by_brute_force(spark, tools):
     assert got == want
 
 
+def test_lookup_of_a_hot_key_that_is_absent(spark):
+    left = spark.range(400).select("id", F.when(F.col("id") < 390, F.lit("hot")).otherwise(F.lit("cold")).alias("key"))
+    right = spark.createDataFrame([("cold", 1)], "key string, v int")
+    got = O.lookup_join(left, right, ["key"])
+    assert got.count() == 400 and got.where("v = 1").count() == 10
+    # all rows of the hot key must not be in one task after the join
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = got.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) < 250
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_templates_do_not_depend_on_order_or_chunks(spark):
     words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
     lines = [f"Pump fault at {a} by {b} today ok" for a in words for b in words] + ["Door open now"] * 5
