@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from fabtrail.catalog.base import LOGS_SQL, logs_from_events as logs, query, table, with_logs
@@ -183,7 +185,7 @@ def csv_files(spark, sf_dir):
     parts = [
         ST.read_csv_group(spark, [path], list(g.header), g.sep, g.open_quotes) for g in groups
     ]
-    records = parts[0].withColumn("source_format", F.lit("csv"))
+    records = reduce(DataFrame.unionByName, parts).withColumn("source_format", F.lit("csv"))
     found = normalise_entries(records, INGEST_TS).select(*FIELDS)
     # an empty cell of a column is an empty text, not a missing one
     return found.withColumn("alarm_code", X.empty_to_null(F.col("alarm_code")))

@@ -15,11 +15,6 @@ from fabtrail.sources.binary import MAGIC
 
 PROCESS = "tool_controller"
 PROCESS_ID = 1234
-TEXT_HEADER = [
-    "# Semiconductor Tool Event Log — Maintenance & Process Record",
-    "# Generated for demo purposes",
-    "",
-]
 
 
 def _field(df: DataFrame, name: str) -> Column:
