@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,11 +35,16 @@ def build_session(app_name: str = "fabtrail", master: str | None = None, **conf)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (unit tests on one machine) is a new one made.
+    A session on one machine that names none (as in tests) gets a folder that goes when the
+    process ends; a session on a cluster must name one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="fabtrail-shared-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
@@ -55,7 +62,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     Being columnar, later reads take only the columns they need.
     """
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
