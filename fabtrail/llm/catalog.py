@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fabtrail.llm import exact_dedup, mixing, packing, pseudonyms, token_files
+from fabtrail.llm import exact_dedup, jaccard_join, mixing, near_vectors, packing, pseudonyms, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,14 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymised(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -43,7 +51,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_token_files, op4_mix_sources, op5_pseudonyms, op9_harmonic_packing, op10_exact_dedup)
+    for f in (op1_token_files, op4_mix_sources, op5_pseudonyms, op6_jaccard_join, op8_near_vectors, op9_harmonic_packing, op10_exact_dedup)
 }
 
 ORACLE: dict[str, str] = {
