@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fabtrail.llm import exact_dedup, jaccard_join, mixing, near_vectors, packing, pseudonyms, token_files
+from fabtrail.llm import (
+    context_tree,
+    exact_dedup,
+    jaccard_join,
+    mixing,
+    near_vectors,
+    packing,
+    pages,
+    pseudonyms,
+    quality,
+    token_files,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +36,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op2_main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(_table(spark, sf_dir, "pages"))
+
+
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.scores(_table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
 
@@ -37,6 +56,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -51,7 +74,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_token_files, op4_mix_sources, op5_pseudonyms, op6_jaccard_join, op8_near_vectors, op9_harmonic_packing, op10_exact_dedup)
+    for f in (
+        op1_token_files,
+        op2_main_texts,
+        op3_context_tree,
+        op4_mix_sources,
+        op5_pseudonyms,
+        op6_jaccard_join,
+        op7_quality,
+        op8_near_vectors,
+        op9_harmonic_packing,
+        op10_exact_dedup,
+    )
 }
 
 ORACLE: dict[str, str] = {

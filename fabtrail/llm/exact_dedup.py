@@ -97,6 +97,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     groups = suspects.groupBy("text_sha256").agg(
         F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size")
     )
+    # stored, so that both sides of the join are shuffled anew and a large group's rows can be split
+    groups = stored(groups, "groups")
     met = suspects.join(groups, "text_sha256").select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
@@ -123,13 +125,13 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     groups = exact_groups(docs)
     kept = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     sha = F.sha2(normalised(F.col("text")), 256)
-    own = docs.select("*", F.col("doc_id").cast("bigint").alias("_id0"), sha.alias("_sha0"))
+    own = docs.select(F.struct("*").alias("document"), F.col("doc_id").cast("bigint").alias("_id0"), sha.alias("_sha0"))
     out = own.join(kept, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_sha0") == F.col("_sha")), "left_semi")
     again = groups.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id")))
     if not again.isEmpty():
         # rows with the doc_id and text of the row that stays came through the join with it
         out = out.dropDuplicates(["_id0", "_sha0"])
-    return out.select(*docs.columns)
+    return out.select("document.*")
 
 
 ORACLE_SQL = r"""

@@ -373,4 +373,5 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Rows that repeat the doc_id that stays all stay.
     """
     kept = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(kept.distinct(), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
+    own = docs.select(F.struct("*").alias("document"), F.col("doc_id").cast("bigint").alias("_id0"))
+    return own.join(kept.distinct(), F.col("_id0").eqNullSafe(F.col("_id")), "left_semi").select("document.*")

@@ -140,11 +140,14 @@ def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
         F.max(F.when(F.col("size") == 0, 1).otherwise(copies)).cast("int").alias("_copies")
     )
     per_id = per_id.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_copies")
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (n_words(F.col("text")) == F.col("_size"))
+    own = docs.select(
+        F.struct("*").alias("document"), F.col("doc_id").cast("bigint").alias("_id0"), n_words(F.col("text")).alias("_size0")
+    )
+    same = F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_size0") == F.col("_size"))
     return (
-        docs.join(per_id.where("_copies > 0"), same)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*docs.columns)
+        own.join(per_id.where("_copies > 0"), same)
+        .select("document", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .select("document.*")
     )
 
 

@@ -198,9 +198,8 @@ def _class_links(vectors: DataFrame, dims: int, cosine: float, bits: int, tables
         "id", "dup", "vector", "codes", "tab", "code", "own",
         F.least("own", "_other").alias("x"), F.greatest("own", "_other").alias("y"),
     )
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = ["tab", "code", "x", "y"]
-    placed = placed.repartition(n, *at).sortWithinPartitions(*at)
+    placed = placed.repartition(*at).sortWithinPartitions(*at)
     return _linked_in_buckets(placed, dims, tables, cosine)
 
 
