@@ -7,16 +7,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fabtrail.llm import exact_dedup, mixing, packing
+from fabtrail.llm import exact_dedup, jaccard_join, mixing, packing, quality
 from fabtrail.llm.catalog import TOKENIZER
 from fabtrail.session import stored
 
 
+def keep_good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model, learned from the labels, scores at least 0.5."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays."""
     return exact_dedup.drop_repeats(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that five-word shingles link at 0.8 or more, directly or not, the one with the smallest id stays."""
+    return jaccard_join.drop_near_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks for."""
     return mixing.mixed_documents(docs)
@@ -28,7 +38,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", keep_good_texts),
     ("exact_dedup", drop_exact_copies),
+    ("jaccard", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack),
 ]
