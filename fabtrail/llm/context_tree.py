@@ -67,7 +67,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     value = out.copy()
     for k in range(1, DEPTH + 1):
         before = np.full(len(out), END, np.uint64)
-        before[k:] = out[: len(out) - k]
+        before[k:] = out[: max(0, len(out) - k)]
         before[place < k] = END
         value |= before << np.uint64(8 * k)
     return value, bounds
@@ -144,7 +144,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     for k in range(8):
         low = low * (x + k)
     y = x + 8
-    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9)
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(low)
 
 
