@@ -72,9 +72,7 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = PAIRS_PER_R
         table = np.full(1 << _TABLE_BITS, -1, np.int32)
         table[slot(chosen)] = np.arange(len(chosen))
         rule = table[slot(pairs)]
-        marked = rule >= 0
-        marked[marked] = chosen[rule[marked]] == pairs[marked]
-        at = np.flatnonzero(marked)
+        at = np.flatnonzero((rule >= 0) & (chosen[rule] == pairs))
         starts_run = np.concatenate([[True], np.diff(at) > 1])
         run_start = at[np.flatnonzero(starts_run)][np.cumsum(starts_run) - 1]
         at = at[(at - run_start) % 2 == 0]
@@ -211,7 +209,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
             )
 
         for batch in batches:
-            for part in text_slices(batch, limit=1 << 21):
+            for part in text_slices(batch, limit=1 << 22):
                 ids, bounds = encoder.encode(part.column("text"), end_id)
                 own = part.column("doc_id")
                 nulls = own.is_null().to_numpy(zero_copy_only=False)
@@ -230,21 +228,19 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
     )
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The shards with ``start``, the ids of all shards before: a sum over partitions, then one inside each."""
-    files = spark.read.parquet(path)
+def shard_starts(files: DataFrame) -> DataFrame:
+    """``part, shard, start``: the ids of all shards before, by a sum over partitions, then one inside each."""
     per_part = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     # one row per partition of the writer
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = per_part.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_part_start"))
     inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    places = (
+    return (
         files.select("part", "shard", "n_ids")
         .withColumn("_before", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
         .join(parts, "part")
         .select("part", "shard", (F.col("_part_start") + F.col("_before")).alias("start"))
     )
-    return files.join(places, ["part", "shard"])
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -252,20 +248,27 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, payload in zip(batch.column("start").to_pylist(), batch.column("payload")):
+            for part, no, payload in zip(batch.column("part").to_pylist(), batch.column("shard").to_pylist(), batch.column("payload")):
                 shard = Shard(payload.as_py())
                 ids = shard.all_ids().astype("<u4")
                 ends = np.cumsum(shard.n_ids, dtype=np.int64)
                 begins = ends - shard.n_ids
                 view = memoryview(ids).cast("B")
                 sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
+                n = len(sums)
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": pa.array(shard.doc_ids, pa.int64(), mask=shard.null_ids), "start": pa.array(begins + start),
+                    {"part": pa.array([part] * n, pa.int32()), "shard": pa.array([no] * n, pa.int32()),
+                     "doc_id": pa.array(shard.doc_ids, pa.int64(), mask=shard.null_ids), "place": pa.array(begins),
                      "n_tokens": pa.array(shard.n_ids.astype(np.int64)), "ids_crc32": pa.array(sums, pa.int64())}
                 )
 
-    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
-    return read_token_files(spark, path).select("start", "payload").mapInArrow(digests, schema)
+    files = spark.read.parquet(path)
+    schema = "part int, shard int, doc_id bigint, place bigint, n_tokens bigint, ids_crc32 bigint"
+    # only the digests meet the starts: the shards' bytes are not shuffled
+    told = files.select("part", "shard", "payload").mapInArrow(digests, schema)
+    return told.join(shard_starts(files), ["part", "shard"]).select(
+        "doc_id", (F.col("start") + F.col("place")).alias("start"), "n_tokens", "ids_crc32"
+    )
 
 
 def document_ids(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:

@@ -58,17 +58,29 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
     return flat.filter(full), kept[bounds]
 
 
-def hash_words(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word, the same on every machine."""
-    import xxhash
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[:1] = 1
+    return np.cumprod(steps, dtype=np.uint64)
 
-    if not len(words):
+
+def hash_words(words: pa.Array, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word, the same on every machine; seeds give independent ones.
+
+    A polynomial of the bytes, taken over all words at once.
+    """
+    n = len(words)
+    if not n:
         return np.zeros(0, np.uint64)
-    coded = words.dictionary_encode()
-    own = np.fromiter(
-        (xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary)
-    )
-    return own[coded.indices.to_numpy(zero_copy_only=False)]
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    own = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    size = np.diff(offsets)
+    place = np.arange(len(own)) - np.repeat(offsets[:-1], size)
+    letters = mix(np.arange(1, 257, dtype=np.uint64) * _M2 + np.uint64(seed))
+    value = letters[own] * _powers(0x9E3779B97F4A7C15, int(size.max()))[place]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+    return mix(total[offsets[1:]] - total[offsets[:-1]] + size.astype(np.uint64) * _M1)
 
 
 def owners(bounds: np.ndarray) -> np.ndarray:
@@ -85,32 +97,86 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class WordEncoder:
     """Token ids by a word-level BPE that drops white space, so that words can be encoded one by one.
 
-    Each distinct word is encoded once and remembered. Letters followed by commas or full stops
-    are encoded apart from them, as the tokenizer splits there anyway.
+    Each distinct word is encoded once and remembered by two 64-bit hashes, so that known words are found in bulk. Letters
+    followed by commas or full stops are encoded apart from them, as the tokenizer splits there anyway.
     """
 
+    #: words that the tokenizer neither normalises (but for their case) nor splits
+    _PLAIN = re.compile(r"[a-zA-ZÀ-ÖØ-öø-ÿ]+")
     _TAIL = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,]+)")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._ids: dict[str, tuple[int, ...]] = {}
-
-    def _new(self, word: str) -> tuple[int, ...]:
-        if word.isascii() and word.isalpha() and word.islower():
-            # nothing to normalise or to split: the model alone gives the same ids
-            return tuple(t.id for t in self._tokenizer.model.tokenize(word))
-        tail = self._TAIL.fullmatch(word)
-        if tail:
-            return (*self._word(tail[1]), *self._word(tail[2]))
-        return tuple(self._tokenizer.encode(word, add_special_tokens=False).ids)
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = self._ids.get(word)
-        if ids is None:
-            ids = self._ids[word] = self._new(word)
-        return ids
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(0xDF, 0x100) if chr(c) != "÷"]
+        # how the model sees letters beyond ASCII
+        self._seen_as = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters})
+        self._forget()
+
+    def _forget(self) -> None:
+        # hashes in order, and where in the ids each word's begin and how many there are
+        self._keys, self._checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self._starts, self._sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._ids = np.zeros(0, np.uint32)
+
+    def _new(self, word: str) -> list[int]:
+        if self._PLAIN.fullmatch(word):
+            # nothing to split: the model alone gives the same ids
+            return [t.id for t in self._tokenizer.model.tokenize(word.lower().translate(self._seen_as))]
+        return self._tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _all_new(self, words: list[str]) -> list[list[int]]:
+        """Ids of new words; what stands before a tail of commas and full stops may be known."""
+        tails = [self._TAIL.fullmatch(w) for w in words]
+        heads = list(dict.fromkeys(t[1] for t in tails if t))
+        if heads:
+            starts, sizes = self._find(pa.array(heads))
+            of_head = {h: self._ids[a : a + n].tolist() for h, a, n in zip(heads, starts.tolist(), sizes.tolist())}
+        of_tail: dict[str, list[int]] = {}
+        out = []
+        for word, tail in zip(words, tails):
+            if tail is None:
+                out.append(self._new(word))
+            else:
+                if tail[2] not in of_tail:
+                    of_tail[tail[2]] = self._new(tail[2])
+                out.append(of_head[tail[1]] + of_tail[tail[2]])
+        return out
+
+    def _find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of the ids of distinct words, after encoding those that are new."""
+        keys, checks = hash_words(words), hash_words(words, seed=1)
+        known, at = self._known(keys, checks)
+        starts, sizes = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        starts[known], sizes[known] = self._starts[at[known]], self._sizes[at[known]]
+        if known.all():
+            return starts, sizes
+        # may add the heads of words to what is remembered
+        found = self._all_new(words.filter(pa.array(~known)).to_pylist())
+        sizes[~known] = np.fromiter(map(len, found), np.int64, len(found))
+        starts[~known] = len(self._ids) + np.cumsum(sizes[~known]) - sizes[~known]
+        self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+        # of words that share their first hash the first one is remembered, the others are encoded each time
+        own = np.flatnonzero(~known)
+        own = own[np.unique(keys[own], return_index=True)[1]]
+        place = np.searchsorted(self._keys, keys[own])
+        if len(self._keys):
+            free = self._keys[np.minimum(place, len(self._keys) - 1)] != keys[own]
+            own, place = own[free], place[free]
+        self._keys = np.insert(self._keys, place, keys[own])
+        self._checks = np.insert(self._checks, place, checks[own])
+        self._starts = np.insert(self._starts, place, starts[own])
+        self._sizes = np.insert(self._sizes, place, sizes[own])
+        return starts, sizes
+
+    def _known(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are remembered, and where."""
+        if not len(self._keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
+        return (self._keys[at] == keys) & (self._checks[at] == checks), at
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each ended by ``end_id``, and their bounds."""
@@ -118,18 +184,15 @@ class WordEncoder:
         # names of special tokens count as written; all else is lower-cased by the tokenizer
         words, bounds = split_words(texts, lower=not special)
         coded = words.dictionary_encode()
-        if len(self._ids) > REMEMBERED_WORDS:
-            self._ids.clear()
-        found = [self._word(w) for w in coded.dictionary.to_pylist()]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
-        at = np.concatenate([[0], np.cumsum(size)])[:-1]
+        if len(self._keys) > REMEMBERED_WORDS:
+            self._forget()
+        starts, sizes = self._find(coded.dictionary)
         which = coded.indices.to_numpy(zero_copy_only=False)
-        each = size[which]
+        each = sizes[which]
         token_bounds = np.concatenate([[0], np.cumsum(each)])
         own = token_bounds[bounds]
         total = int(token_bounds[-1])
-        ids = flat[np.repeat(at[which] - token_bounds[:-1], each) + np.arange(total)]
+        ids = self._ids[np.repeat(starts[which] - token_bounds[:-1], each) + np.arange(total)]
         out_bounds = own + np.arange(len(own))
         out = np.empty(total + len(own) - 1, np.uint32)
         ends = out_bounds[1:] - 1
