@@ -166,6 +166,42 @@ def json_array(spark, sf_dir):
     return normalise_entries(records, INGEST_TS).select("source_filename", *FIELDS)
 
 
+@query(
+    "json_array_key_order",
+    with_logs(
+        """SELECT id, event_name, 'first' || id AS message, list_sort(['v', 'w']) AS unmapped, CAST(NULL AS VARCHAR) AS gone FROM logs"""
+    ),
+)
+def json_array_key_order(spark, sf_dir):
+    """Array files of many splits: members keep the order of their keys and their nulls; members that are no object are left out."""
+    rows = logs(spark, sf_dir)
+    record = F.concat(
+        F.lit('{"id":"'), F.col("id"), F.lit('","message":"first'), F.col("id"), F.lit('","event":"'), F.col("event_name"),
+        F.lit('","v":null,"w":{"a":[1,{"b":2}]}}'),
+    )
+    path = scratch_path(spark, "catalog-arrays") + "/arrays"
+    # one file for each partition: an array that begins before and ends after the rows
+    parts = spread(rows).select(F.spark_partition_id().alias("part"), F.col("id").cast("bigint").alias("n"), record.alias("line"))
+    ends = parts.select("part").distinct()
+    framed = (
+        parts.select("part", "n", F.concat(F.lit(', 7, "x", [{"no":1}], '), "line").alias("value"))
+        .unionByName(ends.select("part", F.lit(-1).cast("bigint").alias("n"), F.lit("[null").alias("value")))
+        .unionByName(ends.select("part", F.lit(1 << 40).alias("n"), F.lit("]").alias("value")))
+    )
+    lines = framed.repartition("part").sortWithinPartitions("part", "n")
+    lines.select("value", "part").write.partitionBy("part").text(path)
+    found = ST.read_json_arrays(list_files(spark, path).where(F.col("source_filename").startswith("part-")), chunk=1000)
+    as_map = E.as_map(F.col("entries"))
+    keys = F.transform("entries", lambda e: e["key"])
+    return found.select(
+        as_map["id"].alias("id"),
+        as_map["event"].alias("event_name"),
+        as_map["message"].alias("message"),
+        F.array_sort(F.slice(keys, 4, 1 + F.size(keys))).alias("unmapped"),
+        as_map["v"].alias("gone"),
+    ).withColumn("unmapped", F.transform("unmapped", lambda k: F.left(k, F.lit(1))))
+
+
 def _written(spark, sf_dir, fmt: str) -> str:
     path = scratch_path(spark, f"catalog-{fmt}") + f"/{fmt}"
     write_files(spread(logs(spark, sf_dir)), fmt, path)

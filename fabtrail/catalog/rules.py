@@ -277,6 +277,24 @@ def nested_json(spark, sf_dir):
     )
 
 
+@query(
+    "nested_json_deep",
+    with_logs(
+        """SELECT id, 'a_b_c_d_e_f_g_h_i_j_k_l' AS key, event_name AS value FROM logs
+           UNION ALL SELECT id, 'a_b_c_x', '1' FROM logs UNION ALL SELECT id, 'y', tool_id FROM logs"""
+    ),
+)
+def nested_json_deep(spark, sf_dir):
+    """Objects twelve levels deep are unfolded to the end."""
+    rows = logs(spark, sf_dir)
+    deep = F.concat(F.lit('{"l":"'), F.col("event_name"), F.lit('"}'))
+    for name in "kjihgfed":
+        deep = F.concat(F.lit('{"' + name + '":'), deep, F.lit("}"))
+    doc = F.concat(F.lit('{"a":{"b":{"c":{"x":1,'), F.substring(deep, F.lit(2), F.length(deep)), F.lit("}},\"y\":\""), F.col("tool_id"), F.lit('"}'))
+    found = rows.select("id", F.explode(E.json_entries(doc)).alias("e"))
+    return found.select("id", F.col("e.key").alias("key"), F.col("e.value").alias("value"))
+
+
 @query(
     "metadata_fields",
     with_logs(

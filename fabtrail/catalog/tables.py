@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fabtrail import schema as S
 from fabtrail.catalog.base import LOGS_SQL, logs_from_events as logs, query, table, with_logs
 from fabtrail.catalog.formats import INGEST_TS
-from fabtrail.functions.masking import mask_message
+from fabtrail.functions.masking import MASKS, mask_message
 from fabtrail.functions.signatures import file_signature
 from fabtrail.operators import aggregates as A, enrich as U, lookups as J, templates as T
 from fabtrail.operators.ordering import POSITION, number_rows
@@ -489,11 +489,36 @@ def template_peers(spark, sf_dir):
     return T.template_peers(_mined(spark, sf_dir), "0").select("id", "severity")
 
 
-@query("document_line_templates")
+@query(
+    "mined_templates_many",
+    with_logs("SELECT id, 'Pump <*> said <*> at last on <*> line <*>' AS drain_template FROM logs"),
+)
+def mined_templates_many(spark, sf_dir):
+    """As many templates of one shape as rows: four of eight words differ, in as many ways."""
+    rows = spread(logs(spark, sf_dir))
+    letters = lambda c: F.translate(c, "0123456789", "abcdefghij")
+    n = F.col("id").cast("bigint")
+    word = lambda k: letters((n * k % 10007 + 1000).cast("string"))
+    text = F.concat(F.lit("Pump w"), letters(F.col("id")), F.lit("3 said "), word(3), F.lit(" at last on "), word(7), F.lit(" line "), word(11))
+    return T.mine_templates(rows.withColumn("raw_message", text)).select("id", "drain_template")
+
+
+@query(
+    "document_line_templates",
+    r"""
+WITH lines AS (SELECT unnest(string_split(text, chr(10))) AS m FROM documents),
+a AS (SELECT regexp_replace(m, '\b[a-zA-Z0-9_]+-[a-zA-Z0-9_]+-[a-zA-Z0-9_]+\b', '<:EQUIPMENT_ID:>', 'g') AS m FROM lines WHERE m <> ''),
+p AS (SELECT m AS masked, regexp_matches(m, '[0-9]|[:=] ') AS marked FROM a)
+SELECT trim(regexp_replace(replace(masked, '_', ' '), '[\s\x85\xa0]+', ' ', 'g')) AS template, count(*) AS n
+FROM p WHERE NOT marked GROUP BY 1
+""",
+)
 def document_line_templates(spark, sf_dir):
-    """Exact templates of all document lines; the masks use look-arounds SQL does not have."""
+    """Exact templates of the document lines in which only the id mask can match; the other masks use look-arounds that
+    SQL does not have, and :func:`mask_messages` checks them."""
     lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("raw_message"))
-    return T.exact_templates(lines).select("template", "n")
+    unmarked = ~F.regexp_replace("raw_message", MASKS[0][0], "<:EQUIPMENT_ID:>").rlike("[0-9]|[:=] ")
+    return T.exact_templates(lines.where(unmarked)).select("template", "n").groupBy("template").agg(F.sum("n").alias("n"))
 
 
 # -- messages --------------------------------------------------------------------------------------------------

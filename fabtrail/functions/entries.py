@@ -11,10 +11,6 @@ from pyspark.sql import Column, functions as F
 from fabtrail.functions.text import let
 from fabtrail.schema import ENTRIES
 
-#: how deep nested objects are unfolded; deeper ones stay JSON values
-MAX_DEPTH = 6
-
-
 def entry(key: Column, value: Column, kind: Column) -> Column:
     return F.struct(key.alias("key"), value.alias("value"), kind.alias("kind"))
 
@@ -52,25 +48,37 @@ def object_entries(json: Column) -> Column:
     )
 
 
-def unfold(entries: Column, depth: int = MAX_DEPTH) -> Column:
-    """Replace nested objects by their members, keys joined with ``_``."""
-    if depth == 0:
-        return entries
+def _braces(entries: Column) -> Column:
+    """Opening braces in the objects among the entries: at least as many as they are deep."""
+    opening = lambda v: F.length(v) - F.length(F.replace(v, F.lit("{"), F.lit("")))
+    return F.aggregate(
+        entries, F.lit(0), lambda n, e: n + F.when(e["kind"] == "O", opening(e["value"])).otherwise(0)
+    )
+
+
+def unfold(entries: Column) -> Column:
+    """Replace nested objects by their members, however deep, keys joined with ``_``."""
 
     def members(parent: Column) -> Column:
-        nested = F.transform(
+        return F.transform(
             object_entries(parent["value"]),
             lambda e: entry(F.concat_ws("_", parent["key"], e["key"]), e["value"], e["kind"]),
         )
-        return unfold(nested, depth - 1)
 
-    def level(found: Column) -> Column:
-        opened = F.transform(
+    def opened(found: Column) -> Column:
+        one_level = F.transform(
             found, lambda e: F.when(e["kind"] == "O", members(e)).otherwise(F.array(e))
         )
-        return F.when(F.exists(found, lambda e: e["kind"] == "O"), F.flatten(opened)).otherwise(found)
+        return F.when(F.exists(found, lambda e: e["kind"] == "O"), F.flatten(one_level)).otherwise(found)
+
+    def all_levels(found: Column) -> Column:
+        levels = F.sequence(F.lit(1), _braces(found))
+        return F.when(
+            F.exists(found, lambda e: e["kind"] == "O"),
+            F.aggregate(levels, found.cast(ENTRIES), lambda done, _: opened(done).cast(ENTRIES)),
+        ).otherwise(found)
 
-    return let(entries, level)
+    return let(entries, all_levels)
 
 
 def keys(entries: Column) -> Column:

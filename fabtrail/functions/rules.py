@@ -16,17 +16,15 @@ def _lookup(mapping: dict[str, str], key: Column) -> Column:
     return F.try_element_at(literal_map(mapping), key)
 
 
-_SEVERITY_OF_WORD = {w: level for level, words in S.SEVERITY_WORDS.items() for w in words.split()}
-
 FIELD_OF_ALIAS: dict[str, str] = {}
 for _field, _names in S.ALIASES.items():
-    for _name in _names.split():
+    for _name in _names:
         FIELD_OF_ALIAS.setdefault(_name, _field)
 
 
 def severity_of(raw: Column) -> Column:
     """Canonical severity of a level word; unknown words are INFO."""
-    return F.coalesce(_lookup(_SEVERITY_OF_WORD, F.lower(strip(raw))), F.lit("INFO"))
+    return F.coalesce(_lookup(S.SEVERITY_OF_WORD, F.lower(strip(raw))), F.lit("INFO"))
 
 
 def severity_rank(severity: Column) -> Column:

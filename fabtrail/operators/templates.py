@@ -1,27 +1,23 @@
 """Message templates: exact ones by masking, then merged by similarity.
 
-The result does not depend on arrival order: templates are merged in a fixed order (most
-frequent first, then by text), so the same rows always give the same clusters.
+Which templates merge depends on the set of distinct templates alone, not on order of arrival or counts.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fabtrail.functions.masking import WILDCARD, mask_message, template_tokens
 from fabtrail.operators.ordering import lookup_join
 from fabtrail.session import stored
 
-# fixed values: two texts of one shape join when this share of their tokens is equal;
+# fixed values: texts of one shape join when at least this share of their tokens is equal;
 # the shape is the number of tokens and the leading tokens
 SIMILARITY = 0.4
 LEADING_TOKENS = 2
 
-#: templates merged by one task; larger groups are merged in rounds
-CHUNK_ROWS = 2000
-
 
 def exact_templates(df: DataFrame, message: str = "raw_message") -> DataFrame:
     """``(template, tokens, n)``: distinct masked messages with their counts."""
@@ -37,41 +33,6 @@ def exact_templates(df: DataFrame, message: str = "raw_message") -> DataFrame:
     )
 
 
-def _merge(groups: pd.DataFrame, similarity: float, leading: int) -> pd.DataFrame:
-    """Join the templates of one shape: each goes to the most similar cluster, if similar
-    enough, whose differing tokens become wildcards; else it opens a cluster."""
-    rows = groups.sort_values(["n", "template"], ascending=[False, True], kind="stable")
-    width = int(rows["width"].iloc[0])
-    if width == 0:
-        return rows.assign(merged=rows["template"])[["_node", "merged", "n"]]
-    texts = np.array([t.split(" ") for t in rows["template"]], dtype=object).reshape(-1, width)
-    codes, _ = pd.factorize(np.append(texts.ravel(), WILDCARD))
-    wild = codes[-1]
-    table = codes[:-1].reshape(-1, width)
-    centres = np.empty((len(table), width), dtype=table.dtype)
-    owner = np.empty(len(table), dtype=np.int64)
-    count = 0
-    for i, row in enumerate(table):
-        if count:
-            equal = centres[:count] == row
-            same = (equal & (row != wild)).sum(axis=1) / width
-            # equal shares: the one with more wildcards, then the first
-            best = np.lexsort((np.arange(count), -(centres[:count] == wild).sum(axis=1), -same))[0]
-            if same[best] >= similarity:
-                centres[best][centres[best] != row] = wild
-                owner[i] = best
-                continue
-        centres[count] = row
-        owner[i] = count
-        count += 1
-    words = dict(zip(codes, np.append(texts.ravel(), WILDCARD)))
-    names = [" ".join(words[c] for c in centres[k]) for k in range(count)]
-    return pd.DataFrame(
-        {"_node": rows["_node"].to_numpy(), "merged": [names[k] for k in owner], "n": rows["n"].to_numpy()}
-    )
-
-
-
 def _shape(df: DataFrame, leading: int) -> DataFrame:
     """Add the shape a template belongs to; leading tokens with digits do not tell shapes apart."""
     tokens = F.split("template", " ")
@@ -85,51 +46,45 @@ def _shape(df: DataFrame, leading: int) -> DataFrame:
 
 
 def merge_templates(
-    templates: DataFrame,
-    similarity: float = SIMILARITY,
-    leading: int = LEADING_TOKENS,
-    chunk_rows: int = CHUNK_ROWS,
-    max_rounds: int = 8,
+    templates: DataFrame, similarity: float = SIMILARITY, leading: int = LEADING_TOKENS
 ) -> DataFrame:
     """``(template, merged)`` for every distinct template.
 
-    A shape of up to ``chunk_rows`` templates is merged at once. A larger one is cut into
-    chunks by hash, each merged by itself, and the surviving clusters are merged again, until
-    they fit one chunk or a round finds nothing left to merge. Per round only the clusters
-    move on, and a (template, cluster) table follows them by equi-join.
+    A group (at first a shape) in which at least ``similarity`` of the positions hold one token throughout is
+    one cluster; its other positions become wildcards. Any other group is parted by the tokens of the position with the fewest
+    different ones, the first of equals. Each parting settles one more position, so it ends by itself; a step
+    is two aggregations over the tokens of the groups that are still open.
     """
-    merge_schema = "_node string, merged string, n bigint"
-
-    def run(groups: pd.DataFrame) -> pd.DataFrame:
-        return _merge(groups, similarity, leading)
-
-    nodes = templates.groupBy("template").agg(F.sum("n").alias("n"))
-    path = None
-    for round_no in range(max_rounds):
-        shaped = _shape(nodes, leading)
-        sizes = shaped.groupBy("shape").agg(F.count(F.lit(1)).alias("_size"))
-        chunked = lookup_join(shaped, sizes, ["shape"], sizes.withColumnRenamed("_size", "_n"))
-        chunks = F.ceil(F.col("_size") / chunk_rows).cast("int")
-        chunk = F.pmod(F.xxhash64("template", F.lit(round_no)), F.greatest(chunks, F.lit(1)))
-        step = stored(
-            chunked.withColumn("_chunk", chunk)
-            .withColumn("_node", F.col("template"))
-            .groupBy("shape", "_chunk")
-            .applyInPandas(run, merge_schema),
-            "merge",
+    nodes = _shape(templates.select("template").distinct(), leading)
+    open_groups = nodes.where("width > 0").select("template", "width", F.col("shape").alias("group"))
+    open_groups = stored(open_groups, "groups")
+    done = [nodes.where("width = 0").select("template", F.col("template").alias("merged"))]
+    while not open_groups.isEmpty():
+        tokens = open_groups.select("group", "width", F.posexplode(F.split("template", " ")).alias("place", "token"))
+        # a token that many templates share leaves a task once
+        distinct = tokens.distinct()
+        places = distinct.groupBy("group", "width", "place").agg(
+            F.count(F.lit(1)).alias("kinds"), F.min("token").alias("token")
+        )
+        shown = F.struct("place", F.when(F.col("kinds") == 1, F.col("token")).otherwise(F.lit(WILDCARD)).alias("token"))
+        groups = places.groupBy("group", "width").agg(
+            F.count(F.when(F.col("kinds") == 1, 1)).alias("settled"),
+            F.min(F.when(F.col("kinds") > 1, F.struct("kinds", "place"))).alias("narrow"),
+            F.sort_array(F.collect_list(shown)).alias("shown"),
+        )
+        groups = groups.select(
+            "group",
+            (F.col("settled") >= similarity * F.col("width")).alias("alike"),
+            F.col("narrow.place").alias("narrow"),
+            F.array_join(F.transform("shown", lambda x: x["token"]), " ").alias("merged"),
+        )
+        judged = stored(open_groups.join(stored(groups, "judged"), "group"), "judged")
+        done.append(judged.where("alike").select("template", "merged"))
+        token = F.get(F.split("template", " "), F.col("narrow"))
+        open_groups = judged.where(~F.col("alike")).select(
+            "template", "width", F.xxhash64("group", "narrow", token).alias("group")
         )
-        if path is None:
-            path = step.select(F.col("_node").alias("template"), "merged")
-        else:
-            path = lookup_join(
-                path.withColumnRenamed("merged", "_node"), step.select("_node", "merged"), ["_node"]
-            ).drop("_node")
-        before = nodes.count()
-        nodes = step.groupBy(F.col("merged").alias("template")).agg(F.sum("n").alias("n"))
-        single = shaped.groupBy("shape").count().where(F.col("count") > chunk_rows).isEmpty()
-        if single or nodes.count() == before:
-            break
-    return path
+    return reduce(DataFrame.unionByName, done)
 
 
 def cluster_id(template: Column) -> Column:
@@ -140,7 +95,7 @@ def cluster_id(template: Column) -> Column:
 def mine_templates(df: DataFrame, message: str = "raw_message", **settings) -> DataFrame:
     """Rows with ``drain_cluster_id`` and ``drain_template`` filled from their message."""
     exact = stored(exact_templates(df, message), "templates")
-    merged = merge_templates(exact.select("template", "n"), **settings)
+    merged = merge_templates(exact, **settings)
     known = exact.join(merged, "template").select(
         "masked", F.col("merged").alias("_template")
     )

@@ -85,6 +85,13 @@ def read_heads(
             F.substring("content", 1, n_bytes).alias("head"),
         )
 
+    # the listing is packed by file size; opening files takes time per file
+    return heads_of(list_files(spark, paths), n_bytes)
+
+
+def heads_of(files: DataFrame, n_bytes: int) -> DataFrame:
+    """Listed files (``source_path, source_filename, length``) with ``head``, their first bytes."""
+
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
@@ -93,10 +100,8 @@ def read_heads(
                     found.append(stream.read(n_bytes))
             yield batch.assign(head=found)
 
-    # the listing is packed by file size; opening files takes time per file
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    files = list_files(spark, paths).repartition(tasks)
-    return files.mapInPandas(
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    return files.select("source_path", "source_filename", "length").repartition(tasks).mapInPandas(
         heads, "source_path string, source_filename string, length bigint, head binary"
     )
 

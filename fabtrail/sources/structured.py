@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
+import json
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -22,10 +26,12 @@ from fabtrail.sources.files import (
 
 PLACE = ["source_path", "source_filename", "block", "row"]
 
+_NOT_BLANK = re.compile(r"[^ \t\r\n\ufeff]")
+
 # -- JSON ------------------------------------------------------------------------------
 
-#: larger array files are read by the streaming JSON reader instead of as one text
-WHOLE_JSON_BYTES = 512 * 1024 * 1024
+#: characters of an array file that are read at a time
+CHUNK_CHARACTERS = 1 << 20
 
 
 def _object_line(line: Column) -> Column:
@@ -94,21 +100,106 @@ def read_json_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return parse_json_lines(read_lines(spark, paths))
 
 
-def read_json_arrays(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return parse_json_arrays(read_whole(spark, paths)).select(*PLACE, "entries")
+def array_members(chunks: Iterator[str]) -> Iterator[str]:
+    """The objects of a JSON array that comes in chunks, as they are written; other members are passed over.
+
+    Holds a chunk and a member. Raises ``ValueError`` where the text is no array.
+    """
+    decode = json.JSONDecoder().raw_decode
+    text, at, more = "", 0, True
+
+    def fill(least: int) -> None:
+        nonlocal text, at, more
+        text, at = text[at:], 0
+        while more and len(text) < least:
+            chunk = next(chunks, None)
+            more = chunk is not None
+            text += chunk or ""
+
+    def skip() -> str:
+        """The next character that is no blank; empty at the end."""
+        nonlocal at
+        while True:
+            found = _NOT_BLANK.search(text, at)
+            if found:
+                at = found.start()
+                return text[at]
+            at = len(text)
+            if not more:
+                return ""
+            fill(1)
+
+    def end_of_member() -> tuple[object, int]:
+        wanted = CHUNK_CHARACTERS
+        while True:
+            try:
+                value, end = decode(text, at)
+                # a number may go on in the next chunk
+                if end < len(text) or not more:
+                    return value, end
+            except json.JSONDecodeError:
+                if not more:
+                    raise
+            wanted *= 2
+            fill(wanted)
+
+    if skip() != "[":
+        raise ValueError("no array")
+    at += 1
+    if skip() == "]":
+        at += 1
+    else:
+        while True:
+            skip()
+            value, end = end_of_member()
+            if isinstance(value, dict):
+                yield text[at:end]
+            at = end
+            mark = skip()
+            at += 1
+            if mark == "]":
+                break
+            if mark != ",":
+                raise ValueError("no comma between members")
+            if len(text) - at < CHUNK_CHARACTERS:
+                fill(CHUNK_CHARACTERS)
+    if skip():
+        raise ValueError("text after the array")
+
+
+def _file_chunks(path: str, size: int) -> Iterator[str]:
+    decoder = codecs.getincrementaldecoder("utf-8")(errors="replace")
+    with open_stream(path) as stream:
+        while data := stream.read(size):
+            yield decoder.decode(data)
+        yield decoder.decode(b"", final=True)
 
 
-def read_large_json_arrays(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Arrays too large for one row: the JSON reader streams through them.
+def read_json_arrays(files: DataFrame, chunk: int = CHUNK_CHARACTERS) -> DataFrame:
+    """Array files (``source_path, source_filename``) of any size to one row of ``entries`` per object.
 
-    The columns of a record then come in name order, not in source order.
+    A task streams through a file and hands on its objects as texts, in source order; they are parsed where Spark
+    deals them to. A file that is no array as a whole gives none, so it is gone through first.
     """
-    rows = spark.read.option("multiLine", True).json(paths)
-    fields = [f for f in rows.columns if not f.startswith("_corrupt")]
-    return rows.select(
-        *file_place(F.monotonically_increasing_id()),
-        E.json_entries(F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields]))).alias("entries"),
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, name in zip(batch["source_path"], batch["source_filename"]):
+                try:
+                    for _ in array_members(_file_chunks(path, chunk)):
+                        pass
+                except ValueError:
+                    continue
+                rows = enumerate(array_members(_file_chunks(path, chunk)))
+                while part := list(islice(rows, 2000)):
+                    yield pd.DataFrame([(path, name, 0, k, text) for k, text in part], columns=names)
+
+    names = [*PLACE, "object"]
+    tasks = spread_tasks(files.sparkSession)
+    texts = files.select("source_path", "source_filename").repartition(tasks, "source_path").mapInPandas(
+        members, "source_path string, source_filename string, block bigint, row bigint, object string"
     )
+    return texts.select(*PLACE, E.json_entries(F.col("object")).alias("entries"))
 
 
 # -- CSV and TSV -------------------------------------------------------------------------
@@ -307,16 +398,6 @@ def malformed_xml(files: DataFrame) -> DataFrame:
     )
 
 
-def xml_text_entries(row: Column, child_tags: list[str]) -> Column:
-    """Entries of an XML record held as text, for records with the given child tags."""
-    return F.array(
-        *[
-            E.entry(F.lit(tag), F.xpath_string(row, F.lit(f"/*/{tag}")), F.lit("S"))
-            for tag in child_tags
-        ]
-    )
-
-
 # -- Parquet -----------------------------------------------------------------------------------
 
 

@@ -72,14 +72,14 @@ def test_lookup_of_a_hot_key_that_is_absent(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
-def test_templates_do_not_depend_on_order_or_chunks(spark):
+def test_templates_do_not_depend_on_order_or_partitions(spark):
     words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
     lines = [f"Pump fault at {a} by {b} today ok" for a in words for b in words] + ["Door open now"] * 5
     rows = list(enumerate(lines))
     df = spark.createDataFrame(rows, "id int, raw_message string")
     whole = T.mine_templates(df)
     turned = T.mine_templates(df.orderBy(F.desc("id")))
-    chunked = T.mine_templates(df, chunk_rows=10)
+    chunked = T.mine_templates(df.repartition(7))
     expected = {"Pump fault at <*> by <*> today ok", "Door open now"}
     for found in (whole, turned, chunked):
         assert {r[0] for r in found.select("drain_template").distinct().collect()} == expected
