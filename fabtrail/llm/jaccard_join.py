@@ -13,12 +13,13 @@ for the shell. Regions that have become small are joined pair by pair; regions t
 after the last round are joined in blocks, so no link is lost. Links are decided on whole shingle sets.
 
 Equal shingle sets are one class from the start. Classes are told apart by a 64-bit hash of the set, shingles by
-56 bits of theirs.
+56 bits of theirs, and in the final measurement by 40.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,11 @@ WORDS = 5
 #: similarity in hundredths
 SIMILARITY = 80
 
-#: counters of the sketch that orders shingles: a fixed 2 ** 22, sent to all tasks as one byte each (4 MB)
-SKETCH_BITS, CHUNK = 22, 1 << 16
+#: counters of the sketch that orders shingles: a fixed 2 ** 20, sent to all tasks as one byte each (1 MB)
+SKETCH_BITS, CHUNK = 20, 1 << 16
+
+#: bytes of a shingle's hash that are shipped and compared when sets are measured
+MEMBER_BYTES = 5
 
 #: bits of the filter of classes whose sets are needed (4 MB, fixed); more classes mean more false alarms only
 FILTER_BITS = 1 << 25
@@ -99,6 +103,18 @@ def set_classes(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(sums(mix(value ^ _CLASS_SALT), bounds) + size * _SALT).view(np.int64)
 
 
+def _shortened(value: np.ndarray) -> bytes:
+    """The high bytes of sorted numbers."""
+    return value.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :MEMBER_BYTES].tobytes()
+
+
+def _lengthened(data) -> np.ndarray:
+    short = np.frombuffer(data, np.uint8).reshape(-1, MEMBER_BYTES)
+    out = np.zeros((len(short), 8), np.uint8)
+    out[:, 8 - MEMBER_BYTES :] = short
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def _slot(value: np.ndarray) -> np.ndarray:
     return (value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -189,7 +205,7 @@ def _prefixes(docs: DataFrame, levels, n: int, similarity: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted, n: int) -> DataFrame:
-    """``cls, members``: the whole sets, as sorted 64-bit numbers, of the classes that the filter lets through."""
+    """``cls, members``: the whole sets, ``MEMBER_BYTES`` bytes a shingle, of the classes that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.uint8)
@@ -204,7 +220,7 @@ def _sets(docs: DataFrame, wanted, n: int) -> DataFrame:
                     c = int(cls[i])
                     if c not in seen:
                         seen.add(c)
-                        out.append((c, value[bounds[i] : bounds[i + 1]].tobytes()))
+                        out.append((c, _shortened(value[bounds[i] : bounds[i + 1]])))
                 yield pa.RecordBatch.from_pydict(
                     {"cls": pa.array([c for c, _ in out], pa.int64()), "members": pa.array([m for _, m in out], pa.binary())}
                 )
@@ -238,7 +254,7 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             common, n_a, n_b = [], [], []
             for x, y in zip(batch.column("members_a"), batch.column("members_b")):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                u, v = _lengthened(x.as_buffer()), _lengthened(y.as_buffer())
                 common.append(len(np.intersect1d(u, v, assume_unique=True)))
                 n_a.append(len(u))
                 n_b.append(len(v))
@@ -290,56 +306,98 @@ def _by_size(live: DataFrame) -> tuple[DataFrame, DataFrame]:
     return small, sized.where(F.col("size") > LEAF).drop("size")
 
 
-def _round(live: DataFrame, sets: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
-    """One pivot in each region: the links found, and what must still meet in each region."""
+def _first_pivots(windows: DataFrame) -> DataFrame:
+    """``key, cls, n, pivot, n_pivot``: the members of each region but its first class, beside that class.
+
+    One pass over the windows sorted by region and class; a region is never held as a whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, cls, n = (batch.column(c).to_numpy() for c in ("key", "cls", "n"))
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            again = np.zeros(len(key), bool)
+            again[1:] = ~new[1:] & (cls[1:] == cls[:-1])
+            if last is not None and last[0] == key[0]:
+                new[0] = False
+                again[0] = last[3] == cls[0]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            pivot, size = cls[np.maximum(first, 0)], n[np.maximum(first, 0)]
+            if not new[0]:
+                # the region began in an earlier batch
+                goes_on = first < 0
+                pivot, size = np.where(goes_on, last[1], pivot), np.where(goes_on, last[2], size).astype(np.int32)
+            last = (key[-1], pivot[-1], size[-1], cls[-1])
+            keep = (cls != pivot) & ~again
+            yield pa.RecordBatch.from_pydict(
+                {"key": pa.array(key[keep]), "cls": pa.array(cls[keep]), "n": pa.array(n[keep]), "pivot": pa.array(pivot[keep]),
+                 "n_pivot": pa.array(size[keep])}
+            )
+
+    lined = windows.repartition("key").sortWithinPartitions("key", "cls")
+    return lined.mapInArrow(run, "key bigint, cls bigint, n int, pivot bigint, n_pivot int")
+
+
+def _pivots(live: DataFrame) -> DataFrame:
+    """The same for regions that are left after a round."""
+    first = live.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("first"))
+    met = live.join(first, "key").where(F.col("cls") != F.col("first.cls"))
+    return met.select("key", "cls", "n", F.col("first.cls").alias("pivot"), F.col("first.n").alias("n_pivot"))
+
+
+def _round(met: DataFrame, sets: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """Members beside a pivot of each region: the links found, and what must still meet in each region."""
     radius = 1 - similarity / 100
-    pivots = live.groupBy("key").agg(F.min("cls").alias("pivot"))
-    met = stored(live.join(pivots, "key").where("cls <> pivot"), "pivoted")
-    pairs = met.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
-    measured = stored(_measured(pairs, sets).dropDuplicates(["a", "b"]), "distances")
+    # beyond twice the radius, which sizes alone may tell, the distance does not matter
+    within = F.least("n", "n_pivot") >= (1 - 2 * radius) * F.greatest("n", "n_pivot") - 1e-9
+    pairs = met.where(within).select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
+    measured = stored(_measured(pairs, sets), "distances")
     links = measured.where(_is_link(similarity)).select("a", "b")
     distance = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
-    told = met.join(
-        measured.select(F.col("a").alias("cls"), F.col("b").alias("pivot"), distance.alias("d"), _is_link(similarity).alias("ball")),
-        ["cls", "pivot"],
-    )
-    in_shell = ~F.col("ball") & (F.col("d") <= 2 * radius + 1e-9)
+    # only what is at most twice the radius away matters here, and it is little
+    near = measured.select(
+        F.col("a").alias("cls"), F.col("b").alias("pivot"), distance.alias("d"), _is_link(similarity).alias("ball")
+    ).where(F.col("ball") | (F.col("d") <= 2 * radius + 1e-9))
+    told = met.join(near, ["cls", "pivot"], "left").withColumn("ball", F.coalesce("ball", F.lit(False)))
+    told = stored(told.select("key", "cls", "n", "d", "ball"), "told")
     # the inner edge of the region's shell; without a shell nothing of the ball is needed further
-    edges = told.where(in_shell).groupBy("key").agg(F.min("d").alias("edge"))
-    kept = told.join(edges, "key", "left").where(~F.col("ball") | (F.col("d") >= F.col("edge") - radius - 1e-9))
-    return links, kept.select("key", "cls", "n")
+    edges = told.where(~F.col("ball") & F.col("d").isNotNull()).groupBy("key").agg(F.min("d").alias("edge"))
+    outer = told.where("ball").join(edges, "key").where(F.col("d") >= F.col("edge") - radius - 1e-9)
+    rest = told.where(~F.col("ball")).select("key", "cls", "n").unionByName(outer.select("key", "cls", "n"))
+    return links, rest
 
 
 def class_links(docs: DataFrame, levels_of: DataFrame, n: int, similarity: int) -> DataFrame:
     """Links ``a, b`` between classes that together connect what similarity connects."""
     spark: SparkSession = docs.sparkSession
     levels = spark.sparkContext.broadcast(_levels(levels_of).tobytes())
-    windows = stored(_prefixes(docs, levels, n, similarity), "windows")
-    # the same class may come from several tasks
-    regions = windows.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("key")
-    live = windows.join(regions, "key").distinct()
-    small, large = _by_size(live)
-    wanted = spark.sparkContext.broadcast(_class_filter(small.select("cls").unionByName(large.select("cls"))))
+    met = stored(_first_pivots(_prefixes(docs, levels, n, similarity)), "met")
+    classes = met.select("cls").unionByName(met.select(F.col("pivot").alias("cls")))
+    wanted = spark.sparkContext.broadcast(_class_filter(classes))
     sets = stored(_sets(docs, wanted, n), "sets")
-    links, todo = [], [small]
+    found, rest = _round(met, sets, similarity)
+    links, todo = [found], []
+    small, large = _by_size(rest)
+    todo.append(small)
     for _ in range(MOST_ROUNDS):
         if large.isEmpty():
             break
-        found, rest = _round(large, sets, similarity)
+        found, rest = _round(stored(_pivots(large), "met"), sets, similarity)
         links.append(found)
         small, large = _by_size(rest)
         todo.append(small)
-    pairs = None
+    pairs = []
     for number, leaf in enumerate(todo):
-        own = _pairs_in(leaf.withColumn("region", F.struct(F.lit(number).alias("round"), "key")), similarity)
-        pairs = own if pairs is None else pairs.unionByName(own)
+        pairs.append(_pairs_in(leaf.withColumn("region", F.struct(F.lit(number).alias("round"), "key")), similarity))
     if not large.isEmpty():
-        pairs = pairs.unionByName(_pairs_in_blocks(large, similarity))
-    links.append(_measured(stored(pairs.distinct(), "pairs"), sets).where(_is_link(similarity)).select("a", "b"))
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return stored(out.distinct(), "class-links")
+        pairs.append(_pairs_in_blocks(large, similarity))
+    every = stored(reduce(DataFrame.unionByName, pairs).distinct(), "pairs")
+    links.append(_measured(every, sets).where(_is_link(similarity)).select("a", "b"))
+    return stored(reduce(DataFrame.unionByName, links).distinct(), "class-links")
 
 
 def jaccard_components(docs: DataFrame, n: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
