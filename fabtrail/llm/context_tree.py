@@ -25,7 +25,7 @@ from fabtrail.llm.words import hash_words, owners, split_words, sums, text_slice
 from fabtrail.session import stored
 
 #: bytes of context; with the byte itself they fit into one 64-bit number
-DEPTH = 6
+DEPTH = 5
 
 #: the end mark, and what stands before a text's first byte: never part of UTF-8
 END = 0xFF
@@ -33,8 +33,11 @@ END = 0xFF
 #: entries that go to all tasks, at most: (context, byte) pairs and words
 FREQUENT = {"gram": 1 << 21, "word": 1 << 20}
 
-#: distinct entries a task merges before it hands them on
-MERGED = 1 << 22
+#: distinct entries a task merges before it hands them on, and how many it gathers between mergers
+MERGED, GATHERED = 1 << 22, 1 << 21
+
+#: bytes of text that are counted or scored at once
+SLICE = 2 << 20
 
 #: held-out documents: crc32 of the id has this remainder
 FOLDS = 10
@@ -42,9 +45,6 @@ FOLDS = 10
 #: added to every count of the unigram base
 ADDED = 0.1
 
-#: the end of a text as a word; no word hashes to it but by chance of 2 ** -64
-END_WORD = np.uint64(0x5555AAAA5555AAAA)
-
 HALF = np.log(0.5)
 
 
@@ -74,35 +74,46 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of each text, without the end; and their bounds."""
+    """Hashes (63 bits) of the lower-cased words of each text, without the end; and their bounds."""
     words, bounds = split_words(texts, lower=True)
-    return hash_words(words), bounds
+    return hash_words(words) >> np.uint64(1), bounds
+
+
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]]))
 
 
 class _Counter:
-    """Counts of numbers, with and without the held-out texts, merged as they come."""
+    """Counts of numbers below 2 ** 63, with and without the held-out texts, merged as they come."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
+        self.gathered = 0
 
     def add(self, values: np.ndarray, trained: np.ndarray) -> None:
-        order = np.argsort(values)
-        self._merge(values[order], np.ones(len(values), np.int64), trained[order].astype(np.int64))
-
-    def _merge(self, values: np.ndarray, total: np.ndarray, trained: np.ndarray) -> None:
-        if not len(values):
-            return
-        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-        self.parts.append((values[first], np.add.reduceat(total, first), np.add.reduceat(trained, first)))
-        self.size += len(first)
-
-    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        values, total, trained = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*self.parts)) or [[], [], []]))
-        self.parts, self.size = [], 0
-        order = np.argsort(values, kind="stable")
-        self._merge(values[order], total[order], trained[order])
-        return self.parts[0] if self.parts else (np.zeros(0, np.uint64), total, trained)
+        """A plain sort does: the lowest bit tells whether the text is learned from."""
+        if len(values):
+            marked = np.sort((values << np.uint64(1)) | trained.astype(np.uint64))
+            values = marked >> np.uint64(1)
+            first = _runs(values)
+            total = np.diff(np.concatenate([first, [len(values)]]))
+            learned = np.add.reduceat((marked & np.uint64(1)).astype(np.uint32), first)
+            self.parts.append((values[first], total.astype(np.uint32), learned))
+            self.gathered += len(first)
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All that was added: values in order, their counts, and those to learn from."""
+        if len(self.parts) > 1:
+            values, total, trained = (np.concatenate(x) for x in zip(*self.parts))
+            order = np.argsort(values, kind="stable")
+            values = values[order]
+            first = _runs(values)
+            counts = [np.add.reduceat(x[order], first, dtype=np.uint32) for x in (total, trained)]
+            self.parts = [(values[first], *counts)]
+        self.gathered = 0
+        none = np.zeros(0, np.uint32)
+        return self.parts[0] if self.parts else (np.zeros(0, np.uint64), none, none)
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -111,26 +122,26 @@ def _counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = {"gram": _Counter(), "word": _Counter()}
 
-        def empty(kind: str) -> pa.RecordBatch:
-            values, total, trained = counters[kind].all()
+        def empty(kind: str) -> Iterator[pa.RecordBatch]:
+            values, total, trained = counters[kind].merge()
             counters[kind] = _Counter()
-            return pa.RecordBatch.from_pydict(
-                {"kind": pa.array([kind] * len(values), pa.string()), "key": pa.array(values.view(np.int64)),
-                 "total": pa.array(total, pa.int64()), "trained": pa.array(trained, pa.int64())}
-            )
+            for at in range(0, len(values), 1 << 17):
+                own = slice(at, at + (1 << 17))
+                yield pa.RecordBatch.from_pydict(
+                    {"kind": pa.array([kind] * len(values[own]), pa.string()), "key": pa.array(values[own].view(np.int64)),
+                     "total": pa.array(total[own].astype(np.int64)), "trained": pa.array(trained[own].astype(np.int64))}
+                )
 
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE):
                 trained = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-                for kind, (values, bounds) in (("gram", grams(part.column("text"))), ("word", text_words(part.column("text")))):
+                for kind, find in (("gram", grams), ("word", text_words)):
+                    values, bounds = find(part.column("text"))
                     counters[kind].add(values, trained[owners(bounds)])
-                    if counters[kind].size > 4 * MERGED:
-                        merged = counters[kind].all()
-                        counters[kind].parts, counters[kind].size = [merged], len(merged[0])
-                        if counters[kind].size > MERGED:
-                            yield empty(kind)
+                    if counters[kind].gathered > GATHERED and len(counters[kind].merge()[0]) > MERGED:
+                        yield from empty(kind)
         for kind in counters:
-            yield empty(kind)
+            yield from empty(kind)
 
     return docs.mapInArrow(run, "kind string, key bigint, total bigint, trained bigint")
 
@@ -154,51 +165,45 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - 2 * half - log_gamma(zeros + ones + 1.0)
 
 
-def _decisions(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place (1 to 255) and bit of the eight decisions of each byte, in rows of eight."""
-    k = np.arange(8)
-    whole = byte.astype(np.int64)[:, None] | 256
-    return whole >> (8 - k), (whole >> (7 - k)) & 1
+class Level:
+    """Nodes of one depth over sorted rows ``context * 256 + byte``.
 
+    The rows that share a context and the first k bits of the byte lie together, so the nodes of each k are runs of rows.
+    Rows may have count 0; a node without counts changes no other one.
+    """
 
-class Level:
-    """Nodes of one depth: ``key`` is the context's number times 256 and the place."""
-
-    def __init__(self, contexts: np.ndarray, byte: np.ndarray, count: np.ndarray):
-        self.contexts, own = np.unique(contexts, return_inverse=True)
-        place, bit = _decisions(byte)
-        key = (own[:, None] * 256 + place).ravel()
-        self.key, node = np.unique(key, return_inverse=True)
-        times = np.repeat(count, 8)
-        self.ones = np.bincount(node, times * bit.ravel(), len(self.key))
-        self.zeros = np.bincount(node, times, len(self.key)) - self.ones
-        self.log_stop = HALF + log_kt(self.zeros, self.ones)
-        self.log_weighted = None
-
-    def weigh(self, deeper: Level | None, mask: np.uint64) -> None:
-        """Mix with the level below, whose contexts shortened by ``mask`` are this level's."""
-        if deeper is None:
-            self.log_weighted = self.log_stop - HALF
-            self.stop = np.ones(len(self.key))
-            return
-        parent = np.searchsorted(self.contexts, deeper.contexts & mask)
-        up = np.searchsorted(self.key, parent[deeper.key >> 8] * 256 + (deeper.key & 255))
-        children = np.bincount(up, deeper.log_weighted, len(self.key))
-        self.log_weighted = np.logaddexp(self.log_stop, HALF + children)
-        self.stop = np.exp(self.log_stop - self.log_weighted)
-
-    def find(self, contexts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Node of each context and place, and whether there is one."""
-        if not len(self.key):
-            return np.zeros(place.shape, np.int64), np.zeros(place.shape, bool)
-        own = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
-        known = self.contexts[own] == contexts
-        key = own[:, None] * 256 + place
-        node = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return node, known[:, None] & (self.key[node] == key)
-
-    def estimate(self, node: np.ndarray) -> np.ndarray:
-        return (self.ones[node] + 0.5) / (self.zeros[node] + self.ones[node] + 1)
+    def __init__(self, rows: np.ndarray, count: np.ndarray):
+        self.rows = rows
+        byte = (rows & np.uint64(255)).astype(np.int64)
+        self.first, self.node, ones, total = [], [], [], []
+        for k in range(8):
+            first = _runs(rows >> np.uint64(8 - k))
+            node = np.zeros(len(rows), np.int32)
+            node[first[1:]] = 1
+            self.first.append(first)
+            self.node.append(np.cumsum(node, dtype=np.int32))
+            if len(rows):
+                total.append(np.add.reduceat(count, first))
+                ones.append(np.add.reduceat(np.where((byte >> (7 - k)) & 1, count, 0.0), first))
+            else:
+                total.append(np.zeros(0))
+                ones.append(np.zeros(0))
+        self.total, self.ones = total, ones
+        self.stop: list[np.ndarray] = []
+        self.log_weighted: list[np.ndarray] = []
+
+    def weigh(self, deeper: Level | None, up: np.ndarray | None) -> None:
+        """Mix with the level below, whose rows belong to this level's rows ``up``."""
+        for k in range(8):
+            log_stop = log_kt(self.total[k] - self.ones[k], self.ones[k])
+            if deeper is None:
+                self.log_weighted.append(log_stop)
+                self.stop.append(np.ones(len(log_stop)))
+                continue
+            parent = self.node[k][up[deeper.first[k]]]
+            children = np.bincount(parent, deeper.log_weighted[k], len(log_stop))
+            self.log_weighted.append(np.logaddexp(HALF + log_stop, HALF + children))
+            self.stop.append(np.exp(HALF + log_stop - self.log_weighted[k]))
 
 
 def _mask(depth: int) -> np.uint64:
@@ -209,15 +214,20 @@ def _mask(depth: int) -> np.uint64:
 SPLIT = 2
 
 
-def deep_levels(values: np.ndarray, trained: np.ndarray) -> dict[int, Level]:
-    """Levels ``SPLIT`` to ``DEPTH`` of some of the (context, byte) pairs, weighted from below."""
-    met = trained > 0
-    contexts, byte, count = values[met] >> np.uint64(8), values[met] & np.uint64(255), trained[met]
-    levels: dict[int, Level] = {}
-    for depth in range(DEPTH, SPLIT - 1, -1):
-        levels[depth] = Level(contexts & _mask(depth), byte, count)
-        levels[depth].weigh(levels.get(depth + 1), _mask(depth))
-    return levels
+def deep_levels(values: np.ndarray, trained: np.ndarray) -> tuple[dict[int, Level], dict[int, np.ndarray]]:
+    """Levels ``SPLIT`` to ``DEPTH`` of distinct (context, byte) pairs in order, weighted from below, and for each level
+    the row of every pair."""
+    rows, count = values, trained.astype(np.float64)
+    place = np.arange(len(values))
+    levels, places = {DEPTH: Level(rows, count)}, {DEPTH: place}
+    levels[DEPTH].weigh(None, None)
+    for depth in range(DEPTH - 1, SPLIT - 1, -1):
+        rows, up = np.unique(rows & _mask(depth + 1), return_inverse=True)
+        count = np.bincount(up, count, len(rows))
+        levels[depth], place = Level(rows, count), up[place]
+        places[depth] = place
+        levels[depth].weigh(levels[depth + 1], up)
+    return levels, places
 
 
 class Top:
@@ -246,30 +256,71 @@ class Top:
 
 
 def log_probabilities(values: np.ndarray, trained: np.ndarray, top: Top) -> np.ndarray:
-    """Natural logarithm of each byte's probability in its context."""
-    levels = deep_levels(values, trained)
-    context, byte = values >> np.uint64(8), values & np.uint64(255)
+    """Natural logarithm of each byte's probability in its context; values are distinct and in order."""
+    levels, places = deep_levels(values, trained)
+    byte = (values & np.uint64(255)).astype(np.int64)
+    last = ((values >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
     out = np.zeros(len(values))
-    for at in range(0, len(values), 1 << 17):
-        own = slice(at, at + (1 << 17))
-        place, bit = _decisions(byte[own])
-        last = (context[own] & np.uint64(255)).astype(np.int64)[:, None]
+    for k in range(8):
+        place, bit = (byte | 256) >> (8 - k), (byte >> (7 - k)) & 1
         said, left, near = top.said[last, place], top.left[last, place], top.near[last, place]
-        going = np.ones(place.shape, bool)
         for depth in range(SPLIT, DEPTH + 1):
-            node, met = levels[depth].find(context[own] & _mask(depth), place)
-            going &= met
-            if not len(levels[depth].key):
-                break
-            estimate, stop = levels[depth].estimate(node), levels[depth].stop[node]
-            said = np.where(going, said + left * stop * estimate, said)
-            left = np.where(going, left * (1 - stop), left)
-            near = np.where(going, estimate, near)
+            level = levels[depth]
+            node = level.node[k][places[depth]]
+            estimates = (level.ones[k] + 0.5) / (level.total[k] + 1)
+            # a context that was not met hands on to nothing; neither do longer ones
+            met = (level.total[k] > 0)[node]
+            estimate, stop = estimates[node], level.stop[k][node]
+            said = np.where(met, said + left * stop * estimate, said)
+            left = np.where(met, left * (1 - stop), left)
+            near = np.where(met, estimate, near)
         one = np.clip(said + left * near, 1e-12, 1 - 1e-12)
-        out[own] = np.log(np.where(bit == 1, one, 1 - one)).sum(1)
+        out += np.log(np.where(bit == 1, one, 1 - one))
     return out
 
 
+# -- a table that all tasks have ----------------------------------------------------------------
+
+
+class Table:
+    """Entries of distinct numbers below 2 ** 63 - 1, found by hashing; bulk look-ups only."""
+
+    _NONE = np.uint64((1 << 64) - 1)
+    _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray, entries: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, self._NONE, np.uint64)
+        self.entries = np.zeros(1 << self.bits, entries.dtype)
+        slot = self._slots(keys)
+        while len(keys):
+            free = self.keys[slot] == self._NONE
+            # of several that want a slot one gets it
+            chosen = np.zeros(len(keys), bool)
+            chosen[np.flatnonzero(free)[np.unique(slot[free], return_index=True)[1]]] = True
+            self.keys[slot[chosen]], self.entries[slot[chosen]] = keys[chosen], entries[chosen]
+            keys, entries, slot = keys[~chosen], entries[~chosen], (slot[~chosen] + 1) & (len(self.keys) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * self._GOLDEN) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entry of each value (0 where there is none), and whether there is one."""
+        slot = self._slots(values)
+        seen = self.keys[slot]
+        met = seen == values
+        out = np.where(met, self.entries[slot], 0)
+        rest = np.flatnonzero(~met & (seen != self._NONE))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & (len(self.keys) - 1)
+            seen = self.keys[slot[rest]]
+            hit = seen == values[rest]
+            met[rest[hit]] = True
+            out[rest[hit]] = self.entries[slot[rest[hit]]]
+            rest = rest[~hit & (seen != self._NONE)]
+        return out, met
+
+
 # -- Spark --------------------------------------------------------------------------------------
 
 
@@ -278,20 +329,28 @@ def _by_suffix(pairs: DataFrame) -> DataFrame:
     return pairs.repartition(F.shiftright("key", 8).bitwiseAND(F.lit(int(_mask(SPLIT)))))
 
 
-def _whole(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> list[np.ndarray]:
+def _in_order(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> list[np.ndarray]:
+    """Columns of all rows of a task, sorted by the first."""
     kept = [[b.column(c).to_numpy(zero_copy_only=False) for c in names] for b in batches]
-    return [np.concatenate(x) for x in zip(*kept)] if kept else [np.zeros(0, np.int64) for _ in names]
+    if not kept:
+        return [np.zeros(0, np.int64) for _ in names]
+    columns = [np.concatenate(x) for x in zip(*kept)]
+    order = np.argsort(columns[0])
+    return [c[order] for c in columns]
 
 
 def _learn_top(pairs: DataFrame) -> Top:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, trained = _whole(batches, ("key", "trained"))
-        level = deep_levels(key.view(np.uint64), trained)[SPLIT]
-        last = (level.contexts[level.key >> 8] & np.uint64(255)).astype(np.int32) if len(level.key) else np.zeros(0, np.int32)
-        yield pa.RecordBatch.from_pydict(
-            {"last": pa.array(last), "place": pa.array((level.key & 255).astype(np.int32)), "zeros": pa.array(level.zeros),
-             "ones": pa.array(level.ones), "below": pa.array(level.log_weighted)}
-        )
+        key, trained = _in_order(batches, ("key", "trained"))
+        level = deep_levels(key.view(np.uint64), trained)[0][SPLIT]
+        for k in range(8):
+            rows = level.rows[level.first[k]]
+            met = level.total[k] > 0
+            last = ((rows >> np.uint64(8)) & np.uint64(255)).astype(np.int32)
+            place = (((rows & np.uint64(255)).astype(np.int32) | 256) >> (8 - k)).astype(np.int32)
+            zeros = level.total[k] - level.ones[k]
+            columns = {"last": last, "place": place, "zeros": zeros, "ones": level.ones[k], "below": level.log_weighted[k]}
+            yield pa.RecordBatch.from_pydict({c: pa.array(v[met]) for c, v in columns.items()})
 
     nodes = _by_suffix(pairs).select("key", "trained").mapInArrow(run, "last int, place int, zeros double, ones double, below double")
     # at most 256 * 255 rows
@@ -302,7 +361,7 @@ def _learn_top(pairs: DataFrame) -> Top:
 
 def _weigh(pairs: DataFrame, top) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, total, trained = _whole(batches, ("key", "total", "trained"))
+        key, total, trained = _in_order(batches, ("key", "total", "trained"))
         if len(key):
             value = log_probabilities(key.view(np.uint64), trained, top.value)
             for at in range(0, len(key), 1 << 16):
@@ -314,8 +373,8 @@ def _weigh(pairs: DataFrame, top) -> DataFrame:
     return _by_suffix(pairs).select("key", "total", "trained").mapInArrow(run, "key bigint, total bigint, value double")
 
 
-def _frequent(rows: DataFrame, most: int, *columns: str) -> list[np.ndarray]:
-    """``key`` and other columns of the rows with the largest ``total``, sorted by key: at most ``most`` of them.
+def _frequent(rows: DataFrame, most: int, column: str) -> Table:
+    """A column of the rows with the largest ``total``, by their keys: at most ``most`` of them.
 
     The least total that counts is found from a histogram, by eighths of doublings.
     """
@@ -328,26 +387,8 @@ def _frequent(rows: DataFrame, most: int, *columns: str) -> list[np.ndarray]:
             break
         least = row.step
     chosen = rows.where(step >= least) if least is not None else rows.where("false")
-    table = chosen.select("key", *columns).toArrow()
-    order = np.argsort(table.column("key").to_numpy().view(np.uint64))
-    return [table.column("key").to_numpy().view(np.uint64)[order], *(table.column(c).to_numpy()[order] for c in columns)]
-
-
-def _look_up(values: np.ndarray, keys: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The entry of each value (0 where there is none), and whether there is one; each distinct value is looked up once."""
-    if not len(values) or not len(keys):
-        return np.zeros(len(values)), np.zeros(len(values), bool)
-    order = np.argsort(values)
-    ordered = values[order]
-    fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    distinct = ordered[fresh]
-    at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
-    known = keys[at] == distinct
-    which = np.cumsum(fresh) - 1
-    out, met = np.zeros(len(values)), np.zeros(len(values), bool)
-    out[order] = np.where(known, found[at], 0)[which]
-    met[order] = known[which]
-    return out, met
+    table = chosen.select("key", column).toArrow()
+    return Table(table.column("key").to_numpy().view(np.uint64), table.column(column).to_numpy())
 
 
 def _lists(values: np.ndarray, keep: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -362,7 +403,7 @@ def scores(docs: DataFrame) -> DataFrame:
     ``held_out`` documents (crc32 of the id as text mod 10 is 0) are not learned from. Tokens are the lower-cased words (A-Z only) and one end.
     ``base_score`` is the smoothed unigram log10 probability, ``score`` the model's log10 probability of the whole text and its end;
     ``bits_per_byte`` is the code length by it. A null text counts as empty: one token, the end. Rows that repeat a doc_id count each.
-    Without training documents the model says one half of every bit. Other columns are not read. Words are told apart by 64-bit hashes.
+    Without training documents the model says one half of every bit. Other columns are not read. Words are told apart by 63-bit hashes.
     """
     spark = docs.sparkSession
     held = remainder(F.col("doc_id"), FOLDS) == 0
@@ -383,13 +424,13 @@ def scores(docs: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (gram_keys, gram_values), (word_keys, word_counts) = frequent.value
+        gram_table, word_table = frequent.value
         for batch in batches:
-            for part in text_slices(batch, limit=4 << 20):
+            for part in text_slices(batch, limit=SLICE):
                 values, bounds = grams(part.column("text"))
-                log, met = _look_up(values, gram_keys, gram_values)
+                log, met = gram_table.find(values)
                 hashes, word_bounds = text_words(part.column("text"))
-                count, word_met = _look_up(hashes, word_keys, word_counts)
+                count, word_met = word_table.find(hashes)
                 base = np.where(word_met, np.log10((count + ADDED) / below), 0)
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": part.column("doc_id"), "held_out": part.column("held_out"),

@@ -82,13 +82,14 @@ def test_probabilities_match_the_definition():
     keys = np.concatenate([keys, context_tree.grams(pa.array(["zab", "aaaaaaaa"]))[0]])
     keys, first = np.unique(keys, return_index=True)
     trained = np.where(first < len(trained), np.concatenate([trained, np.zeros(20, np.int64)])[np.minimum(first, len(trained) + 19)], 0)
-    level = context_tree.deep_levels(keys, trained)[context_tree.SPLIT]
-    last = (level.contexts[level.key >> 8] & np.uint64(255)).astype(int)
+    level = context_tree.deep_levels(keys, trained)[0][context_tree.SPLIT]
     sums = {}
-    for k in range(len(level.key)):
-        own = sums.setdefault((last[k], int(level.key[k] & 255)), [0.0, 0.0, 0.0])
-        for j, x in enumerate((level.zeros[k], level.ones[k], level.log_weighted[k])):
-            own[j] += x
+    for k in range(8):
+        for j, at in enumerate(level.first[k]):
+            row = int(level.rows[at])
+            own = sums.setdefault(((row >> 8) & 255, (row & 255 | 256) >> (8 - k)), [0.0, 0.0, 0.0])
+            for x, v in enumerate((level.total[k][j] - level.ones[k][j], level.ones[k][j], level.log_weighted[k][j])):
+                own[x] += v
     where = np.array(list(sums))
     top = context_tree.Top(where[:, 0], where[:, 1], *np.array(list(sums.values())).T)
     got = context_tree.log_probabilities(keys, trained, top)
@@ -113,6 +114,17 @@ def test_probabilities_sum_to_one():
     assert np.exp(got[np.searchsorted(all_keys, every)]).sum() == pytest.approx(1)
 
 
+def test_table_finds_what_it_holds():
+    random = np.random.default_rng(4)
+    for n in (0, 1, 5, 3000):
+        keys = np.unique(random.integers(0, 1 << 62, n).astype(np.uint64))
+        table = context_tree.Table(keys, np.arange(len(keys)) + 1.0)
+        other = random.integers(0, 1 << 62, 500).astype(np.uint64)
+        found, met = table.find(np.concatenate([keys, other, keys]))
+        assert met[: len(keys)].all() and (found[: len(keys)] == np.arange(len(keys)) + 1).all()
+        assert not met[len(keys) : len(keys) + 500].any() and (found[len(keys) + 500 :] == np.arange(len(keys)) + 1).all()
+
+
 def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 2, 7.5, 100.5, 1e6])
     assert np.allclose(context_tree.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
