@@ -18,7 +18,7 @@ from fabtrail.sources import binary as B
 from fabtrail.sources import structured as ST
 from fabtrail.sources.files import list_files
 from fabtrail.sources.lines import LINE_PARSERS
-from fabtrail.sources.render import MAGIC, RENDERERS, frame_record, render, write_files
+from fabtrail.sources.render import MAGIC, RENDERERS, export_csv, export_json, frame_record, render, write_files
 
 INGEST_TS = "2024-06-01T00:00:00"
 
@@ -202,6 +202,42 @@ def json_array_key_order(spark, sf_dir):
     ).withColumn("unmapped", F.transform("unmapped", lambda k: F.left(k, F.lit(1))))
 
 
+_EXPORT = ["id", "timestamp", "tool_id", "severity", "event_name", "parameter_value", "alarm_code", "raw_message"]
+_EXPORT_SQL = with_logs(
+    "SELECT id, timestamp, tool_id, severity, 'said \"' || event_name || '\", ' || tool_id AS event_name, parameter_value, alarm_code, raw_message FROM logs"
+)
+
+
+def _to_export(spark, sf_dir) -> DataFrame:
+    quoted = F.concat(F.lit('said "'), F.col("event_name"), F.lit('", '), F.col("tool_id"))
+    return logs(spark, sf_dir).withColumn("event_name", quoted).select(*_EXPORT)
+
+
+@query("export_csv_files", _EXPORT_SQL)
+def export_csv_files(spark, sf_dir):
+    """Written as CSV with a header, read again."""
+    path = scratch_path(spark, "catalog-export") + "/csv"
+    rows = _to_export(spark, sf_dir)
+    export_csv(rows, path)
+    return spark.read.schema(rows.schema).option("escape", '"').csv(path, header=True)
+
+
+@query("export_json_files", _EXPORT_SQL)
+def export_json_files(spark, sf_dir):
+    """Half the rows as lines of objects, half as arrays; both read again."""
+    path = scratch_path(spark, "catalog-export")
+    rows = _to_export(spark, sf_dir)
+    odd = F.col("id").cast("bigint") % 2 == 1
+    export_json(rows.where(odd), f"{path}/lines")
+    export_json(rows.where(~odd), f"{path}/arrays", array=True)
+    files = list_files(spark, f"{path}/arrays").where(F.col("source_filename").startswith("part-"))
+    members = E.as_map(F.col("entries"))
+    arrays = ST.read_json_arrays(files).select(
+        *[F.try_element_at(members, F.lit(c)).cast(rows.schema[c].dataType).alias(c) for c in _EXPORT]
+    )
+    return spark.read.schema(rows.schema).json(f"{path}/lines").unionByName(arrays)
+
+
 def _written(spark, sf_dir, fmt: str) -> str:
     path = scratch_path(spark, f"catalog-{fmt}") + f"/{fmt}"
     write_files(spread(logs(spark, sf_dir)), fmt, path)

@@ -84,6 +84,31 @@ def timestamps_to_iso(spark, sf_dir):
     )
 
 
+_FREE_TIMES = [
+    "M/d/yyyy h:mm:ss a", "MMMM d, yyyy HH:mm:ss", "MM-dd-yyyy HH:mm:ss", "d MMMM yyyy hh:mm:ss a", "M/d/yyyy H:mm:ss'Z'",
+    "EEEE, MMMM d, yyyy h:mm:ss a", "yyyy-MM-dd hh:mm:ss a", "d-MMM-yyyy HH:mm:ss '+00:00'", "MMM d yyyy HH:mm:ss 'UTC'",
+]
+
+
+@query(
+    "timestamps_free_form",
+    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_id % 10 IN (4, 7, 8) THEN '+00:00' WHEN event_id % 10 = 9 THEN '-02:30' ELSE '' END AS iso,
+         date_trunc('second', ts) + CASE WHEN event_id % 10 = 9 THEN INTERVAL 150 MINUTE ELSE INTERVAL 0 MINUTE END AS event_ts FROM events""",
+)
+def timestamps_free_form(spark, sf_dir):
+    """Halves of the day, long names, dashes, weekdays, and offsets behind a time."""
+    e = table(spark, sf_dir, "events")
+    form = F.col("event_id") % 10
+    raw = F.when(form == 9, F.concat(F.upper(F.date_format("ts", "MMMM d, yyyy h:mm:ss a")), F.lit(" -0230")))
+    for i, pattern in enumerate(_FREE_TIMES):
+        raw = raw.when(form == i, F.date_format("ts", pattern))
+    at = F.lit(INGEST_TS)
+    e = e.withColumn("raw", raw)
+    return e.select(
+        "event_id", iso_timestamp(F.col("raw"), at).alias("iso"), event_time(F.col("raw"), at).alias("event_ts")
+    )
+
+
 @query(
     "numbers_from_text",
     """SELECT event_id, CASE event_id % 6 WHEN 0 THEN value WHEN 1 THEN value WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN 1500.0 ELSE -value END AS number FROM events""",

@@ -65,6 +65,43 @@ def append_recipe_rows(spark, sf_dir):
     return store.read("recipes").select("id", "timestamp", "tool_id", "recipe_id", "raw_message", "source_filename")
 
 
+@query("append_first_wins", with_logs("SELECT id, 'copy 1' AS raw_message FROM logs"))
+def append_first_wins(spark, sf_dir):
+    """Of unequal copies of an id in one batch the first stays."""
+    store, rows = _store(spark), logs(spark, sf_dir)
+    copies = rows.withColumn("raw_message", F.explode(F.array(*[F.lit(f"copy {k}") for k in (1, 2, 3)])))
+    store.append("logs", copies, within_files=True)
+    store.append("logs", copies.withColumn("raw_message", F.lit("late")), within_files=True)
+    return store.read("logs").select("id", "raw_message")
+
+
+@query(
+    "edit_last_wins",
+    with_logs("SELECT id, CASE WHEN source_filename = 'events_20240105.log' THEN 'edit 3' ELSE '{}' END AS record_data FROM logs WHERE severity = 'ERROR'"),
+)
+def edit_last_wins(spark, sf_dir):
+    """Of several edits of a row in one batch the last counts; other jobs are not touched."""
+    store = _store(spark)
+    rows = logs(spark, sf_dir).where(F.col("severity") == "ERROR")
+    pending = rows.select("id", F.col("source_filename").alias("job_id"), F.col("source_filename").alias("filename"), F.lit("{}").alias("record_data"))
+    store.stage(pending)
+    own = pending.where(F.col("job_id") == "events_20240105.log")
+    store.edit(own.select("id", F.explode(F.array(*[F.lit(f"edit {k}") for k in (1, 2, 3)])).alias("record_data")))
+    return store.read("pending_reviews").select("id", "record_data")
+
+
+@query(
+    "replace_counts",
+    with_logs("SELECT 2 * count(*) AS attempted, count(*) AS inserted FROM logs WHERE source_filename = 'events_20240105.log'"),
+)
+def replace_counts(spark, sf_dir):
+    """Rows that came and rows that were stored are told apart."""
+    store, rows = _store(spark), logs(spark, sf_dir)
+    store.append("logs", rows)
+    done = store.replace_file("events_20240105.log", rows.unionByName(rows))
+    return spark.createDataFrame([(done.attempted, done.inserted)], "attempted bigint, inserted bigint")
+
+
 @query("not_present_ids", with_logs("SELECT id, severity FROM logs WHERE severity <> 'INFO'"))
 def not_present_ids(spark, sf_dir):
     rows = logs(spark, sf_dir)

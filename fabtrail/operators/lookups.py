@@ -13,6 +13,32 @@ def newest_per(df: DataFrame, key: str, order: str = "created_at") -> DataFrame:
     return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
+#: arrival order of rows, where a frame has it
+ARRIVAL = "_arrival"
+
+
+def arrived(df: DataFrame) -> DataFrame:
+    """Rows with their place in the frame, unless they have it already."""
+    return df if ARRIVAL in df.columns else df.withColumn(ARRIVAL, F.monotonically_increasing_id())
+
+
+def first_per(df: DataFrame, key: str) -> DataFrame:
+    """One row per key, the one that came first."""
+    return _one_per(df, key, F.min_by)
+
+
+def last_per(df: DataFrame, key: str) -> DataFrame:
+    """One row per key, the one that came last."""
+    return _one_per(df, key, F.max_by)
+
+
+def _one_per(df: DataFrame, key: str, pick) -> DataFrame:
+    rows = arrived(df)
+    whole = F.struct(*[c for c in rows.columns if c != ARRIVAL])
+    # nulls are keys of their own
+    return rows.groupBy(F.col(key).alias("_key")).agg(pick(whole, F.col(ARRIVAL)).alias("_row")).select("_row.*")
+
+
 def match_templates(files: DataFrame, templates: DataFrame) -> DataFrame:
     """Files with the name and field mapping of the template saved for their signature."""
     known = newest_per(templates, "file_signature").select(
@@ -39,8 +65,8 @@ def mapping_of_file(mappings: DataFrame, files: DataFrame) -> DataFrame:
 
 def apply_enrichment(logs: DataFrame, results: DataFrame) -> DataFrame:
     """Set summary, classification and hint from ``(id, summary, classification,
-    root_cause_hint)`` rows; rows without a result stay as they are."""
-    found = results.dropDuplicates(["id"]).select(
+    root_cause_hint)`` rows, the last of an id; rows without a result stay as they are."""
+    found = last_per(results, "id").select(
         "id",
         F.col("summary").alias("_summary"),
         F.col("classification").alias("_classification"),
@@ -58,8 +84,8 @@ def apply_enrichment(logs: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def apply_edits(pending: DataFrame, edits: DataFrame) -> DataFrame:
-    """Staged rows with the edited ``record_data`` where ``edits`` has their id."""
-    new = edits.dropDuplicates(["id"]).select("id", F.col("record_data").alias("_edited"))
+    """Staged rows with the last edited ``record_data`` where ``edits`` has their id."""
+    new = last_per(edits, "id").select("id", F.col("record_data").alias("_edited"))
     joined = pending.join(new, "id", "left")
     return joined.withColumn("record_data", F.coalesce("_edited", "record_data")).select(
         *pending.columns
@@ -67,5 +93,7 @@ def apply_edits(pending: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def not_present(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """New rows whose key the table does not have; one row per key."""
-    return new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
+    """New rows whose key the table does not have; of several with one key the first."""
+    return first_per(new, key).join(existing.select(key), key, "left_anti").select(
+        *[c for c in new.columns if c != ARRIVAL]
+    )

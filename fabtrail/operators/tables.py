@@ -1,9 +1,9 @@
 """The stored tables: Parquet folders that are appended to, replaced and cleared.
 
-Logs and recipes are laid out by ``source_filename``, so that reading, replacing and deleting
-one file touches its folder only. A rewrite goes to the folders it changes by dynamic
+Logs and recipes are laid out by ``source_filename``, staged reviews by ``job_id``, so that reading, replacing and
+deleting one file or job touches its folder only. A rewrite goes to the folders it changes by dynamic
 partition overwrite, or to a new folder that then takes the place of the old one; no folder
-is written while it is read.
+is written while it is read, and a swap that broke off is seen by the next reader.
 """
 
 from __future__ import annotations
@@ -54,15 +54,33 @@ class LogStore:
                 self._writer(self.spark.createDataFrame([], schema), table, "append")
 
     def read(self, table: str) -> DataFrame:
-        """A table; columns added to the schema later are null in older files."""
-        if not self._exists(table):
-            return self.spark.createDataFrame([], S.TABLES[table])
-        return self.spark.read.schema(S.TABLES[table]).parquet(self.path(table))
+        """A table; columns added to the schema later are null in older files.
+
+        A table that was never created is empty. Where a swap of folders broke off, the new folder counts if it was
+        finished, else the old one.
+        """
+        for folder in (self.path(table), f"{self.path(table)}.new", f"{self.path(table)}.old"):
+            finished = folder.endswith(".new") and not self._at(f"{folder}/_SUCCESS")
+            if self._at(folder) and not finished:
+                return self.spark.read.schema(S.TABLES[table]).parquet(folder)
+        return self.spark.createDataFrame([], S.TABLES[table])
+
+    def _file_system(self, path: str):
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _at(self, path: str) -> bool:
+        found, system = self._file_system(path)
+        return system.exists(found)
 
     def _exists(self, table: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return fs.exists(path)
+        return self._at(self.path(table))
+
+    def _drop_folder(self, table: str, value: str) -> None:
+        """Remove the folder of one value of the layout column; no row is read or written."""
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        folder, system = self._file_system(f"{self.path(table)}/{escape.getPartitionPathString(LAYOUT[table], value)}")
+        system.delete(folder, True)
 
     def _writer(self, df: DataFrame, table: str, mode: str) -> None:
         df = conform(df, table)
@@ -78,21 +96,28 @@ class LogStore:
 
     # -- appends ------------------------------------------------------------------------------
 
-    def append(self, table: str, new: DataFrame, key: str = "id") -> Appended:
-        """Insert rows whose key is not there yet."""
-        new = stored(conform(new, table), f"append-{table}")
-        fresh = lookups.not_present(new, self.read(table), key)
-        fresh = stored(fresh.select(*new.columns), f"fresh-{table}")
+    def append(self, table: str, new: DataFrame, key: str = "id", within_files: bool = False) -> Appended:
+        """Insert rows whose key is not there yet; of new rows with one key the first.
+
+        ``within_files`` says that keys hold their file, so that only the folders of the new rows' files are looked at.
+        """
+        new = stored(lookups.arrived(conform(new, table)), f"append-{table}")
+        present = self.read(table)
+        if within_files:
+            files = new.select(LAYOUT[table]).distinct()
+            # an inner join on the layout column lets Spark read the files' folders only
+            present = present.join(files, LAYOUT[table]).select(key)
+        fresh = stored(lookups.not_present(new, present, key), f"fresh-{table}")
         counted = Appended(new.count(), fresh.count())
         if counted.inserted:
             self._writer(fresh, table, "append")
         return counted
 
-    def append_logs(self, new: DataFrame) -> Appended:
+    def append_logs(self, new: DataFrame, within_files: bool = False) -> Appended:
         """Insert log rows; recipe rows also go to the recipe table."""
         new = stored(conform(new, "logs"), "logs")
-        done = self.append("logs", new)
-        self.append("recipes", to_recipes(new))
+        done = self.append("logs", new, within_files=within_files)
+        self.append("recipes", to_recipes(new), within_files=within_files)
         return done
 
     # -- replace, delete, clear ----------------------------------------------------------------
@@ -100,24 +125,22 @@ class LogStore:
     def delete_file(self, source_filename: str) -> None:
         """Remove the rows of one file from logs and recipes."""
         for table in ("logs", "recipes"):
-            self._rewrite(table, self.read(table).where(~F.col("source_filename").eqNullSafe(source_filename)))
+            self._drop_folder(table, source_filename)
 
     def replace_file(self, source_filename: str, new: DataFrame) -> Appended:
         """Put new rows in place of all rows of a file."""
-        rows = stored(conform(new, "logs").where(F.col("source_filename") == source_filename), "logs")
-        count = rows.count()
-        if count == 0:
-            self.delete_file(source_filename)
-            return Appended(0, 0)
-        # only the folder of this file is overwritten
-        self._writer(rows.dropDuplicates(["id"]), "logs", "overwrite")
-        recipes = to_recipes(rows)
-        if recipes.isEmpty():
-            kept = self.read("recipes").where(~F.col("source_filename").eqNullSafe(source_filename))
-            self._rewrite("recipes", kept)
-        else:
-            self._writer(recipes, "recipes", "overwrite")
-        return Appended(count, count)
+        of_file = lookups.arrived(conform(new, "logs")).where(F.col("source_filename") == source_filename)
+        rows = stored(of_file, "logs")
+        kept = stored(conform(lookups.first_per(rows, "id"), "logs"), "replaced")
+        counted = Appended(rows.count(), kept.count())
+        recipes = to_recipes(kept)
+        for table, own in (("logs", kept), ("recipes", recipes)):
+            if own.isEmpty():
+                self._drop_folder(table, source_filename)
+            else:
+                # only the folder of this file is overwritten
+                self._writer(own, table, "overwrite")
+        return counted
 
     def clear(self) -> None:
         """Empty logs, recipes and staged reviews; templates and mappings stay."""
@@ -164,11 +187,15 @@ class LogStore:
         return self.read("pending_reviews").where(F.col("job_id") == job_id).orderBy("seq")
 
     def edit(self, edits: DataFrame) -> None:
+        """Change staged rows; only folders of jobs that have an edit are written."""
         rows = self.read("pending_reviews")
-        self._rewrite("pending_reviews", stored(lookups.apply_edits(rows, edits), "edited"))
+        jobs = rows.join(edits.select("id").distinct(), "id", "left_semi").select("job_id").distinct()
+        changed = stored(lookups.apply_edits(rows.join(stored(jobs, "jobs"), "job_id"), edits), "edited")
+        if not changed.isEmpty():
+            self._writer(changed, "pending_reviews", "overwrite")
 
     def reject(self, job_id: str) -> None:
-        self._rewrite("pending_reviews", self.read("pending_reviews").where(F.col("job_id") != job_id))
+        self._drop_folder("pending_reviews", job_id)
 
     def approve(self, job_id: str, ingest_ts: str, edits: DataFrame | None = None) -> Appended:
         """Move the staged rows of a job, as edited, to the logs."""

@@ -190,6 +190,20 @@ def export_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> No
     )
 
 
-def export_json(df: DataFrame, path: str) -> None:
-    """Rows as JSON, one object per line, in a folder of part files."""
-    df.write.mode("errorifexists").json(path)
+def export_json(df: DataFrame, path: str, array: bool = False) -> None:
+    """Rows as JSON in a folder of part files: one object per line, or one array per file."""
+    if not array:
+        df.write.mode("errorifexists").json(path)
+        return
+
+    def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mark = "["
+        for batch in batches:
+            lines = batch["line"].tolist()
+            if lines:
+                yield pd.DataFrame({"value": [mark + lines[0], *["," + line for line in lines[1:]]]})
+                mark = ","
+        yield pd.DataFrame({"value": ["[]" if mark == "[" else "]"]})
+
+    lines = df.select(F.to_json(F.struct("*")).alias("line"))
+    lines.mapInPandas(framed, "value string").write.mode("errorifexists").text(path)

@@ -125,7 +125,8 @@ def stream_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         kept = [c for c in ("topic", "payload", "partition", "offset") if c in batch.columns]
         messages = stored(_keyed(stored(batch.select(*kept), "batch"), batch_id), "messages")
-        store.append_logs(message_logs(messages, ingest_ts or run_timestamp()))
+        # ids come from the message's topic, which names the file
+        store.append_logs(message_logs(messages, ingest_ts or run_timestamp()), within_files=True)
         notes = message_warnings(messages).withColumn("batch_id", F.lit(batch_id))
         # a batch that runs again replaces its own warnings
         notes.write.mode("overwrite").parquet(f"{store.root}/stream_warnings/batch={batch_id}")
