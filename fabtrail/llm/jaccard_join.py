@@ -204,33 +204,33 @@ def _prefixes(docs: DataFrame, levels, n: int, similarity: int) -> DataFrame:
     return docs.mapInArrow(run, "key bigint, cls bigint, n int")
 
 
+def _place_in_filter(cls, doc_id):
+    """Slot of a class and its document, the same for numpy and for Spark's integers."""
+    return cls ^ doc_id ^ (doc_id << 13)
+
+
 def _sets(docs: DataFrame, wanted, n: int) -> DataFrame:
-    """``cls, members``: the whole sets, ``MEMBER_BYTES`` bytes a shingle, of the classes that the filter lets through."""
+    """``cls, members``: the whole sets, ``MEMBER_BYTES`` bytes a shingle, of the documents that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.uint8)
-        seen: set[int] = set()
         for batch in batches:
             for part in text_slices(batch):
                 value, bounds = shingle_sets(part.column("text"), n)
                 cls = set_classes(value, bounds)
-                slot = cls & (FILTER_BITS - 1)
-                out = []
-                for i in np.flatnonzero((bits[slot >> 3] >> (slot & 7)) & 1).tolist():
-                    c = int(cls[i])
-                    if c not in seen:
-                        seen.add(c)
-                        out.append((c, _shortened(value[bounds[i] : bounds[i + 1]])))
-                yield pa.RecordBatch.from_pydict(
-                    {"cls": pa.array([c for c, _ in out], pa.int64()), "members": pa.array([m for _, m in out], pa.binary())}
-                )
+                doc_id = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+                slot = _place_in_filter(cls, doc_id) & (FILTER_BITS - 1)
+                chosen = np.flatnonzero((bits[slot >> 3] >> (slot & 7)) & 1).tolist()
+                members = [_shortened(value[bounds[i] : bounds[i + 1]]) for i in chosen]
+                yield pa.RecordBatch.from_pydict({"cls": pa.array(cls[chosen]), "members": pa.array(members, pa.binary())})
 
     return docs.mapInArrow(run, "cls bigint, members binary")
 
 
 def _class_filter(classes: DataFrame) -> bytes:
-    """``FILTER_BITS`` bits, of which those of the given classes are set."""
-    slot = F.col("cls").bitwiseAND(F.lit(FILTER_BITS - 1))
+    """``FILTER_BITS`` bits, of which those of the given classes (``cls``, and ``doc_id`` of one document) are set."""
+    own = F.col("cls").bitwiseXOR(F.col("doc_id")).bitwiseXOR(F.shiftleft("doc_id", 13))
+    slot = own.bitwiseAND(F.lit(FILTER_BITS - 1))
     # at most FILTER_BITS / 32768 rows of 4 KB
     rows = (
         classes.select(slot.alias("slot"))
@@ -248,7 +248,7 @@ def _class_filter(classes: DataFrame) -> bytes:
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of classes ``a, b`` with ``common, n_a, n_b``."""
+    """Pairs of classes ``a, b`` with ``common, n_a, n_b``, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,9 +265,11 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     of = lambda side: sets.select(F.col("cls").alias(side), F.col("members").alias(f"members_{side}"))
     met = pairs.join(of("a"), "a").join(of("b"), "b")
-    return met.select("a", "b", "members_a", "members_b").mapInArrow(
+    found = met.select("a", "b", "members_a", "members_b").mapInArrow(
         run, "a bigint, b bigint, common bigint, n_a bigint, n_b bigint"
     )
+    # a false alarm of the filter may have given a set twice
+    return found.dropDuplicates(["a", "b"])
 
 
 def _is_link(similarity: int):
@@ -371,13 +373,15 @@ def _round(met: DataFrame, sets: DataFrame, similarity: int) -> tuple[DataFrame,
     return links, rest
 
 
-def class_links(docs: DataFrame, levels_of: DataFrame, n: int, similarity: int) -> DataFrame:
+def class_links(docs: DataFrame, rows: DataFrame, sketches: DataFrame, n: int, similarity: int) -> DataFrame:
     """Links ``a, b`` between classes that together connect what similarity connects."""
     spark: SparkSession = docs.sparkSession
-    levels = spark.sparkContext.broadcast(_levels(levels_of).tobytes())
+    levels = spark.sparkContext.broadcast(_levels(sketches).tobytes())
     met = stored(_first_pivots(_prefixes(docs, levels, n, similarity)), "met")
     classes = met.select("cls").unionByName(met.select(F.col("pivot").alias("cls")))
-    wanted = spark.sparkContext.broadcast(_class_filter(classes))
+    # one document stands for each class
+    chosen = rows.groupBy("cls").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"))
+    wanted = spark.sparkContext.broadcast(_class_filter(chosen.join(classes.distinct(), "cls", "left_semi")))
     sets = stored(_sets(docs, wanted, n), "sets")
     found, rest = _round(met, sets, similarity)
     links, todo = [found], []
@@ -411,7 +415,7 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, similarity: int = SIMILA
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     both = stored(_classes_and_sketches(texts, n), "classes")
     rows = both.where("chunk IS NULL").select("doc_id", "n_shingles", "cls")
-    links = class_links(texts, both.where("chunk IS NOT NULL"), n, similarity)
+    links = class_links(texts, rows, both.where("chunk IS NOT NULL"), n, similarity)
     grouped = components(links)
     # classes without links are their own component
     named = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
