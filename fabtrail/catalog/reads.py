@@ -152,13 +152,15 @@ def recipes_by_id(spark, sf_dir):
 
 @query(
     "recipes_by_tool_and_file",
-    _RECIPES_SQL + """SELECT * FROM recipes WHERE tool_id = 'TOOL-0008' AND source_filename = 'events_20240105.log'
+    _RECIPES_SQL + """SELECT * FROM recipes
+      WHERE tool_id = (SELECT min(tool_id) FROM recipes WHERE source_filename = 'events_20240105.log') AND source_filename = 'events_20240105.log'
       ORDER BY timestamp DESC, id DESC LIMIT 500""",
 )
 def recipes_by_tool_and_file(spark, sf_dir):
-    rows = Q.query_recipes(
-        _recipes(spark, sf_dir), tool_id="TOOL-0008", source_filename="events_20240105.log"
-    )
+    """The rows of one tool, the first by name that the file has."""
+    recipes, name = _recipes(spark, sf_dir), "events_20240105.log"
+    tool = recipes.where(F.col("source_filename") == name).agg(F.min("tool_id")).first()[0]
+    rows = Q.query_recipes(recipes, tool_id=tool, source_filename=name)
     return rows.select("id", "timestamp", "tool_id", "recipe_id", "source_filename")
 
 
@@ -426,11 +428,17 @@ def extraction_coverage(spark, sf_dir):
 
 @query(
     "session_context",
-    with_logs(f"SELECT {_FIGURES_SQL}, 0::BIGINT AS recipes, (SELECT max(timestamp) FROM logs) AS newest FROM logs"),
+    with_logs(
+        f"""SELECT {_FIGURES_SQL}, 0::BIGINT AS recipes,
+              (SELECT string_agg(concat_ws('|', timestamp, id, tool_id, severity, log_type, event_name, raw_message), ';' ORDER BY timestamp DESC, id DESC)
+               FROM (SELECT * FROM logs ORDER BY timestamp DESC, id DESC LIMIT 30)) AS sample FROM logs"""
+    ),
 )
 def session_context(spark, sf_dir):
     found = A.session_context(logs(spark, sf_dir))
-    return found.withColumn("newest", F.get_json_object("sample", "$[0].timestamp")).drop("sample")
+    names = ["timestamp", "id", "tool_id", "severity", "log_type", "event_name", "raw_message"]
+    rows = F.from_json("sample", "array<struct<" + ", ".join(f"{n}: string" for n in names) + ">>")
+    return found.withColumn("sample", F.array_join(F.transform(rows, lambda r: F.concat_ws("|", *[r[n] for n in names])), ";"))
 
 
 @query(

@@ -433,16 +433,17 @@ def _odd_headers(spark, sf_dir):
 @query(
     "inferred_header_mappings",
     with_logs(
-        """SELECT sha256('body|equip_no|lot_copy|lot_no|lvl|note|ts_utc') AS header_fingerprint, unnest(['ts_utc', 'equip_no', 'lvl', 'body']) AS "column",
-             unnest(['timestamp', 'tool_id', 'severity', 'event_name']) AS canonical"""
+        """SELECT sha256('body|equip_no|lot_copy|lot_no|lvl|note|ts_utc') AS header_fingerprint, unnest(['ts_utc', 'equip_no', 'lvl', 'body', lot]) AS "column",
+             unnest(['timestamp', 'tool_id', 'severity', 'event_name', 'wafer_id']) AS canonical
+           FROM (SELECT CASE WHEN log_type = 'alarm' THEN 'lot_copy' ELSE 'lot_no' END AS lot FROM logs WHERE log_type <> 'info'
+                 ORDER BY source_filename, CAST(id AS BIGINT) LIMIT 1)"""
     ),
 )
 def inferred_header_mappings(spark, sf_dir):
-    """One mapping per distinct header, from what the sampled values look like."""
+    """One mapping per distinct header, from what the sampled values look like; of two equal columns the
+    first in the first record takes the wafer field."""
     found = H.infer_header_mappings(_odd_headers(spark, sf_dir))
-    pairs = found.select("header_fingerprint", F.explode("mapping").alias("column", "canonical"))
-    # which of two equal columns takes the wafer field follows the order of the first record
-    return pairs.where(F.col("canonical") != "wafer_id")
+    return found.select("header_fingerprint", F.explode("mapping").alias("column", "canonical"))
 
 
 @query(
