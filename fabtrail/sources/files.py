@@ -120,17 +120,28 @@ def classify(heads: DataFrame) -> DataFrame:
     )
 
 
-def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+def _escaped(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else bytes(v).decode("utf-8", errors="backslashreplace"))
+
+
+def escaped_text(value: Column) -> Column:
+    """Text in which bytes that are no UTF-8 are written as ``\\xhh``; only such texts leave the JVM."""
+    broken = ~F.is_valid_utf8(value)
+    shown = F.pandas_udf(_escaped, "string")(F.when(broken, value.cast("binary")))
+    return F.when(broken, shown).otherwise(value)
+
+
+def read_lines(spark: SparkSession, paths: list[str] | str, escape: bool = False) -> DataFrame:
     """``(source_path, source_filename, block, row, line)``, splittable inside files.
 
-    ``(block, row)`` orders the lines of a file: start of the file split, place in the task.
+    ``(block, row)`` orders the lines of a file: start of the file split, place in the task. Bytes that are no
+    UTF-8 become replacement characters, or are escaped.
     """
+    text = escaped_text(F.col("value")) if escape else F.make_valid_utf8("value")
     return (
         spark.read.text(paths, recursiveFileLookup=True)
-        .select(
-            *file_place(),
-            F.explode(F.split(F.make_valid_utf8("value"), EXTRA_LINE_ENDS)).alias("line"),
-        )
+        .select(*file_place(), text.alias("text"))
+        .select("source_path", "source_filename", "block", F.explode(F.split("text", EXTRA_LINE_ENDS)).alias("line"))
         .withColumn("row", F.monotonically_increasing_id())
     )
 
