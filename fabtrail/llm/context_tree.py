@@ -76,7 +76,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (63 bits) of the lower-cased words of each text, without the end; and their bounds."""
     words, bounds = split_words(texts, lower=True)
-    return hash_words(words) >> np.uint64(1), bounds
+    return hash_words(words)[0] >> np.uint64(1), bounds
 
 
 def _runs(ordered: np.ndarray) -> np.ndarray:

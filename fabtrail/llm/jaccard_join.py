@@ -67,7 +67,7 @@ def shingle_sets(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarra
     Shingles are ``n`` lower-cased words (A-Z only); a text of fewer words is one shingle, one without words has none.
     """
     words, word_bounds = split_words(texts, lower=True)
-    hashes = hash_words(words)
+    hashes = hash_words(words)[0]
     count = np.diff(word_bounds)
     owner = owners(word_bounds)
     total = len(hashes)

@@ -64,23 +64,27 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(steps, dtype=np.uint64)
 
 
-def hash_words(words: pa.Array, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word, the same on every machine; seeds give independent ones.
+def hash_words(words: pa.Array, seeds: tuple[int, ...] = (0,)) -> list[np.ndarray]:
+    """64-bit hashes of each word, the same on every machine; one for each seed, independent of each other.
 
-    A polynomial of the bytes, taken over all words at once.
+    Polynomials of the bytes, taken over all words at once.
     """
     n = len(words)
     if not n:
-        return np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64) for _ in seeds]
     offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
     own = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     size = np.diff(offsets)
     place = np.arange(len(own)) - np.repeat(offsets[:-1], size)
-    letters = mix(np.arange(1, 257, dtype=np.uint64) * _M2 + np.uint64(seed))
-    value = letters[own] * _powers(0x9E3779B97F4A7C15, int(size.max()))[place]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-    return mix(total[offsets[1:]] - total[offsets[:-1]] + size.astype(np.uint64) * _M1)
+    power = _powers(0x9E3779B97F4A7C15, int(size.max()))[place]
+    length = size.astype(np.uint64) * _M1
+    out = []
+    for seed in seeds:
+        letters = mix(np.arange(1, 257, dtype=np.uint64) * _M2 + np.uint64(seed))
+        # words are never empty, so each has bytes to add up
+        out.append(mix(np.add.reduceat(letters[own] * power, offsets[:-1]) + length))
+    return out
 
 
 def owners(bounds: np.ndarray) -> np.ndarray:
@@ -147,7 +151,7 @@ class WordEncoder:
 
     def _find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Start and number of the ids of distinct words, after encoding those that are new."""
-        keys, checks = hash_words(words), hash_words(words, seed=1)
+        keys, checks = hash_words(words, (0, 1))
         known, at = self._known(keys, checks)
         starts, sizes = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         starts[known], sizes[known] = self._starts[at[known]], self._sizes[at[known]]
