@@ -270,6 +270,41 @@ def xml_files(spark, sf_dir):
     return normalise_entries(records, INGEST_TS).select(*FIELDS)
 
 
+@query(
+    "xml_attributes",
+    with_logs(
+        """SELECT 'record' AS what, id, tool_id AS tool, 'deg' AS unit, CAST(NULL AS VARCHAR) AS message, severity AS level FROM logs
+           UNION ALL SELECT 'note', id, NULL, NULL, 'seen & done', NULL FROM logs
+           UNION ALL SELECT 'broken', NULL, NULL, NULL, NULL, NULL FROM logs WHERE id = '0'"""
+    ),
+)
+def xml_attributes(spark, sf_dir):
+    """Attributes of rows and of their children, rows of text only, two kinds of rows in a file, a namespace, and a file that breaks off."""
+    rows = spread(logs(spark, sf_dir))
+    row = F.concat(
+        F.lit('<row id="'), F.col("id"), F.lit('" z:level="'), F.col("severity"), F.lit('"><reading unit="deg">7</reading><tool>'),
+        F.col("tool_id"), F.lit('</tool></row>\n<note id="'), F.col("id"), F.lit('">seen &amp; done</note>'),
+    )
+    path = scratch_path(spark, "catalog-attributes") + "/xml"
+    parts = rows.select(F.spark_partition_id().alias("part"), F.col("id").cast("bigint").alias("n"), row.alias("value"))
+    ends = parts.select("part").distinct()
+    framed = (
+        parts.unionByName(ends.select("part", F.lit(-1).cast("bigint").alias("n"), F.lit('<?xml version="1.0"?><!-- <row> --><rows xmlns:z="urn:z">').alias("value")))
+        .unionByName(ends.select("part", F.lit(1 << 40).alias("n"), F.lit("</rows>").alias("value")))
+    )
+    broken = spark.createDataFrame([(-1, 0, "<rows><row><tool>T</tool>")], "part int, n bigint, value string")
+    lines = framed.unionByName(broken).repartition("part").sortWithinPartitions("part", "n")
+    lines.select("value", "part").write.partitionBy("part").text(path)
+    found = ST.read_xml(list_files(spark, path).where(F.col("source_filename").startswith("part-")))
+    fields = E.as_map(F.col("entries"))
+    value = lambda k: F.try_element_at(fields, F.lit(k))
+    kind = F.when(F.col("error").isNotNull(), F.lit("broken")).when(value("message").isNotNull(), F.lit("note")).otherwise(F.lit("record"))
+    return found.select(
+        kind.alias("what"), value("id").alias("id"), value("tool").alias("tool"), value("reading_unit").alias("unit"),
+        value("message").alias("message"), value("{urn:z}level").alias("level"),
+    )
+
+
 @query("parquet_files", _STRUCTURED_SQL.format(id=""))
 def parquet_files(spark, sf_dir):
     path = _written(spark, sf_dir, "parquet")

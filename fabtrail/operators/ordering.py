@@ -19,6 +19,18 @@ SLICE = "_slice"
 _ROW_BITS = 33
 
 
+#: bytes of the plan's estimate that one range slice takes at most
+SLICE_BYTES = 256 << 20
+
+
+def order_partitions(df: DataFrame) -> int:
+    """Range slices for a frame: the session's shuffle partitions, or more where the input is large."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    # joins multiply the estimate, so it is not followed without end
+    return max(usual, min(estimate // SLICE_BYTES, 100 * usual))
+
+
 def number_rows(df: DataFrame, order: list[Column | str]) -> DataFrame:
     """Number all rows 0, 1, 2 … in ``order`` (which should end in a unique column).
 
@@ -26,7 +38,7 @@ def number_rows(df: DataFrame, order: list[Column | str]) -> DataFrame:
     One shuffle; the result is stored, as places must not change between its uses.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = order_partitions(df)
     placed = stored(
         df.repartitionByRange(parts, *cols)
         .sortWithinPartitions(*cols)

@@ -6,6 +6,7 @@ import codecs
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
 
 import pandas as pd
@@ -14,9 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from fabtrail.functions import entries as E
 from fabtrail.functions.text import let, number_text, split_lines, strip
 from fabtrail.schema import ENTRIES
-from fabtrail.session import barrier, spread
+from fabtrail.session import barrier, spread, stored
 from fabtrail.sources.files import (
     file_place,
+    heads_of,
     open_file,
     open_stream,
     plain_path,
@@ -301,42 +303,81 @@ def read_csv_group(
 # -- XML -----------------------------------------------------------------------------------
 
 
-def _xml_records(path: str) -> Iterator[list[tuple[str, str, str]]]:
-    """Fields of every child of the root, read as a stream; nothing for a malformed file."""
-    from xml.etree import ElementTree
-    from xml.parsers import expat
+#: bytes of a file in which the root and its first child are looked for
+XML_HEAD_BYTES = 1 << 16
+
+_XML_NAME = r"[A-Za-z_:][\w:.\-]*"
+#: what may stand before the root: declaration, comments, document type
+_XML_PROLOG = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>\[]*(?:\[.*?\])?\s*>\s*)*"
+
+
+def xml_shapes(files: DataFrame) -> DataFrame:
+    """``source_path, source_filename, root_tag, root, tag``: the root's start tag, its name, and the name of its first child."""
+    text = F.make_valid_utf8(F.col("head").cast("string"))
+    body = F.regexp_replace(text, _XML_PROLOG, "")
+    opening = F.regexp_extract(body, rf"(?s)^<{_XML_NAME}(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", 0)
+    inside = F.regexp_replace(F.substring(body, F.length(opening) + 1, F.length(body)), _XML_PROLOG, "")
+    root = F.regexp_extract(opening, rf"^<({_XML_NAME})", 1)
+    child = F.regexp_extract(inside, rf"^[^<]*<({_XML_NAME})", 1)
+    return heads_of(files, XML_HEAD_BYTES).select(
+        "source_path",
+        "source_filename",
+        opening.alias("root_tag"),
+        root.alias("root"),
+        F.when(child == "", root).otherwise(child).alias("tag"),
+    )
 
-    try:
-        with open_stream(path) as stream:
-            expat.ParserCreate().ParseFile(stream)
-    except expat.ExpatError:
-        return
-    with open_stream(path) as stream:
-        depth, root = 0, None
-        for event, node in ElementTree.iterparse(stream, events=("start", "end")):
-            if event == "start":
-                root = node if root is None else root
-                depth += 1
-                continue
-            depth -= 1
-            if depth != 1:
-                continue
-            fields = dict(node.attrib)
-            for child in node:
-                fields[child.tag] = child.text or ""
-                fields.update((f"{child.tag}_{name}", v) for name, v in child.attrib.items())
-            if len(node) == 0 and (node.text or "").strip():
-                fields.setdefault("message", node.text.strip())
-            if fields:
-                yield [(k, v, "S") for k, v in fields.items()]
-            root.clear()
+
+def _xml_pieces(spark: SparkSession, shapes: DataFrame) -> DataFrame:
+    """Files cut behind the end tags of their rows, inside files; ``piece`` is a document of its own: the root with
+    one or a few children. One scan for each row tag."""
+    tags = [row.tag for row in shapes.select("tag").distinct().orderBy("tag").toLocalIterator()]
+    found = []
+    for tag in tags:
+        own = shapes.where(F.col("tag") == tag)
+        paths = [row.source_path for row in own.select("source_path").toLocalIterator()]
+        lines = spark.read.text(paths, lineSep=f"</{tag}>").select(
+            *file_place(F.monotonically_increasing_id()), F.make_valid_utf8("value").alias("value")
+        )
+        # a file's last piece has no end tag cut off: it must end the root itself
+        last = lines.groupBy("source_path").agg(F.max(F.struct("block", "row")).alias("last"))
+        known = own.drop("source_filename").join(last, "source_path")
+        met = lines.join(known, "source_path").where(strip(F.col("value")) != "")
+        ends = F.struct("block", "row") == F.col("last")
+        begins = F.contains(F.col("value"), F.col("root_tag")) & (F.col("root_tag") != "")
+        closing = F.when(F.col("tag") == F.col("root"), F.concat(F.lit("</"), F.col("root"), F.lit(">"))).otherwise(
+            F.concat(F.lit("</"), F.col("tag"), F.lit("></"), F.col("root"), F.lit(">"))
+        )
+        piece = F.concat(
+            F.when(begins, F.lit("")).otherwise(F.col("root_tag")),
+            F.col("value"),
+            F.when(ends, F.lit("")).otherwise(closing),
+        )
+        found.append(met.select(*PLACE, strip(piece).alias("piece")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _xml_fields(node) -> list[tuple[str, str, str]]:
+    """Attributes, then the children's texts and attributes; the text of a node without children is its message."""
+    pairs = list(node.items())
+    for child in node:
+        pairs.append((child.tag, child.text or ""))
+        pairs.extend((f"{child.tag}_{name}", value) for name, value in child.items())
+    own = (node.text or "").strip()
+    if own and not len(node) and "message" not in node.keys():
+        pairs.append(("message", own))
+    return [(name, value, "S") for name, value in dict(pairs).items()]
 
 
 def read_xml(files: DataFrame) -> DataFrame:
-    """``(source_path, source_filename)`` rows to one row of ``entries`` per child of each root.
+    """``source_path, source_filename, length`` rows to one row for each child of each root: ``entries``, or the ``error`` of a
+    piece that is not well-formed (``entries`` is null then).
 
-    Every file is streamed by one task, files in parallel; memory holds one record.
+    Spark splits the files; a task parses one record at a time. A file that ends too early loses the
+    record it breaks off in only.
     """
+    spark = files.sparkSession
+    shapes = stored(xml_shapes(files), "xml-shapes")
     schema = T.StructType(
         [
             T.StructField("source_path", T.StringType()),
@@ -344,32 +385,29 @@ def read_xml(files: DataFrame) -> DataFrame:
             T.StructField("block", T.LongType()),
             T.StructField("row", T.LongType()),
             T.StructField("entries", ENTRIES),
+            T.StructField("error", T.StringType()),
         ]
     )
-    return stream_records(files, _xml_records, schema)
-
+    if shapes.isEmpty():
+        return spark.createDataFrame([], schema)
 
-def stream_records(files: DataFrame, records, schema: T.StructType, batch_rows: int = 2000):
-    """Run a record iterator over each file of a listing, in tasks."""
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xml.etree import ElementTree
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = schema.names
         for batch in batches:
-            for path, name in zip(batch["source_path"], batch["source_filename"]):
-                rows = []
-                for number, record in enumerate(records(path)):
-                    fields = [dict(key=k, value=v, kind=kind) for k, v, kind in record]
-                    rows.append((path, name, 0, number, fields))
-                    if len(rows) >= batch_rows:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
-
-    spread = files.select("source_path", "source_filename").repartition(
-        spread_tasks(files.sparkSession), "source_path"
-    )
-    return spread.mapInPandas(run, schema)
+            rows = []
+            for *place, piece in batch[[*PLACE, "piece"]].itertuples(index=False):
+                try:
+                    children = [_xml_fields(node) for node in ElementTree.fromstring(piece)]
+                except ElementTree.ParseError as error:
+                    rows.append((*place, None, str(error)))
+                    continue
+                for fields in children:
+                    if fields:
+                        rows.append((*place, [dict(key=k, value=v, kind=kind) for k, v, kind in fields], None))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return _xml_pieces(spark, shapes).mapInPandas(parse, schema)
 
 
 def spread_tasks(spark: SparkSession) -> int:
@@ -377,27 +415,6 @@ def spread_tasks(spark: SparkSession) -> int:
     return max(4 * spark.sparkContext.defaultParallelism, 1)
 
 
-def malformed_xml(files: DataFrame) -> DataFrame:
-    """``(source_path, source_filename, error)`` of the files that are not well-formed."""
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xml.parsers import expat
-
-        for batch in batches:
-            bad = []
-            for path, name in zip(batch["source_path"], batch["source_filename"]):
-                try:
-                    with open_stream(path) as stream:
-                        expat.ParserCreate().ParseFile(stream)
-                except expat.ExpatError as error:
-                    bad.append((path, name, str(error)))
-            yield pd.DataFrame(bad, columns=["source_path", "source_filename", "error"])
-
-    return files.select("source_path", "source_filename").mapInPandas(
-        check, "source_path string, source_filename string, error string"
-    )
-
-
 # -- Parquet -----------------------------------------------------------------------------------
 
 
