@@ -26,7 +26,7 @@ SLICE_BYTES = 256 << 20
 def order_partitions(df: DataFrame) -> int:
     """Range slices for a frame: the session's shuffle partitions, or more where the input is large."""
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     # joins multiply the estimate, so it is not followed without end
     return max(usual, min(estimate // SLICE_BYTES, 100 * usual))
 
