@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: texts are handled in slices of about this many bytes
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 #: words whose ids a Python worker remembers; beyond it the memory starts anew
 REMEMBERED_WORDS = 600_000
