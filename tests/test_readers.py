@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from fabtrail import session
 from fabtrail.functions import entries as E
 from fabtrail.operators import lookups
 from fabtrail.operators.tables import LogStore
@@ -107,3 +108,25 @@ def test_files_with_odd_names_are_deleted_alone(spark, tmp_path):
     store.delete_file("absent.log")
     for table in ("logs", "recipes"):
         assert {r.source_filename for r in store.read(table).collect()} == set(names[1:])
+
+
+def test_scratch_goes_when_told(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    assert session.stored(spark.range(5), "some").count() == 5
+    assert list((tmp_path / "shared" / "fabtrail").iterdir())
+    session.drop_scratch(spark)
+    assert not list((tmp_path / "shared" / "fabtrail").iterdir())
+
+
+def test_a_cluster_must_name_its_folder(monkeypatch):
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "spark://somewhere:7077"})
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session())
+    Session.conf["spark.master"] = "local[2]"
+    assert session.shared_dir(Session()) == session.shared_dir(Session())
