@@ -178,7 +178,11 @@ def _levels(sketches: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, levels, n: int, similarity: int) -> DataFrame:
-    """``key, cls, n``: the pivots in each class's window; a task gives each class once."""
+    """``key, cls, n, rank``: the pivots in each class's window; a task gives each class once.
+
+    ``rank`` is small for classes whose first shingles are common: an original has more of them than its
+    altered copies, which makes it a good pivot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.frombuffer(levels.value, np.uint8)
@@ -197,11 +201,15 @@ def _prefixes(docs: DataFrame, levels, n: int, similarity: int) -> DataFrame:
                 place = np.arange(len(keys)) - bounds[owner]
                 take = (place < prefix_length(size, similarity)[owner]) & fresh[owner]
                 keys, owner = keys[take], owner[take]
+                common = np.bincount(owner, (keys >> np.uint64(56)).astype(np.float64), len(size))
+                taken = np.bincount(owner, minlength=len(size))
+                rank = 255 - np.round(common / np.maximum(taken, 1)).astype(np.int32)
                 yield pa.RecordBatch.from_pydict(
-                    {"key": pa.array(keys.view(np.int64)), "cls": pa.array(cls[owner]), "n": pa.array(size[owner].astype(np.int32))}
-                )
+                    {"key": pa.array(keys.view(np.int64)), "cls": pa.array(cls[owner]), "n": pa.array(size[owner].astype(np.int32)),
+                     "rank": pa.array(rank[owner].astype(np.int32))}
+                )
 
-    return docs.mapInArrow(run, "key bigint, cls bigint, n int")
+    return docs.mapInArrow(run, "key bigint, cls bigint, n int, rank int")
 
 
 def _place_in_filter(cls, doc_id):
@@ -280,38 +288,35 @@ def _size_fits(similarity: int):
     return 100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
 
 
-def _pairs_in(regions: DataFrame, similarity: int) -> DataFrame:
-    """All pairs within regions of bounded size (columns ``region``, ``cls``, ``n``) whose sizes allow a link."""
-    left = regions.select("region", F.col("cls").alias("a"), F.col("n").alias("n_a"))
-    right = regions.select("region", F.col("cls").alias("b"), F.col("n").alias("n_b"))
-    met = left.join(right, "region").where(F.col("a") < F.col("b")).where(_size_fits(similarity))
-    return met.select("a", "b").distinct()
-
+def _pairs(regions: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of an active member with any other one of its region (``region, cls, n, active``) whose sizes allow a link.
 
-def _pairs_in_blocks(regions: DataFrame, similarity: int) -> DataFrame:
-    """Pairs within regions of any size: blocks of members meet, each two blocks in a place of their own."""
-    sizes = regions.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    members = regions.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = members.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cls", "n")
-    left = placed.where("own = x").select("key", "x", "y", F.col("cls").alias("a"), F.col("n").alias("n_a"))
-    right = placed.where("own = y").select("key", "x", "y", F.col("cls").alias("b"), F.col("n").alias("n_b"))
-    met = left.join(right, ["key", "x", "y"]).where("a <> b").where(_size_fits(similarity))
+    The active members of a region are dealt into blocks, and each block meets all members in a place of its own.
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(F.count(F.when(F.col("active"), 1)) / BLOCK)).cast("int")
+    members = regions.join(regions.groupBy("region").agg(blocks.alias("blocks")), "region")
+    left = members.where("active").select(
+        "region", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("x"), F.col("cls").alias("a"), F.col("n").alias("n_a")
+    )
+    right = members.select(
+        "region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.col("cls").alias("b"), F.col("n").alias("n_b")
+    )
+    met = left.join(right, ["region", "x"]).where("a <> b").where(_size_fits(similarity))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _by_size(live: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Small regions (with more than one member) and large ones."""
-    sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = stored(live.join(sizes, "key"), "regions")
+    """Small regions (with more than one member, and an active one) and large ones."""
+    sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("active").alias("open"))
+    sized = stored(live.join(sizes.where("size > 1 AND open"), "key").drop("open"), "regions")
     small = sized.where(F.col("size") <= LEAF).drop("size")
     return small, sized.where(F.col("size") > LEAF).drop("size")
 
 
 def _first_pivots(windows: DataFrame) -> DataFrame:
-    """``key, cls, n, pivot, n_pivot``: the members of each region but its first class, beside that class.
+    """``key, cls, n, rank, active, pivot, n_pivot``: the members of each region but its first class, beside that class.
 
-    One pass over the windows sorted by region and class; a region is never held as a whole.
+    One pass over the windows sorted by region, rank and class; a region is never held as a whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +324,7 @@ def _first_pivots(windows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, cls, n = (batch.column(c).to_numpy() for c in ("key", "cls", "n"))
+            key, cls, n, rank = (batch.column(c).to_numpy() for c in ("key", "cls", "n", "rank"))
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
             again = np.zeros(len(key), bool)
@@ -336,23 +341,27 @@ def _first_pivots(windows: DataFrame) -> DataFrame:
             last = (key[-1], pivot[-1], size[-1], cls[-1])
             keep = (cls != pivot) & ~again
             yield pa.RecordBatch.from_pydict(
-                {"key": pa.array(key[keep]), "cls": pa.array(cls[keep]), "n": pa.array(n[keep]), "pivot": pa.array(pivot[keep]),
-                 "n_pivot": pa.array(size[keep])}
+                {"key": pa.array(key[keep]), "cls": pa.array(cls[keep]), "n": pa.array(n[keep]), "rank": pa.array(rank[keep]),
+                 "active": pa.array(np.ones(int(keep.sum()), bool)), "pivot": pa.array(pivot[keep]), "n_pivot": pa.array(size[keep])}
             )
 
-    lined = windows.repartition("key").sortWithinPartitions("key", "cls")
-    return lined.mapInArrow(run, "key bigint, cls bigint, n int, pivot bigint, n_pivot int")
+    lined = windows.repartition("key").sortWithinPartitions("key", "rank", "cls")
+    return lined.mapInArrow(run, "key bigint, cls bigint, n int, rank int, active boolean, pivot bigint, n_pivot int")
 
 
 def _pivots(live: DataFrame) -> DataFrame:
-    """The same for regions that are left after a round."""
-    first = live.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("first"))
+    """The same for regions that are left after a round; the pivot is the first active member."""
+    first = live.groupBy("key").agg(F.min(F.when(F.col("active"), F.struct("rank", "cls", "n"))).alias("first"))
     met = live.join(first, "key").where(F.col("cls") != F.col("first.cls"))
-    return met.select("key", "cls", "n", F.col("first.cls").alias("pivot"), F.col("first.n").alias("n_pivot"))
+    return met.select("key", "cls", "n", "rank", "active", F.col("first.cls").alias("pivot"), F.col("first.n").alias("n_pivot"))
 
 
 def _round(met: DataFrame, sets: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
-    """Members beside a pivot of each region: the links found, and what must still meet in each region."""
+    """Members beside a pivot of each region: the links found, and what must still meet in each region.
+
+    The ball is one component from now on: its members need not meet each other. They stay, no longer active, only while
+    an active member outside may be linked with them; a region without active members is done.
+    """
     radius = 1 - similarity / 100
     # beyond twice the radius, which sizes alone may tell, the distance does not matter
     within = F.least("n", "n_pivot") >= (1 - 2 * radius) * F.greatest("n", "n_pivot") - 1e-9
@@ -365,12 +374,15 @@ def _round(met: DataFrame, sets: DataFrame, similarity: int) -> tuple[DataFrame,
         F.col("a").alias("cls"), F.col("b").alias("pivot"), distance.alias("d"), _is_link(similarity).alias("ball")
     ).where(F.col("ball") | (F.col("d") <= 2 * radius + 1e-9))
     told = met.join(near, ["cls", "pivot"], "left").withColumn("ball", F.coalesce("ball", F.lit(False)))
-    told = stored(told.select("key", "cls", "n", "d", "ball"), "told")
-    # the inner edge of the region's shell; without a shell nothing of the ball is needed further
-    edges = told.where(~F.col("ball") & F.col("d").isNotNull()).groupBy("key").agg(F.min("d").alias("edge"))
-    outer = told.where("ball").join(edges, "key").where(F.col("d") >= F.col("edge") - radius - 1e-9)
-    rest = told.where(~F.col("ball")).select("key", "cls", "n").unionByName(outer.select("key", "cls", "n"))
-    return links, rest
+    told = told.withColumn("active", F.col("active") & ~F.col("ball"))
+    told = stored(told.select("key", "cls", "n", "rank", "d", "ball", "active"), "told")
+    # the inner edge of the active members in the region's shell
+    open_regions = told.groupBy("key").agg(
+        F.max("active").alias("open"), F.min(F.when(F.col("active"), F.col("d"))).alias("edge")
+    )
+    needed = ~F.col("ball") | F.coalesce(F.col("d") >= F.col("edge") - radius - 1e-9, F.lit(False))
+    rest = told.join(open_regions.where("open"), "key").where(needed)
+    return links, rest.select("key", "cls", "n", "rank", "active")
 
 
 def class_links(docs: DataFrame, rows: DataFrame, sketches: DataFrame, n: int, similarity: int) -> DataFrame:
@@ -394,12 +406,8 @@ def class_links(docs: DataFrame, rows: DataFrame, sketches: DataFrame, n: int, s
         links.append(found)
         small, large = _by_size(rest)
         todo.append(small)
-    pairs = []
-    for number, leaf in enumerate(todo):
-        pairs.append(_pairs_in(leaf.withColumn("region", F.struct(F.lit(number).alias("round"), "key")), similarity))
-    if not large.isEmpty():
-        pairs.append(_pairs_in_blocks(large, similarity))
-    every = stored(reduce(DataFrame.unionByName, pairs).distinct(), "pairs")
+    regions = [leaf.withColumn("region", F.struct(F.lit(number).alias("round"), "key")) for number, leaf in enumerate([*todo, large])]
+    every = stored(_pairs(reduce(DataFrame.unionByName, regions), similarity), "pairs")
     links.append(_measured(every, sets).where(_is_link(similarity)).select("a", "b"))
     return stored(reduce(DataFrame.unionByName, links).distinct(), "class-links")
 
