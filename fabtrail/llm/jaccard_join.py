@@ -8,8 +8,9 @@ one of the first n - ceil(t n) + 1. Shingles in few documents come first, so reg
 
 Inside a region, documents are pivots. The distance of all members to one pivot gives its ball (linked to the pivot, so
 one component), the shell up to twice the radius, and the rest. Only members within the triangle
-inequality's reach of each other stay together for the next pivot: the ball's inner part is done, its outer part is replicated
-for the shell. Regions that have become small are joined pair by pair; regions that many unlike documents share
+inequality's reach of each other stay together for the next pivot: the ball's inner part is done, its outer part stays
+for the shell. Each member knows the ball it belongs to, as members of one ball need not meet, but those of two balls
+must. Regions that have become small are joined pair by pair; regions that many unlike documents share
 after the last round are joined in blocks, so no link is lost. Links are decided on whole shingle sets.
 
 Equal shingle sets are one class from the start. Classes are told apart by a 64-bit hash of the set, shingles by
@@ -289,32 +290,48 @@ def _size_fits(similarity: int):
 
 
 def _pairs(regions: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of an active member with any other one of its region (``region, cls, n, active``) whose sizes allow a link.
+    """Pairs of members of a region (``region, cls, n, ball, seen``) that are not in one ball, where sizes and the distances to
+    the region's pivots allow a link.
 
-    The active members of a region are dealt into blocks, and each block meets all members in a place of its own.
+    The members outside the region's largest ball are dealt into blocks, and each block meets all members in a place of its own.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.count(F.when(F.col("active"), 1)) / BLOCK)).cast("int")
-    members = regions.join(regions.groupBy("region").agg(blocks.alias("blocks")), "region")
-    left = members.where("active").select(
-        "region", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("x"), F.col("cls").alias("a"), F.col("n").alias("n_a")
+    by_ball = regions.groupBy("region", "ball").agg(F.count(F.lit(1)).alias("size"))
+    shape = by_ball.groupBy("region").agg(
+        F.max(F.when(F.col("ball").isNotNull(), F.struct("size", "ball"))).alias("largest"), F.sum("size").alias("size")
     )
-    right = members.select(
-        "region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.col("cls").alias("b"), F.col("n").alias("n_b")
+    others = F.col("size") - F.coalesce(F.col("largest.size"), F.lit(0))
+    shape = shape.select(
+        "region", F.col("largest.ball").alias("main"), F.greatest(F.lit(1), F.ceil(others / BLOCK)).cast("int").alias("blocks")
     )
-    met = left.join(right, ["region", "x"]).where("a <> b").where(_size_fits(similarity))
+    members = regions.join(shape, "region").withColumn("inside", F.coalesce(F.col("ball") == F.col("main"), F.lit(False)))
+    left = members.where(~F.col("inside")).select(
+        "region", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("x"), F.col("cls").alias("a"), F.col("n").alias("n_a"),
+        F.col("ball").alias("ball_a"), F.col("seen").alias("seen_a"),
+    )
+    right = members.select(
+        "region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.col("cls").alias("b"), F.col("n").alias("n_b"),
+        F.col("ball").alias("ball_b"), F.col("seen").alias("seen_b"), "inside",
+    )
+    radius = 1 - similarity / 100
+    apart = F.coalesce(F.col("ball_a") != F.col("ball_b"), F.lit(True))
+    in_reach = F.forall(F.zip_with("seen_a", "seen_b", lambda u, v: F.abs(u - v) <= radius + 1e-6), lambda x: x)
+    # two members outside the largest ball meet in both orders
+    once = F.col("inside") | (F.col("a") < F.col("b"))
+    met = left.join(right, ["region", "x"]).where(once).where(_size_fits(similarity)).where(apart).where(in_reach)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _by_size(live: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Small regions (with more than one member, and an active one) and large ones."""
-    sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("active").alias("open"))
+    """Small regions (with more than one member, not all of one ball) and large ones."""
+    unlike = F.max(F.col("ball").isNull()) | (F.min("ball") != F.max("ball"))
+    sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("size"), unlike.alias("open"))
     sized = stored(live.join(sizes.where("size > 1 AND open"), "key").drop("open"), "regions")
     small = sized.where(F.col("size") <= LEAF).drop("size")
     return small, sized.where(F.col("size") > LEAF).drop("size")
 
 
 def _first_pivots(windows: DataFrame) -> DataFrame:
-    """``key, cls, n, rank, active, pivot, n_pivot``: the members of each region but its first class, beside that class.
+    """``key, cls, n, rank, ball, seen, pivot, n_pivot, ball_pivot``: the members of each region but its first class, beside that class.
 
     One pass over the windows sorted by region, rank and class; a region is never held as a whole.
     """
@@ -342,25 +359,33 @@ def _first_pivots(windows: DataFrame) -> DataFrame:
             keep = (cls != pivot) & ~again
             yield pa.RecordBatch.from_pydict(
                 {"key": pa.array(key[keep]), "cls": pa.array(cls[keep]), "n": pa.array(n[keep]), "rank": pa.array(rank[keep]),
-                 "active": pa.array(np.ones(int(keep.sum()), bool)), "pivot": pa.array(pivot[keep]), "n_pivot": pa.array(size[keep])}
+                 "pivot": pa.array(pivot[keep]), "n_pivot": pa.array(size[keep])}
             )
 
     lined = windows.repartition("key").sortWithinPartitions("key", "rank", "cls")
-    return lined.mapInArrow(run, "key bigint, cls bigint, n int, rank int, active boolean, pivot bigint, n_pivot int")
+    met = lined.mapInArrow(run, "key bigint, cls bigint, n int, rank int, pivot bigint, n_pivot int")
+    none = F.lit(None).cast("int")
+    return met.select("*", none.alias("ball"), F.array().cast("array<float>").alias("seen"), none.alias("ball_pivot"))
 
 
 def _pivots(live: DataFrame) -> DataFrame:
-    """The same for regions that are left after a round; the pivot is the first active member."""
-    first = live.groupBy("key").agg(F.min(F.when(F.col("active"), F.struct("rank", "cls", "n"))).alias("first"))
+    """The same for regions that are left after a round; the pivot is the first member of no ball, else the first of all."""
+    order = F.struct(F.col("ball").isNotNull().alias("taken"), "rank", "cls", "n", "ball")
+    first = live.groupBy("key").agg(F.min(order).alias("first"))
     met = live.join(first, "key").where(F.col("cls") != F.col("first.cls"))
-    return met.select("key", "cls", "n", "rank", "active", F.col("first.cls").alias("pivot"), F.col("first.n").alias("n_pivot"))
+    return met.select(
+        "key", "cls", "n", "rank", "ball", "seen", F.col("first.cls").alias("pivot"), F.col("first.n").alias("n_pivot"),
+        F.col("first.ball").alias("ball_pivot"),
+    )
 
 
-def _round(met: DataFrame, sets: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
+def _round(met: DataFrame, sets: DataFrame, similarity: int, number: int) -> tuple[DataFrame, DataFrame]:
     """Members beside a pivot of each region: the links found, and what must still meet in each region.
 
-    The ball is one component from now on: its members need not meet each other. They stay, no longer active, only while
-    an active member outside may be linked with them; a region without active members is done.
+    The ball is one component from now on, with all earlier balls it shares a member with: its members need not meet each
+    other. ``ball`` is the number of the round that made it, null outside. A member within the radius stays only while a member of
+    another ball, or of none, may be linked with it; a region that is one ball is done. ``seen`` keeps the distances to the
+    pivots, up to twice the radius.
     """
     radius = 1 - similarity / 100
     # beyond twice the radius, which sizes alone may tell, the distance does not matter
@@ -371,18 +396,31 @@ def _round(met: DataFrame, sets: DataFrame, similarity: int) -> tuple[DataFrame,
     distance = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
     # only what is at most twice the radius away matters here, and it is little
     near = measured.select(
-        F.col("a").alias("cls"), F.col("b").alias("pivot"), distance.alias("d"), _is_link(similarity).alias("ball")
-    ).where(F.col("ball") | (F.col("d") <= 2 * radius + 1e-9))
-    told = met.join(near, ["cls", "pivot"], "left").withColumn("ball", F.coalesce("ball", F.lit(False)))
-    told = told.withColumn("active", F.col("active") & ~F.col("ball"))
-    told = stored(told.select("key", "cls", "n", "rank", "d", "ball", "active"), "told")
-    # the inner edge of the active members in the region's shell
-    open_regions = told.groupBy("key").agg(
-        F.max("active").alias("open"), F.min(F.when(F.col("active"), F.col("d"))).alias("edge")
+        F.col("a").alias("cls"), F.col("b").alias("pivot"), distance.alias("d"), _is_link(similarity).alias("linked")
+    ).where(F.col("linked") | (F.col("d") <= 2 * radius + 1e-9))
+    told = met.join(near, ["cls", "pivot"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    told = stored(told.select("key", "cls", "n", "rank", "ball", "seen", "ball_pivot", "d", "linked"), "told")
+    # at most one row for each round so far and one for members of no ball
+    by_ball = told.groupBy("key", "ball").agg(
+        (F.max("linked") | F.coalesce(F.max("ball_pivot") == F.col("ball"), F.lit(False))).alias("joined"),
+        F.count(F.when(~F.col("linked"), 1)).alias("outside"),
+        F.min(F.when(~F.col("linked"), F.col("d"))).alias("edge"),
+    )
+    joined = F.col("joined") & F.col("ball").isNotNull()
+    # the inner edge of what stays outside the ball
+    regions = by_ball.groupBy("key").agg(
+        F.collect_set(F.when(joined, F.col("ball"))).alias("joined"),
+        F.max(~joined & (F.col("outside") > 0)).alias("open"),
+        F.min(F.when(~joined, F.col("edge"))).alias("edge"),
     )
-    needed = ~F.col("ball") | F.coalesce(F.col("d") >= F.col("edge") - radius - 1e-9, F.lit(False))
-    rest = told.join(open_regions.where("open"), "key").where(needed)
-    return links, rest.select("key", "cls", "n", "rank", "active")
+    needed = ~F.col("linked") | F.coalesce(F.col("d") >= F.col("edge") - radius - 1e-9, F.lit(False))
+    rest = told.join(regions.where("open"), "key").where(needed)
+    mine = F.col("linked") | F.coalesce(F.array_contains("joined", F.col("ball")), F.lit(False))
+    far = F.lit(2 * radius)
+    return links, rest.select(
+        "key", "cls", "n", "rank", F.when(mine, F.lit(number)).otherwise(F.col("ball")).alias("ball"),
+        F.array_append("seen", F.least(F.coalesce("d", far), far).cast("float")).alias("seen"),
+    )
 
 
 def class_links(docs: DataFrame, rows: DataFrame, sketches: DataFrame, n: int, similarity: int) -> DataFrame:
@@ -395,14 +433,14 @@ def class_links(docs: DataFrame, rows: DataFrame, sketches: DataFrame, n: int, s
     chosen = rows.groupBy("cls").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"))
     wanted = spark.sparkContext.broadcast(_class_filter(chosen.join(classes.distinct(), "cls", "left_semi")))
     sets = stored(_sets(docs, wanted, n), "sets")
-    found, rest = _round(met, sets, similarity)
+    found, rest = _round(met, sets, similarity, 0)
     links, todo = [found], []
     small, large = _by_size(rest)
     todo.append(small)
-    for _ in range(MOST_ROUNDS):
+    for number in range(1, MOST_ROUNDS + 1):
         if large.isEmpty():
             break
-        found, rest = _round(stored(_pivots(large), "met"), sets, similarity)
+        found, rest = _round(stored(_pivots(large), "met"), sets, similarity, number)
         links.append(found)
         small, large = _by_size(rest)
         todo.append(small)

@@ -111,6 +111,23 @@ def test_jaccard_rounds_and_blocks_lose_no_link(spark, monkeypatch):
     assert got == _components(_sets(rows), 80)
 
 
+def test_jaccard_link_between_two_families(spark):
+    """Versions of two texts, connected by one link between two that are in the balls of unlike pivots."""
+    shared = [f"shared{j}" for j in range(204)]
+    own = lambda name, n: [f"{name}{j}" for j in range(n)]
+    rows = [(k, [f"left{k}", *shared[17:], *own("end", 5)], "a") for k in range(24)]
+    rows += [(100 + k, [*own("begin", 5), *shared[:-17], f"right{k}"], "a") for k in range(24)]
+    # so that the parts that only one family has are not the rare ones
+    rows += [(200 + k, [*shared[:21], *own(f"other{k}x", 150), *shared[-21:]], "a") for k in range(60)]
+    rows += [(300, [*own("new", 20), *shared, *own("end", 5)], "a"), (301, [*own("begin", 5), *shared, *own("late", 20)], "a")]
+    rows = [(i, " ".join(words), source) for i, words, source in rows]
+    want = _components(_sets(rows), 80)
+    assert want[100] == want[300] == want[301] == 0
+    assert _components(_sets(rows[:-1]), 80)[100] == 100 and _components(_sets(rows[:-2] + rows[-1:]), 80)[100] == 100
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(documents(spark, rows)).collect()}
+    assert got == want
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_join.jaccard_components(documents(spark, [])).collect() == []
     assert jaccard_join.drop_near_copies(documents(spark, [])).collect() == []
