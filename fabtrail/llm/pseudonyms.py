@@ -236,12 +236,48 @@ def permute_date(date: Column, key: str, inverse: bool = False) -> Column:
     return _bind(F.unix_date(date).cast("bigint") - CYCLE_START, run)
 
 
+def _whole(value: Column, pattern: str) -> Column:
+    return value.rlike(f"^(?:{pattern})$")
+
+
+def _parts(value: Column, key: str, inverse: bool) -> Column:
+    """A match that runs past an IBAN or card number, group by group: from each group on the longest valid value is replaced, and
+    the search goes on behind it. What is left stays as it is."""
+    # each group with what stands before it
+    groups = F.regexp_extract_all(value, F.lit("[ -]?[A-Z0-9]+"), F.lit(0))
+
+    def run(own: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            def put(text: Column) -> Column:
+                bare = F.regexp_replace(text, "^[ -]", "")
+                iban, card = _whole(bare, IBAN) & valid_iban(bare), _whole(bare, CARD) & valid_card(bare)
+                new = F.when(iban, permute_iban(bare, key, inverse)).when(card, permute_card(bare, key, inverse))
+                return F.concat(F.regexp_extract(text, "^[ -]?", 0), new)
+
+            spans = F.transform(
+                F.sequence(F.size(own), i + 1, F.lit(-1)),
+                lambda e: F.struct(e.alias("next"), put(F.array_join(F.slice(own, i + 1, e - i), "")).alias("text")),
+            )
+            as_it_is = F.struct((i + 1).alias("next"), F.get(own, i).alias("text"))
+            chosen = F.coalesce(F.get(F.filter(spans, lambda s: s["text"].isNotNull()), F.lit(0)), as_it_is)
+            added = _bind(
+                chosen, lambda c: F.struct(c["next"].alias("next"), F.concat(acc["text"], c["text"]).alias("text"))
+            )
+            return F.when(i < acc["next"], acc).otherwise(added)
+
+        start = F.struct(F.lit(0).alias("next"), F.lit("").alias("text"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(own) - 1), start, step, lambda acc: acc["text"])
+
+    return _bind(groups, run)
+
+
 def pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
-    """What a match of ``PATTERN`` becomes; a match that is none of the valid kinds stays as it is.
+    """What a match of ``PATTERN`` becomes; a match that is none of the valid kinds stays as it is, but for valid IBANs and card
+    numbers among its groups.
 
     Dates with slashes are read month first where that gives a date, else day first.
     """
-    whole = lambda p: value.rlike(f"^(?:{p})$")
+    whole = lambda p: _whole(value, p)
     dated = lambda fmt: F.try_to_date(value, fmt)
 
     def date_as(fmt: str) -> Column:
@@ -265,6 +301,7 @@ def pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
         .when(whole(IBAN) & valid_iban(value), permute_iban(value, key, inverse))
         .when(whole(CARD) & valid_card(value), permute_card(value, key, inverse))
         .when(whole(PHONE) | whole(SSN), digits)
+        .when(whole(IBAN) | whole(CARD), _parts(value, key, inverse))
         .otherwise(value)
     )
 

@@ -52,6 +52,23 @@ def test_values_keep_their_format_and_come_back(spark):
     assert date.fromisoformat(iso) and dotted == f"{d}.{m}.{y}" and slashed == f"{m}/{d}/{y}"
 
 
+def test_values_before_other_groups(spark):
+    """A BIC, a year, an expiry date or a code behind a value that the pattern takes with it."""
+    iban, long_iban, card = "BE68 5390 0754 7034", "ES9121000418450200051332", "4111 1111 1111 1111"
+    texts = [
+        f"{iban} BIC KREDBEBB", f"{long_iban} 2024", f"{card} 12/27", f"{card.replace(' ', '')} 123", f"{iban} {card}",
+        f"AB12 {card}", iban, long_iban, card, "4111 1111 1111 1112 12",
+    ]
+    rows = [(k, t, "a") for k, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in pseudonyms.pseudonymised(documents(spark, rows), KEY).collect()}
+    assert got[6] != iban and got[7] != long_iban and got[8] != card
+    assert [got[k] for k in range(6)] == [
+        f"{got[6]} BIC KREDBEBB", f"{got[7]} 2024", f"{got[8]} 12/27", f"{got[8].replace(' ', '')} 123", f"{got[6]} {got[8]}",
+        f"AB12 {got[8]}",
+    ]
+    assert got[9] == texts[9]
+
+
 def test_small_domain_is_permuted(spark):
     frame = spark.range(100).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("v"))
     got = [r[0] for r in frame.select(pseudonyms.permute_characters(F.col("v"), KEY)).collect()]
