@@ -25,7 +25,7 @@ from fabtrail.llm.words import hash_words, owners, split_words, sums, text_slice
 from fabtrail.session import stored
 
 #: bytes of context; with the byte itself they fit into one 64-bit number
-DEPTH = 5
+DEPTH = 6
 
 #: the end mark, and what stands before a text's first byte: never part of UTF-8
 END = 0xFF

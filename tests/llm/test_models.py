@@ -100,6 +100,16 @@ def test_probabilities_match_the_definition():
         assert g == pytest.approx(_probability(counts, *split(v)), rel=1e-9)
 
 
+def test_sixth_byte_of_a_context_counts():
+    """What follows "bcdef" is told by the byte before it only."""
+    values, _ = context_tree.grams(pa.array(["abcdefx", "zbcdefy"] * 20))
+    keys, trained = np.unique(values, return_counts=True)
+    zero = np.zeros(0, int)
+    got = context_tree.log_probabilities(keys, trained, context_tree.Top(zero, zero, zero, zero, zero))
+    seen = dict(zip(keys.tolist(), got))
+    assert seen[int.from_bytes(b"abcdefx", "big")] > np.log(0.6) and seen[int.from_bytes(b"zbcdefy", "big")] > np.log(0.6)
+
+
 def test_probabilities_sum_to_one():
     values, _ = context_tree.grams(pa.array([sentence(3, 50)]))
     keys, trained = np.unique(values, return_counts=True)
