@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fabtrail.llm import (
+    collocations,
     context_tree,
     exact_dedup,
     jaccard_join,
@@ -72,6 +73,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -85,10 +90,12 @@ QUERIES: dict[str, Query] = {
         op8_near_vectors,
         op9_harmonic_packing,
         op10_exact_dedup,
+        op12_collocations,
     )
 }
 
 ORACLE: dict[str, str] = {
     "op4_mix_sources": mixing.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
 }
