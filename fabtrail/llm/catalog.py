@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fabtrail.llm import (
+    centroids,
     collocations,
     context_tree,
     exact_dedup,
@@ -73,6 +74,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Query] = {
         op8_near_vectors,
         op9_harmonic_packing,
         op10_exact_dedup,
+        op11_centroids,
         op12_collocations,
     )
 }
@@ -97,5 +103,6 @@ QUERIES: dict[str, Query] = {
 ORACLE: dict[str, str] = {
     "op4_mix_sources": mixing.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_centroids": centroids.oracle_sql(),
     "op12_collocations": collocations.ORACLE_SQL,
 }
