@@ -15,6 +15,7 @@ from fabtrail.llm import (
     jaccard_join,
     mixing,
     near_vectors,
+    nearest,
     packing,
     pages,
     pseudonyms,
@@ -82,6 +83,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -97,6 +102,7 @@ QUERIES: dict[str, Query] = {
         op10_exact_dedup,
         op11_centroids,
         op12_collocations,
+        op13_nearest,
     )
 }
 
@@ -105,4 +111,5 @@ ORACLE: dict[str, str] = {
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_centroids": centroids.oracle_sql(),
     "op12_collocations": collocations.ORACLE_SQL,
+    "op13_nearest": nearest.ORACLE_SQL,
 }
