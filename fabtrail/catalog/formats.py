@@ -190,7 +190,7 @@ def json_array_key_order(spark, sf_dir):
     )
     lines = framed.repartition("part").sortWithinPartitions("part", "n")
     lines.select("value", "part").write.partitionBy("part").text(path)
-    found = ST.read_json_arrays(list_files(spark, path).where(F.col("source_filename").startswith("part-")), chunk=1000)
+    found = ST.read_json_arrays(list_files(spark, path).where(F.col("source_filename").startswith("part-")))
     as_map = E.as_map(F.col("entries"))
     keys = F.transform("entries", lambda e: e["key"])
     return found.select(

@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import codecs
-import json
-import re
 from collections.abc import Iterator
-from functools import reduce
-from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -15,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from fabtrail.functions import entries as E
 from fabtrail.functions.text import let, number_text, split_lines, strip
 from fabtrail.schema import ENTRIES
+from fabtrail.operators.ordering import lookup_join
 from fabtrail.session import barrier, spread, stored
+from fabtrail.sources import splits
 from fabtrail.sources.files import (
     file_place,
     heads_of,
@@ -28,14 +25,15 @@ from fabtrail.sources.files import (
 
 PLACE = ["source_path", "source_filename", "block", "row"]
 
-_NOT_BLANK = re.compile(r"[^ \t\r\n\ufeff]")
+_PLACE_FIELDS = [
+    T.StructField("source_path", T.StringType()),
+    T.StructField("source_filename", T.StringType()),
+    T.StructField("block", T.LongType()),
+    T.StructField("row", T.LongType()),
+]
 
 # -- JSON ------------------------------------------------------------------------------
 
-#: characters of an array file that are read at a time
-CHUNK_CHARACTERS = 1 << 20
-
-
 def _object_line(line: Column) -> Column:
     """A line without the comma that ends it; null if it starts no object."""
     return let(
@@ -102,106 +100,18 @@ def read_json_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return parse_json_lines(read_lines(spark, paths))
 
 
-def array_members(chunks: Iterator[str]) -> Iterator[str]:
-    """The objects of a JSON array that comes in chunks, as they are written; other members are passed over.
-
-    Holds a chunk and a member. Raises ``ValueError`` where the text is no array.
-    """
-    decode = json.JSONDecoder().raw_decode
-    text, at, more = "", 0, True
-
-    def fill(least: int) -> None:
-        nonlocal text, at, more
-        text, at = text[at:], 0
-        while more and len(text) < least:
-            chunk = next(chunks, None)
-            more = chunk is not None
-            text += chunk or ""
-
-    def skip() -> str:
-        """The next character that is no blank; empty at the end."""
-        nonlocal at
-        while True:
-            found = _NOT_BLANK.search(text, at)
-            if found:
-                at = found.start()
-                return text[at]
-            at = len(text)
-            if not more:
-                return ""
-            fill(1)
-
-    def end_of_member() -> tuple[object, int]:
-        wanted = CHUNK_CHARACTERS
-        while True:
-            try:
-                value, end = decode(text, at)
-                # a number may go on in the next chunk
-                if end < len(text) or not more:
-                    return value, end
-            except json.JSONDecodeError:
-                if not more:
-                    raise
-            wanted *= 2
-            fill(wanted)
-
-    if skip() != "[":
-        raise ValueError("no array")
-    at += 1
-    if skip() == "]":
-        at += 1
-    else:
-        while True:
-            skip()
-            value, end = end_of_member()
-            if isinstance(value, dict):
-                yield text[at:end]
-            at = end
-            mark = skip()
-            at += 1
-            if mark == "]":
-                break
-            if mark != ",":
-                raise ValueError("no comma between members")
-            if len(text) - at < CHUNK_CHARACTERS:
-                fill(CHUNK_CHARACTERS)
-    if skip():
-        raise ValueError("text after the array")
-
-
-def _file_chunks(path: str, size: int) -> Iterator[str]:
-    decoder = codecs.getincrementaldecoder("utf-8")(errors="replace")
-    with open_stream(path) as stream:
-        while data := stream.read(size):
-            yield decoder.decode(data)
-        yield decoder.decode(b"", final=True)
-
-
-def read_json_arrays(files: DataFrame, chunk: int = CHUNK_CHARACTERS) -> DataFrame:
+def read_json_arrays(files: DataFrame) -> DataFrame:
     """Array files (``source_path, source_filename``) of any size to one row of ``entries`` per object.
 
-    A task streams through a file and hands on its objects as texts, in source order; they are parsed where Spark
-    deals them to. A file that is no array as a whole gives none, so it is gone through first.
+    Spark splits the files; every task cuts its splits into objects. A file that is no array as a whole gives none.
     """
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, name in zip(batch["source_path"], batch["source_filename"]):
-                try:
-                    for _ in array_members(_file_chunks(path, chunk)):
-                        pass
-                except ValueError:
-                    continue
-                rows = enumerate(array_members(_file_chunks(path, chunk)))
-                while part := list(islice(rows, 2000)):
-                    yield pd.DataFrame([(path, name, 0, k, text) for k, text in part], columns=names)
-
-    names = [*PLACE, "object"]
-    tasks = spread_tasks(files.sparkSession)
-    texts = files.select("source_path", "source_filename").repartition(tasks, "source_path").mapInPandas(
-        members, "source_path string, source_filename string, block bigint, row bigint, object string"
-    )
-    return texts.select(*PLACE, E.json_entries(F.col("object")).alias("entries"))
+    spark = files.sparkSession
+    paths = [row.source_path for row in files.select("source_path").toLocalIterator()]
+    if not paths:
+        return spark.createDataFrame([], T.StructType([*_PLACE_FIELDS, T.StructField("entries", ENTRIES)]))
+    found, faults = splits.records(spark, paths, splits.JsonArray())
+    sound = found.join(faults.select("source_path").distinct(), "source_path", "left_anti")
+    return sound.select(*PLACE, E.json_entries(F.col("content")).alias("entries"))
 
 
 # -- CSV and TSV -------------------------------------------------------------------------
@@ -267,26 +177,35 @@ def cells_to_entries(header: list[str], cells: list[Column]) -> Column:
 def read_csv_group(
     spark: SparkSession, paths: list[str], header: list[str], sep: str, multi_line: bool
 ) -> DataFrame:
-    """Files sharing one header: a splittable read unless cells hold line ends."""
+    """Files sharing one header, split inside files whether or not cells hold line ends."""
     names = [f"c{i}" for i in range(len(header))]
     # the text of a row is kept only where its number of cells is wrong
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_row_text"]])
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
+    options = {
+        "sep": sep,
+        "quote": '"',
+        "escape": '"',
+        "multiLine": multi_line,
+        "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": "_row_text",
+        "emptyValue": "",
+    }
+    if multi_line:
+        texts, _ = splits.records(spark, paths, splits.QuotedLines())
+        line = F.rtrim(F.col("content"), F.lit("\r\n"))
+        # a file's first row that is not empty names its columns
+        filled = barrier(texts.withColumn("line", line).where(F.trim("line") != ""))
+        first = filled.groupBy("source_path").agg(F.min(F.struct("block", "row")).alias("first"))
+        told = _told(filled, stored(first, "csv-first"), spark)
+        cells = F.from_csv("line", schema.simpleString()[len("struct<") : -1].replace(":", " "), {k: str(v) for k, v in options.items()})
+        rows = told.where(F.struct("block", "row") != F.col("first")).select(*PLACE, cells.alias("cells"))
+        rows = barrier(rows).select(*PLACE, "cells.*")
+    else:
         # wrong numbers of cells show only when whole rows are parsed
-        .option("columnPruning", False)
-        .option("columnNameOfCorruptRecord", "_row_text")
-        .option("emptyValue", "")
-        .csv(paths)
-    )
+        read = spark.read.schema(schema).options(**options).option("header", True).option("columnPruning", False).csv(paths)
+        rows = read.select(*file_place(F.monotonically_increasing_id()), *schema.names)
     return rows.select(
-        *file_place(F.monotonically_increasing_id()),
+        *PLACE,
         cells_to_entries(
             header,
             [
@@ -300,10 +219,17 @@ def read_csv_group(
     )
 
 
+def _told(rows: DataFrame, facts: DataFrame, spark: SparkSession) -> DataFrame:
+    """Rows with the facts of their file (one row for each ``source_path``)."""
+    if facts.count() <= splits.MOST_BROADCAST_SPLITS:
+        return rows.join(F.broadcast(facts), "source_path")
+    return lookup_join(rows, facts, ["source_path"])
+
+
 # -- XML -----------------------------------------------------------------------------------
 
 
-#: bytes of a file in which the root and its first child are looked for
+#: bytes of a file in which the root's start tag is looked for
 XML_HEAD_BYTES = 1 << 16
 
 _XML_NAME = r"[A-Za-z_:][\w:.\-]*"
@@ -311,50 +237,13 @@ _XML_NAME = r"[A-Za-z_:][\w:.\-]*"
 _XML_PROLOG = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>\[]*(?:\[.*?\])?\s*>\s*)*"
 
 
-def xml_shapes(files: DataFrame) -> DataFrame:
-    """``source_path, source_filename, root_tag, root, tag``: the root's start tag, its name, and the name of its first child."""
+def xml_roots(files: DataFrame) -> DataFrame:
+    """``source_path, source_filename, root_tag, root``: the root's start tag and its name; empty where there is none."""
     text = F.make_valid_utf8(F.col("head").cast("string"))
     body = F.regexp_replace(text, _XML_PROLOG, "")
     opening = F.regexp_extract(body, rf"(?s)^<{_XML_NAME}(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", 0)
-    inside = F.regexp_replace(F.substring(body, F.length(opening) + 1, F.length(body)), _XML_PROLOG, "")
     root = F.regexp_extract(opening, rf"^<({_XML_NAME})", 1)
-    child = F.regexp_extract(inside, rf"^[^<]*<({_XML_NAME})", 1)
-    return heads_of(files, XML_HEAD_BYTES).select(
-        "source_path",
-        "source_filename",
-        opening.alias("root_tag"),
-        root.alias("root"),
-        F.when(child == "", root).otherwise(child).alias("tag"),
-    )
-
-
-def _xml_pieces(spark: SparkSession, shapes: DataFrame) -> DataFrame:
-    """Files cut behind the end tags of their rows, inside files; ``piece`` is a document of its own: the root with
-    one or a few children. One scan for each row tag."""
-    tags = [row.tag for row in shapes.select("tag").distinct().orderBy("tag").toLocalIterator()]
-    found = []
-    for tag in tags:
-        own = shapes.where(F.col("tag") == tag)
-        paths = [row.source_path for row in own.select("source_path").toLocalIterator()]
-        lines = spark.read.text(paths, lineSep=f"</{tag}>").select(
-            *file_place(F.monotonically_increasing_id()), F.make_valid_utf8("value").alias("value")
-        )
-        # a file's last piece has no end tag cut off: it must end the root itself
-        last = lines.groupBy("source_path").agg(F.max(F.struct("block", "row")).alias("last"))
-        known = own.drop("source_filename").join(last, "source_path")
-        met = lines.join(known, "source_path").where(strip(F.col("value")) != "")
-        ends = F.struct("block", "row") == F.col("last")
-        begins = F.contains(F.col("value"), F.col("root_tag")) & (F.col("root_tag") != "")
-        closing = F.when(F.col("tag") == F.col("root"), F.concat(F.lit("</"), F.col("root"), F.lit(">"))).otherwise(
-            F.concat(F.lit("</"), F.col("tag"), F.lit("></"), F.col("root"), F.lit(">"))
-        )
-        piece = F.concat(
-            F.when(begins, F.lit("")).otherwise(F.col("root_tag")),
-            F.col("value"),
-            F.when(ends, F.lit("")).otherwise(closing),
-        )
-        found.append(met.select(*PLACE, strip(piece).alias("piece")))
-    return reduce(DataFrame.unionByName, found)
+    return heads_of(files, XML_HEAD_BYTES).select("source_path", "source_filename", opening.alias("root_tag"), root.alias("root"))
 
 
 def _xml_fields(node) -> list[tuple[str, str, str]]:
@@ -371,25 +260,19 @@ def _xml_fields(node) -> list[tuple[str, str, str]]:
 
 def read_xml(files: DataFrame) -> DataFrame:
     """``source_path, source_filename, length`` rows to one row for each child of each root: ``entries``, or the ``error`` of a
-    piece that is not well-formed (``entries`` is null then).
+    child that is not well-formed or of a file that ends too early (``entries`` is null then).
 
-    Spark splits the files; a task parses one record at a time. A file that ends too early loses the
-    record it breaks off in only.
+    Spark splits the files; elements are told apart by their depth, whatever their names. A task parses one record at a time. A
+    file that ends too early loses the record it breaks off in only.
     """
     spark = files.sparkSession
-    shapes = stored(xml_shapes(files), "xml-shapes")
-    schema = T.StructType(
-        [
-            T.StructField("source_path", T.StringType()),
-            T.StructField("source_filename", T.StringType()),
-            T.StructField("block", T.LongType()),
-            T.StructField("row", T.LongType()),
-            T.StructField("entries", ENTRIES),
-            T.StructField("error", T.StringType()),
-        ]
-    )
-    if shapes.isEmpty():
+    schema = T.StructType([*_PLACE_FIELDS, T.StructField("entries", ENTRIES), T.StructField("error", T.StringType())])
+    paths = [row.source_path for row in files.select("source_path").toLocalIterator()]
+    if not paths:
         return spark.createDataFrame([], schema)
+    roots = stored(xml_roots(files), "xml-roots")
+    found, faults = splits.records(spark, paths, splits.Xml())
+    pieces = _told(found, roots.select("source_path", "root_tag", "root"), spark)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xml.etree import ElementTree
@@ -407,7 +290,15 @@ def read_xml(files: DataFrame) -> DataFrame:
                         rows.append((*place, [dict(key=k, value=v, kind=kind) for k, v, kind in fields], None))
             yield pd.DataFrame(rows, columns=schema.names)
 
-    return _xml_pieces(spark, shapes).mapInPandas(parse, schema)
+    # names of the root's namespaces hold in its children
+    whole = F.concat("root_tag", "content", F.lit("</"), "root", F.lit(">"))
+    parsed = pieces.select(*PLACE, whole.alias("piece")).mapInPandas(parse, schema)
+    rootless = roots.where("root_tag = ''").select("source_path", "source_filename", F.lit("no root element").alias("error"))
+    bad = faults.unionByName(rootless).select(
+        "source_path", "source_filename", F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("row"),
+        F.lit(None).cast(ENTRIES).alias("entries"), "error",
+    )
+    return parsed.unionByName(bad)
 
 
 def spread_tasks(spark: SparkSession) -> int:

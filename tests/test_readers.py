@@ -12,30 +12,6 @@ from fabtrail.operators.tables import LogStore
 from fabtrail.sources import binary as B, structured as ST
 from fabtrail.sources.files import list_files
 
-ARRAYS = [
-    "[]",
-    ' [ {"a": 1} , 2, null, "x]", [{"no": 1}], {"b": {"c": "},{"}, "a": [1, 2]} ] ',
-    '[{"long": "' + "y" * 5000 + '"}, 12345678901234567890, {"z": 1e5}]\n',
-    '﻿[{"é": "ü"}]',
-]
-BROKEN = ["", "{}", "[1, 2", '[{"a": 1} {"b": 2}]', '[{"a": 1},]', '[{"a": 1}] x', "[nope]"]
-
-
-def cut(text, size):
-    return iter([text[k : k + size] for k in range(0, len(text), size)])
-
-
-@pytest.mark.parametrize("size", [1, 7, 10**6])
-def test_array_members(size, monkeypatch):
-    monkeypatch.setattr(ST, "CHUNK_CHARACTERS", min(size, 100))
-    for text in ARRAYS:
-        want = [m for m in json.loads(text.lstrip("﻿")) if isinstance(m, dict)]
-        assert [json.loads(m) for m in ST.array_members(cut(text, size))] == want
-    for text in BROKEN:
-        with pytest.raises(ValueError):
-            list(ST.array_members(cut(text, size)))
-
-
 def records(frame):
     rows = frame.orderBy("block", "row").collect()
     return [{e.key: e.value for e in r.entries} for r in rows]
