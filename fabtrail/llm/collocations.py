@@ -43,7 +43,7 @@ SHARD_BYTES = 512 << 10
 HELD_BYTES = 16 << 20
 
 #: phrases that a task adds up before it hands them on
-HELD_PHRASES = 1 << 20
+HELD_PHRASES = 1 << 18
 
 #: languages whose local support is raised above one; the largest ones
 RAISED_LANGS = 1000
