@@ -4,7 +4,10 @@ The Jaccard distance of shingle sets is a metric. Two texts that share no shingl
 pair, so whole documents as pivots would tell almost nothing apart. The first pivots are therefore the one-shingle sets:
 a document lies nearest to the pivots of its own shingles, and in the region of the first of them in one global
 order. Its boundary window reaches over its next pivots: of n shingles, a partner at similarity t shares at least
-one of the first n - ceil(t n) + 1. Shingles in few documents come first, so regions are small.
+one of the first n - ceil(t n) + 1. Shingles in few documents come first, so regions are small. The place of the region's shingle in
+a member's order bounds what it can share with a partner whose first common shingle it is, and so the partner's size
+(``most``). The smaller of two partners must be allowed one of its own size at least: members that only share a passage, which is late in all their orders,
+leave the region before any of them meet.
 
 Inside a region, documents are pivots. The distance of all members to one pivot gives its ball (linked to the pivot, so
 one component), the shell up to twice the radius, and the rest. Only members within the triangle
@@ -179,8 +182,10 @@ def _levels(sketches: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, levels, n: int, similarity: int) -> DataFrame:
-    """``key, cls, n, rank``: the pivots in each class's window; a task gives each class once.
+    """``key, cls, n, rank, most``: the pivots in each class's window; a task gives each class once.
 
+    ``most`` is the size of the largest partner that may share the key as its first: the two have no more in common than the shingles
+    from the key on.
     ``rank`` is small for classes whose first shingles are common: an original has more of them than its
     altered copies, which makes it a good pivot.
     """
@@ -201,16 +206,17 @@ def _prefixes(docs: DataFrame, levels, n: int, similarity: int) -> DataFrame:
                 keys, owner = _sorted_within(_keys(value, order), owner)
                 place = np.arange(len(keys)) - bounds[owner]
                 take = (place < prefix_length(size, similarity)[owner]) & fresh[owner]
-                keys, owner = keys[take], owner[take]
+                keys, owner, place = keys[take], owner[take], place[take]
+                most = (size[owner] - place) * (100 + similarity) // similarity - size[owner]
                 common = np.bincount(owner, (keys >> np.uint64(56)).astype(np.float64), len(size))
                 taken = np.bincount(owner, minlength=len(size))
                 rank = 255 - np.round(common / np.maximum(taken, 1)).astype(np.int32)
                 yield pa.RecordBatch.from_pydict(
                     {"key": pa.array(keys.view(np.int64)), "cls": pa.array(cls[owner]), "n": pa.array(size[owner].astype(np.int32)),
-                     "rank": pa.array(rank[owner].astype(np.int32))}
+                     "rank": pa.array(rank[owner].astype(np.int32)), "most": pa.array(most.astype(np.int32))}
                 )
 
-    return docs.mapInArrow(run, "key bigint, cls bigint, n int, rank int")
+    return docs.mapInArrow(run, "key bigint, cls bigint, n int, rank int, most int")
 
 
 def _place_in_filter(cls, doc_id):
@@ -290,8 +296,8 @@ def _size_fits(similarity: int):
 
 
 def _pairs(regions: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of members of a region (``region, cls, n, ball, seen``) that are not in one ball, where sizes and the distances to
-    the region's pivots allow a link.
+    """Pairs of members of a region (``region, cls, n, most, ball, seen``) that are not in one ball, where sizes, the place of the
+    region's shingle and the distances to the region's pivots allow a link.
 
     The members outside the region's largest ball are dealt into blocks, and each block meets all members in a place of its own.
     """
@@ -306,18 +312,20 @@ def _pairs(regions: DataFrame, similarity: int) -> DataFrame:
     members = regions.join(shape, "region").withColumn("inside", F.coalesce(F.col("ball") == F.col("main"), F.lit(False)))
     left = members.where(~F.col("inside")).select(
         "region", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("x"), F.col("cls").alias("a"), F.col("n").alias("n_a"),
-        F.col("ball").alias("ball_a"), F.col("seen").alias("seen_a"),
+        F.col("most").alias("most_a"), F.col("ball").alias("ball_a"), F.col("seen").alias("seen_a"),
     )
     right = members.select(
         "region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.col("cls").alias("b"), F.col("n").alias("n_b"),
-        F.col("ball").alias("ball_b"), F.col("seen").alias("seen_b"), "inside",
+        F.col("most").alias("most_b"), F.col("ball").alias("ball_b"), F.col("seen").alias("seen_b"), "inside",
     )
     radius = 1 - similarity / 100
     apart = F.coalesce(F.col("ball_a") != F.col("ball_b"), F.lit(True))
     in_reach = F.forall(F.zip_with("seen_a", "seen_b", lambda u, v: F.abs(u - v) <= radius + 1e-6), lambda x: x)
+    # where the region's shingle is the first that both have, they have no more in common than what follows it
+    shares = (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
     # two members outside the largest ball meet in both orders
     once = F.col("inside") | (F.col("a") < F.col("b"))
-    met = left.join(right, ["region", "x"]).where(once).where(_size_fits(similarity)).where(apart).where(in_reach)
+    met = left.join(right, ["region", "x"]).where(once).where(_size_fits(similarity)).where(shares).where(apart).where(in_reach)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -330,18 +338,42 @@ def _by_size(live: DataFrame) -> tuple[DataFrame, DataFrame]:
     return small, sized.where(F.col("size") > LEAF).drop("size")
 
 
-def _first_pivots(windows: DataFrame) -> DataFrame:
-    """``key, cls, n, rank, ball, seen, pivot, n_pivot, ball_pivot``: the members of each region but its first class, beside that class.
+#: a region of more members, by the sketch, is not streamed through one task: about a million
+HEAVY_LEVEL = 160
 
-    One pass over the windows sorted by region, rank and class; a region is never held as a whole.
+_MET = "key bigint, cls bigint, n int, rank int, most int, pivot bigint, n_pivot int"
+
+
+def _first_pivots(windows: DataFrame, levels: np.ndarray) -> DataFrame:
+    """``key, cls, n, rank, most, ball, seen, pivot, n_pivot, ball_pivot``: the members of each region but its first class, beside that class.
+
+    First come members that may have a partner of their own size at least. A region without such members has no pairs.
     """
+    none = F.lit(None).cast("int")
+    if (levels < HEAVY_LEVEL).all():
+        met = _streamed_pivots(windows)
+    else:
+        windows = stored(windows, "windows")
+        level = F.shiftrightunsigned("key", 56)
+        crowded = windows.where(level >= HEAVY_LEVEL).dropDuplicates(["key", "cls"])
+        order = F.struct((F.col("most") < F.col("n")).alias("larger"), "rank", "cls", "n")
+        first = stored(crowded.groupBy("key").agg(F.min(order).alias("first")).where("NOT first.larger"), "first-pivots")
+        # rows of a key of any size meet one row, so they can be split
+        found = crowded.join(first, "key").where(F.col("cls") != F.col("first.cls"))
+        found = found.select("key", "cls", "n", "rank", "most", F.col("first.cls").alias("pivot"), F.col("first.n").alias("n_pivot"))
+        met = _streamed_pivots(windows.where(level < HEAVY_LEVEL)).unionByName(found)
+    return met.select("*", none.alias("ball"), F.array().cast("array<float>").alias("seen"), none.alias("ball_pivot"))
+
+
+def _streamed_pivots(windows: DataFrame) -> DataFrame:
+    """One pass over the windows sorted by region; a region is never held as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, cls, n, rank = (batch.column(c).to_numpy() for c in ("key", "cls", "n", "rank"))
+            key, cls, n, rank, most = (batch.column(c).to_numpy() for c in ("key", "cls", "n", "rank", "most"))
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
             again = np.zeros(len(key), bool)
@@ -350,22 +382,22 @@ def _first_pivots(windows: DataFrame) -> DataFrame:
                 new[0] = False
                 again[0] = last[3] == cls[0]
             first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            pivot, size = cls[np.maximum(first, 0)], n[np.maximum(first, 0)]
+            begin = np.maximum(first, 0)
+            pivot, size, useful = cls[begin], n[begin], most[begin] >= n[begin]
             if not new[0]:
                 # the region began in an earlier batch
                 goes_on = first < 0
                 pivot, size = np.where(goes_on, last[1], pivot), np.where(goes_on, last[2], size).astype(np.int32)
-            last = (key[-1], pivot[-1], size[-1], cls[-1])
-            keep = (cls != pivot) & ~again
+                useful = np.where(goes_on, last[4], useful)
+            last = (key[-1], pivot[-1], size[-1], cls[-1], useful[-1])
+            keep = (cls != pivot) & ~again & useful
             yield pa.RecordBatch.from_pydict(
                 {"key": pa.array(key[keep]), "cls": pa.array(cls[keep]), "n": pa.array(n[keep]), "rank": pa.array(rank[keep]),
-                 "pivot": pa.array(pivot[keep]), "n_pivot": pa.array(size[keep])}
+                 "most": pa.array(most[keep]), "pivot": pa.array(pivot[keep]), "n_pivot": pa.array(size[keep])}
             )
 
-    lined = windows.repartition("key").sortWithinPartitions("key", "rank", "cls")
-    met = lined.mapInArrow(run, "key bigint, cls bigint, n int, rank int, pivot bigint, n_pivot int")
-    none = F.lit(None).cast("int")
-    return met.select("*", none.alias("ball"), F.array().cast("array<float>").alias("seen"), none.alias("ball_pivot"))
+    lined = windows.repartition("key").sortWithinPartitions("key", F.col("most") < F.col("n"), "rank", "cls")
+    return lined.mapInArrow(run, _MET)
 
 
 def _pivots(live: DataFrame) -> DataFrame:
@@ -374,7 +406,7 @@ def _pivots(live: DataFrame) -> DataFrame:
     first = live.groupBy("key").agg(F.min(order).alias("first"))
     met = live.join(first, "key").where(F.col("cls") != F.col("first.cls"))
     return met.select(
-        "key", "cls", "n", "rank", "ball", "seen", F.col("first.cls").alias("pivot"), F.col("first.n").alias("n_pivot"),
+        "key", "cls", "n", "rank", "most", "ball", "seen", F.col("first.cls").alias("pivot"), F.col("first.n").alias("n_pivot"),
         F.col("first.ball").alias("ball_pivot"),
     )
 
@@ -399,7 +431,7 @@ def _round(met: DataFrame, sets: DataFrame, similarity: int, number: int) -> tup
         F.col("a").alias("cls"), F.col("b").alias("pivot"), distance.alias("d"), _is_link(similarity).alias("linked")
     ).where(F.col("linked") | (F.col("d") <= 2 * radius + 1e-9))
     told = met.join(near, ["cls", "pivot"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    told = stored(told.select("key", "cls", "n", "rank", "ball", "seen", "ball_pivot", "d", "linked"), "told")
+    told = stored(told.select("key", "cls", "n", "rank", "most", "ball", "seen", "ball_pivot", "d", "linked"), "told")
     # at most one row for each round so far and one for members of no ball
     by_ball = told.groupBy("key", "ball").agg(
         (F.max("linked") | F.coalesce(F.max("ball_pivot") == F.col("ball"), F.lit(False))).alias("joined"),
@@ -418,7 +450,7 @@ def _round(met: DataFrame, sets: DataFrame, similarity: int, number: int) -> tup
     mine = F.col("linked") | F.coalesce(F.array_contains("joined", F.col("ball")), F.lit(False))
     far = F.lit(2 * radius)
     return links, rest.select(
-        "key", "cls", "n", "rank", F.when(mine, F.lit(number)).otherwise(F.col("ball")).alias("ball"),
+        "key", "cls", "n", "rank", "most", F.when(mine, F.lit(number)).otherwise(F.col("ball")).alias("ball"),
         F.array_append("seen", F.least(F.coalesce("d", far), far).cast("float")).alias("seen"),
     )
 
@@ -426,8 +458,9 @@ def _round(met: DataFrame, sets: DataFrame, similarity: int, number: int) -> tup
 def class_links(docs: DataFrame, rows: DataFrame, sketches: DataFrame, n: int, similarity: int) -> DataFrame:
     """Links ``a, b`` between classes that together connect what similarity connects."""
     spark: SparkSession = docs.sparkSession
-    levels = spark.sparkContext.broadcast(_levels(sketches).tobytes())
-    met = stored(_first_pivots(_prefixes(docs, levels, n, similarity)), "met")
+    levels = _levels(sketches)
+    held = spark.sparkContext.broadcast(levels.tobytes())
+    met = stored(_first_pivots(_prefixes(docs, held, n, similarity), levels), "met")
     classes = met.select("cls").unionByName(met.select(F.col("pivot").alias("cls")))
     # one document stands for each class
     chosen = rows.groupBy("cls").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"))

@@ -128,6 +128,18 @@ def test_jaccard_link_between_two_families(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("heavy", [160, 0])
+def test_jaccard_of_texts_that_share_a_passage(spark, monkeypatch, heavy):
+    monkeypatch.setattr(jaccard_join, "HEAVY_LEVEL", heavy)
+    passage = sentence(77, 60)
+    rows = [(k, f"{sentence(300 + k, 3 + 4 * (k % 25))} {passage}", "a") for k in range(60)]
+    rows += [(100 + k, f"{passage} {' '.join(sentence(400, 14).split()[: k % 15])}", "b") for k in range(40)]
+    rows += [(200 + k, f"{passage} {sentence(500, 90)} {sentence(600 + k, k % 30)}", "c") for k in range(40)]
+    want = _components(_sets(rows), 80)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(documents(spark, rows)).collect()}
+    assert got == want
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_join.jaccard_components(documents(spark, [])).collect() == []
     assert jaccard_join.drop_near_copies(documents(spark, [])).collect() == []
