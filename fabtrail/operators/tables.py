@@ -1,9 +1,11 @@
 """The stored tables: Parquet folders that are appended to, replaced and cleared.
 
+Every table is a folder of numbered versions; the highest one that was finished is the table. Appends go to it, a rewrite makes
+the next one, so a rewrite that broke off at any step leaves the old version or the new one, never a mixture and never nothing.
+
 Logs and recipes are laid out by ``source_filename``, staged reviews by ``job_id``, so that reading, replacing and
-deleting one file or job touches its folder only. A rewrite goes to the folders it changes by dynamic
-partition overwrite, or to a new folder that then takes the place of the old one; no folder
-is written while it is read, and a swap that broke off is seen by the next reader.
+deleting one file or job touches its folder only. Enrichment results are not written into the logs one by one: they are
+rows of their own that are laid over the logs when these are read, and settled into them when they have become many.
 """
 
 from __future__ import annotations
@@ -19,6 +21,15 @@ from fabtrail.session import conformed, stored
 #: tables laid out by a column, the others are small and plain
 LAYOUT = {"logs": "source_filename", "recipes": "source_filename", "pending_reviews": "job_id"}
 
+#: an append names up to so many files to the scan of the stored rows; more files meet by a join
+MOST_NAMED_FILES = 10_000
+
+#: enrichment results beyond this number are settled into the logs
+MOST_LAID_OVER = 1_000_000
+
+#: results laid over the logs; those of one call have one number, the highest one counts
+ENRICHMENT = "id string, summary string, classification string, root_cause_hint string, seq bigint"
+
 
 @dataclass
 class Appended:
@@ -44,26 +55,42 @@ class LogStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
+    def _versions(self, table: str, finished: bool = True) -> list[int]:
+        """Numbers of a table's versions, ascending; a version is finished when its writer says so."""
+        found, system = self._file_system(f"{self.root}/{table}")
+        if not system.exists(found):
+            return []
+        names = [status.getPath().getName() for status in system.listStatus(found)]
+        numbers = sorted(int(name[1:]) for name in names if name[:1] == "v" and name[1:].isdigit())
+        return [n for n in numbers if not finished or self._at(f"{self._folder(table, n)}/_SUCCESS")]
+
+    def _folder(self, table: str, number: int) -> str:
+        return f"{self.root}/{table}/v{number:08d}"
+
     def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+        """The folder of the version that is the table."""
+        return self._folder(table, (self._versions(table) or [0])[-1])
 
     def create(self) -> None:
         """Make every table that is absent."""
         for table, schema in S.TABLES.items():
-            if not self._exists(table):
+            if not self._versions(table):
                 self._writer(self.spark.createDataFrame([], schema), table, "append")
 
     def read(self, table: str) -> DataFrame:
-        """A table; columns added to the schema later are null in older files.
+        """A table; columns added to the schema later are null in older files, a table that was never created is empty.
 
-        A table that was never created is empty. Where a swap of folders broke off, the new folder counts if it was
-        finished, else the old one.
+        Logs come with their enrichment.
         """
-        for folder in (self.path(table), f"{self.path(table)}.new", f"{self.path(table)}.old"):
-            finished = folder.endswith(".new") and not self._at(f"{folder}/_SUCCESS")
-            if self._at(folder) and not finished:
-                return self.spark.read.schema(S.TABLES[table]).parquet(folder)
-        return self.spark.createDataFrame([], S.TABLES[table])
+        rows = self._stored(table)
+        if table == "logs" and self._laid_over():
+            rows = lookups.apply_enrichment(rows, self._results())
+        return rows
+
+    def _stored(self, table: str) -> DataFrame:
+        if not self._versions(table):
+            return self.spark.createDataFrame([], S.TABLES[table])
+        return self.spark.read.schema(S.TABLES[table]).parquet(self.path(table))
 
     def _file_system(self, path: str):
         found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -73,9 +100,6 @@ class LogStore:
         found, system = self._file_system(path)
         return system.exists(found)
 
-    def _exists(self, table: str) -> bool:
-        return self._at(self.path(table))
-
     def _drop_folder(self, table: str, value: str) -> None:
         """Remove the folder of one value of the layout column; no row is read or written."""
         escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
@@ -102,17 +126,24 @@ class LogStore:
         ``within_files`` says that keys hold their file, so that only the folders of the new rows' files are looked at.
         """
         new = stored(lookups.arrived(conform(new, table)), f"append-{table}")
-        present = self.read(table)
+        present = self._stored(table)
         if within_files:
-            files = new.select(LAYOUT[table]).distinct()
-            # an inner join on the layout column lets Spark read the files' folders only
-            present = present.join(files, LAYOUT[table]).select(key)
+            present = self._of_files(present, new, LAYOUT[table])
         fresh = stored(lookups.not_present(new, present, key), f"fresh-{table}")
         counted = Appended(new.count(), fresh.count())
         if counted.inserted:
             self._writer(fresh, table, "append")
         return counted
 
+    @staticmethod
+    def _of_files(present: DataFrame, new: DataFrame, layout: str) -> DataFrame:
+        """Stored rows of the files that new rows come from; only the folders of these files are read."""
+        files = new.select(layout).distinct()
+        named = [row[0] for row in files.limit(MOST_NAMED_FILES + 1).collect()]
+        if len(named) > MOST_NAMED_FILES:
+            return present.join(files, layout, "left_semi")
+        return present.where(F.col(layout).isin([n for n in named if n is not None]) | (F.col(layout).isNull() & F.lit(None in named)))
+
     def append_logs(self, new: DataFrame, within_files: bool = False) -> Appended:
         """Insert log rows; recipe rows also go to the recipe table."""
         new = stored(conform(new, "logs"), "logs")
@@ -124,6 +155,7 @@ class LogStore:
 
     def delete_file(self, source_filename: str) -> None:
         """Remove the rows of one file from logs and recipes."""
+        self._forget_results(source_filename)
         for table in ("logs", "recipes"):
             self._drop_folder(table, source_filename)
 
@@ -134,6 +166,7 @@ class LogStore:
         kept = stored(conform(lookups.first_per(rows, "id"), "logs"), "replaced")
         counted = Appended(rows.count(), kept.count())
         recipes = to_recipes(kept)
+        self._forget_results(source_filename)
         for table, own in (("logs", kept), ("recipes", recipes)):
             if own.isEmpty():
                 self._drop_folder(table, source_filename)
@@ -146,39 +179,75 @@ class LogStore:
         """Empty logs, recipes and staged reviews; templates and mappings stay."""
         for table in ("logs", "recipes", "pending_reviews"):
             self._rewrite(table, self.spark.createDataFrame([], S.TABLES[table]))
+        self._drop_before("enrichment", 1 << 62)
 
     def _rewrite(self, table: str, rows: DataFrame) -> None:
-        """Write the whole table to a new folder, then swap the folders."""
+        """Write the whole table as its next version; older ones go when that is finished."""
         rows = conform(rows, table)
-        target = self.path(table)
-        fresh = f"{target}.new"
+        number = max(self._versions(table, finished=False), default=-1) + 1
         column = LAYOUT.get(table)
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(column) if column else writer).parquet(fresh)
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path
-        fs = path(target).getFileSystem(conf)
-        old = f"{target}.old"
-        fs.delete(path(old), True)
-        if fs.exists(path(target)):
-            fs.rename(path(target), path(old))
-        fs.rename(path(fresh), path(target))
-        fs.delete(path(old), True)
+        writer = rows.write.mode("errorifexists")
+        (writer.partitionBy(column) if column else writer).parquet(self._folder(table, number))
+        self._drop_before(table, number)
+
+    def _drop_before(self, table: str, number: int) -> None:
+        for older in self._versions(table, finished=False):
+            if older < number:
+                folder, system = self._file_system(self._folder(table, older))
+                system.delete(folder, True)
 
     # -- enrichment and reviews -----------------------------------------------------------------
 
     def enrich(self, results: DataFrame) -> None:
-        """Store enrichment results on the rows they belong to.
+        """Store enrichment results (``id, summary, classification, root_cause_hint``), the last of an id.
+
+        The results are written beside the logs, which stay as they are until :data:`MOST_LAID_OVER` results have come together.
+        """
+        number = max(self._versions("enrichment", finished=False), default=-1) + 1
+        rows = lookups.last_per(results, "id").withColumn("seq", F.lit(number).cast("bigint"))
+        columns = [c.split()[0] for c in ENRICHMENT.split(", ")]
+        rows.select(*columns).write.mode("errorifexists").parquet(self._folder("enrichment", number))
+        if self._laid_over_rows().count() > MOST_LAID_OVER:
+            self.settle_enrichment()
+
+    def _laid_over(self) -> list[int]:
+        return self._versions("enrichment")
+
+    def _laid_over_rows(self) -> DataFrame:
+        folders = [self._folder("enrichment", n) for n in self._laid_over()]
+        return self.spark.read.schema(ENRICHMENT).parquet(*folders) if folders else self.spark.createDataFrame([], ENRICHMENT)
 
-        Only folders of files that have a result are rewritten.
+    def _results(self) -> DataFrame:
+        """The newest result of each id."""
+        newest = F.max_by(F.struct("summary", "classification", "root_cause_hint"), "seq")
+        return self._laid_over_rows().groupBy("id").agg(newest.alias("_newest")).select("id", "_newest.*")
+
+    def settle_enrichment(self) -> None:
+        """Write the results that are laid over the logs into them; only folders of files that have a result are rewritten.
+
+        Breaking off anywhere does no harm: results that are settled already are laid over once more, with the same outcome.
         """
-        logs = self.read("logs")
-        ids = results.select("id").distinct()
-        touched = logs.join(ids, "id", "left_semi").select("source_filename").distinct()
-        marked = lookups.lookup_join(logs, touched.withColumn("_hit", F.lit(True)), ["source_filename"])
-        part = marked.where("_hit").drop("_hit")
+        numbers = self._laid_over()
+        if not numbers:
+            return
+        logs, results = self._stored("logs"), stored(self._results(), "results")
+        touched = logs.join(results.select("id"), "id", "left_semi").select("source_filename").distinct()
+        part = self._of_files(logs, stored(touched, "touched"), "source_filename")
         changed = stored(lookups.apply_enrichment(part, results), "enriched")
-        self._writer(changed, "logs", "overwrite")
+        if not changed.isEmpty():
+            self._writer(changed, "logs", "overwrite")
+        self._drop_before("enrichment", numbers[-1] + 1)
+
+    def _forget_results(self, source_filename: str) -> None:
+        """Results of a file's rows do not come back with later rows of the same ids."""
+        numbers = self._laid_over()
+        if not numbers:
+            return
+        gone = self._stored("logs").where(F.col("source_filename") == source_filename).select("id")
+        left = stored(self._results().join(gone, "id", "left_anti"), "results")
+        number = max(self._versions("enrichment", finished=False)) + 1
+        left.withColumn("seq", F.lit(number).cast("bigint")).write.mode("errorifexists").parquet(self._folder("enrichment", number))
+        self._drop_before("enrichment", number)
 
     def stage(self, pending: DataFrame) -> Appended:
         return self.append("pending_reviews", pending)
@@ -225,8 +294,3 @@ class LogStore:
     def save_mappings(self, mappings: DataFrame) -> Appended:
         """Cache header mappings; the first one of a fingerprint stays."""
         return self.append("header_mappings", mappings, key="header_fingerprint")
-
-
-def ensure_column(df: DataFrame, column: str, dtype: str = "string") -> DataFrame:
-    """Add a column of nulls where it is missing."""
-    return df if column in df.columns else df.withColumn(column, F.lit(None).cast(dtype))

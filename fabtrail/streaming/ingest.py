@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fabtrail.functions import entries as E
 from fabtrail.functions.sniff import admit
 from fabtrail.functions.text import stem
+from fabtrail.operators.filters import latest, live_view
 from fabtrail.operators.ordering import occurrence_number
 from fabtrail.operators.tables import LogStore
 from fabtrail.plans.ingest import run_timestamp, warning
 from fabtrail.plans.normalise import normalise_entries
-from fabtrail.session import barrier, stored
+from fabtrail.schema import DEFAULT_LIMITS, LOGS
+from fabtrail.session import barrier, conformed, stored
 from fabtrail.sources.structured import object_texts
 
 UNKNOWN_TOPIC_TOOL = "MQTT_UNKNOWN"
@@ -144,3 +146,63 @@ def hourly_volume_stream(logs: DataFrame, late: str = "1 hour") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("count"))
         .select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "severity", "count")
     )
+
+
+def distinct_messages(messages: DataFrame, late: str = "1 hour", time: str = "timestamp") -> DataFrame:
+    """Messages of a stream, each once: those that repeat topic, place and payload within ``late`` are left out.
+
+    The state holds a hash for each message of the last ``late`` only; nothing stored is read.
+    """
+    place = [c for c in ("partition", "offset") if c in messages.columns]
+    key = F.sha2(F.concat_ws("/", "topic", *[F.col(c).cast("string") for c in place], F.sha2("payload", 256)), 256)
+    return (
+        messages.withColumn("message_hash", key)
+        .withWatermark(time, late)
+        .dropDuplicatesWithinWatermark(["message_hash"])
+        .drop("message_hash")
+    )
+
+
+class LiveView:
+    """The live view of a stream of log rows, kept up to date batch by batch.
+
+    What is kept is the view itself, ``limit`` rows, so neither the state nor the work of a batch grows with the history. A batch makes
+    a new version from the version of the batch before it; one that runs again makes the same version again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, limit: int = DEFAULT_LIMITS["live"]):
+        self.spark, self.path, self.limit = spark, path.rstrip("/"), limit
+
+    def _folder(self, number: int) -> str:
+        return f"{self.path}/batch={number}"
+
+    def _done(self) -> list[int]:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.exists(root):
+            return []
+        numbers = [int(s.getPath().getName().split("=")[1]) for s in system.listStatus(root)]
+        success = lambda n: self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._folder(n)}/_SUCCESS")
+        return sorted(n for n in numbers if system.exists(success(n)))
+
+    def _rows(self, before: int | None = None) -> DataFrame:
+        done = [n for n in self._done() if before is None or n < before]
+        if not done:
+            return self.spark.createDataFrame([], LOGS)
+        return self.spark.read.schema(LOGS).parquet(self._folder(done[-1]))
+
+    def read(self) -> DataFrame:
+        return live_view(self._rows(), self.limit)
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        new = batch.where(F.col("source_filename").startswith("mqtt_")).select(*conformed(batch, LOGS))
+        newest = latest(self._rows(batch_id).unionByName(new), self.limit)
+        newest.write.mode("overwrite").parquet(self._folder(batch_id))
+        for older in self._done()[:-2]:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(older))
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def start(self, logs: DataFrame, checkpoint: str, available_now: bool = False, interval: str = "2 seconds") -> StreamingQuery:
+        writer = logs.writeStream.foreachBatch(self.write).option("checkpointLocation", checkpoint)
+        writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
+        return writer.start()

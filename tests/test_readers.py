@@ -64,16 +64,6 @@ def test_first_and_last_of_a_key(spark):
     assert {r.id: r.n for r in lookups.last_per(rows, "id").collect()} == {0: 27, 1: 28, 2: 29}
 
 
-def test_a_broken_swap_loses_no_table(spark, tmp_path):
-    store = LogStore(spark, f"file://{tmp_path}/store")
-    store.create()
-    row = spark.range(1).select(F.lit("t1").alias("id"), F.lit("n").alias("name"), F.lit("s").alias("file_signature"), F.lit("2024").alias("created_at"))
-    store.save_template(row)
-    folder = tmp_path / "store" / "format_templates"
-    folder.rename(tmp_path / "store" / "format_templates.old")
-    assert [r.id for r in store.read("format_templates").collect()] == ["t1"]
-
-
 def test_files_with_odd_names_are_deleted_alone(spark, tmp_path):
     store = LogStore(spark, f"file://{tmp_path}/store")
     store.create()
