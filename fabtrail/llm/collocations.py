@@ -42,8 +42,11 @@ SHARD_BYTES = 512 << 10
 #: text a task holds for shards that are not full yet
 HELD_BYTES = 16 << 20
 
-#: phrases that a task adds up before it hands them on
-HELD_PHRASES = 1 << 18
+#: keys that a task adds up before it hands them on
+HELD_KEYS = 1 << 18
+
+#: candidates that a task counts before it hands them on, with their texts (about 100 MB)
+HELD_PHRASES = 1 << 20
 
 #: languages whose local support is raised above one; the largest ones
 RAISED_LANGS = 1000
@@ -214,7 +217,7 @@ def locally_frequent(shards: DataFrame, shortest: int, longest: int, pairs: _Bit
                     found, counts = np.unique(keys[there], return_counts=True)
                     kept = counts >= least
                     parts.append((found[kept], counts[kept] - (least - 1), np.full(kept.sum(), slack)))
-                if sum(len(p[0]) for p in parts) >= HELD_PHRASES:
+                if sum(len(p[0]) for p in parts) >= HELD_KEYS:
                     yield from merged(parts)
                     parts = []
         if parts and sum(len(p[0]) for p in parts):
