@@ -136,14 +136,15 @@ def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """
     plan = mix(docs, seed)
     copies = F.col("epochs") + F.when(F.col("part") * 2 >= F.col("size"), 1).otherwise(0)
-    per_id = plan.groupBy("doc_id", "size").agg(
+    per_id = plan.groupBy("doc_id", "size", "source").agg(
         F.max(F.when(F.col("size") == 0, 1).otherwise(copies)).cast("int").alias("_copies")
     )
-    per_id = per_id.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_copies")
+    per_id = per_id.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), "_copies")
     own = docs.select(
-        F.struct("*").alias("document"), F.col("doc_id").cast("bigint").alias("_id0"), n_words(F.col("text")).alias("_size0")
-    )
-    same = F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_size0") == F.col("_size"))
+        F.struct("*").alias("document"), F.col("doc_id").cast("bigint").alias("_id0"), n_words(F.col("text")).alias("_size0"),
+        F.col("source").cast("string").alias("_source0"),
+    )
+    same = F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_size0") == F.col("_size")) & F.col("_source0").eqNullSafe(F.col("_source"))
     return (
         own.join(per_id.where("_copies > 0"), same)
         .select("document", F.explode(F.sequence(F.lit(1), F.col("_copies"))))

@@ -239,7 +239,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     # at most ``sample`` ids and labels go to each task, and as many rows of figures come back
     met = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = met.select("doc_id", "quality", "text").mapInArrow(figures, "doc_id bigint, quality int, x binary").toPandas()
+    found = met.select("doc_id", "quality", "text").mapInArrow(figures, "doc_id bigint, quality int, x binary")
+    # one row for each id, however often it is repeated
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("row")).select("doc_id", "row.*").toPandas()
     rows = rows.sort_values(["doc_id", "x"])
     x = np.frombuffer(b"".join(rows["x"]), np.float64).reshape(-1, len(FEATURES))
     return fit(x, rows["quality"].to_numpy(np.float64))
