@@ -230,3 +230,42 @@ def test_bounds_hold():
         low, high = nearest.bounds(r, r, i, j, (r.codes[i].astype(float) * r.codes[j]).sum(axis=1))
         true = nearest.inner_products(x[i], x[j])
         assert ((low <= true) & (true <= high)).all()
+
+
+# -- mended -------------------------------------------------------------------------------------
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    from fabtrail.llm import pages
+
+    def took(n):
+        page = "<html><body><article>" + "<div>" * n + "text" + "</span>" * 8 * n + "</div>" * n + "<p>end</p></article></body></html>"
+        started = time.process_time()
+        assert pages.blocks(page)[0] == ["text", "end"]
+        return time.process_time() - started
+
+    took(100)
+    assert took(16_000) < 40 * max(took(1_600), 0.02)
+
+
+def test_mixed_documents_count_each_source_by_itself(spark):
+    from fabtrail.llm import mixing
+
+    rows = [(k, " ".join(["w"] * 10), source) for source in "ab" for k in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = {r.source: r.target for r in mixing.mix(frame).select("source", "target").distinct().collect()}
+    got = {r.source: 10 * r["count"] for r in mixing.mixed_documents(frame).groupBy("source").count().collect()}
+    assert all(abs(got[s] - want[s]) <= 5 for s in want) and got["a"] < got["b"]
+
+
+def test_quality_learns_from_one_row_of_an_id(spark):
+    from fabtrail.llm import quality
+
+    docs = spark.createDataFrame([(k % 40, f"some text of number {k % 40}. It is good.", "x") for k in range(4000)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, quality int")
+    once = quality.learn(docs.dropDuplicates(["doc_id"]), labels)
+    often = quality.learn(docs, labels)
+    x = quality.features(__import__("pyarrow").array(["some text", "of number 3", ""]))
+    assert (once.score(x) == often.score(x)).all()
