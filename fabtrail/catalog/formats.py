@@ -18,7 +18,7 @@ from fabtrail.sources import binary as B
 from fabtrail.sources import structured as ST
 from fabtrail.sources.files import list_files
 from fabtrail.sources.lines import LINE_PARSERS
-from fabtrail.sources.render import MAGIC, RENDERERS, export_csv, export_json, frame_record, render, write_files
+from fabtrail.sources.render import MAGIC, RENDERERS, export_csv, export_json, frame_record, render, write_files, write_framed
 
 INGEST_TS = "2024-06-01T00:00:00"
 
@@ -330,6 +330,92 @@ def parquet_scan(spark, sf_dir):
     )
 
 
+@query(
+    "xml_layouts",
+    with_logs(
+        """SELECT layout, id, tool_id AS tool, CASE layout WHEN 'cdata' THEN '</event> <' || severity || '>' WHEN 'quotes' THEN 'a > b' ELSE event_name END AS note
+           FROM logs, (VALUES ('header'), ('nested'), ('comment'), ('cdata'), ('quotes')) v(layout)"""
+    ),
+)
+def xml_layouts(spark, sf_dir):
+    """Header children named like fields, rows inside rows of their name, comments and CDATA that hold tags, values that hold ``>``."""
+    rows = spread(logs(spark, sf_dir))
+    text = lambda *parts: F.concat(*[F.lit(p) if k % 2 == 0 else F.col(p) for k, p in enumerate(parts)])
+    shapes = {
+        "header": text("<event><id>", "id", "</id><tool>", "tool_id", "</tool><note>", "event_name", "</note></event>"),
+        "nested": text("<event><event>inner</event><id>", "id", "</id><tool>", "tool_id", "</tool><note>", "event_name", "</note></event>"),
+        "comment": text("<!-- <event> > --><event><id>", "id", "</id><!-- </event> --><tool>", "tool_id", "</tool><note>", "event_name", "</note></event>"),
+        "cdata": text("<event><id>", "id", "</id><tool>", "tool_id", "</tool><note><![CDATA[</event> <", "severity", ">]]></note></event>"),
+        "quotes": text("<event note='a > b' id=\"", "id", "\"><tool>", "tool_id", "</tool></event>"),
+    }
+    root = scratch_path(spark, "catalog-layouts") + "/xml"
+    lines = reduce(
+        DataFrame.unionByName,
+        [rows.select(F.lit(k).alias("layout"), F.spark_partition_id().alias("part"), F.col("id").cast("bigint").alias("n"), v.alias("value")) for k, v in shapes.items()],
+    )
+    ends = lines.select("layout", "part").distinct()
+    head = ends.select("layout", "part", F.lit(-1).cast("bigint").alias("n"), F.lit("<log><note>fab 3</note>").alias("value"))
+    tail = ends.select("layout", "part", F.lit(1 << 40).alias("n"), F.lit("</log>").alias("value"))
+    framed = lines.unionByName(head).unionByName(tail).repartition("layout", "part").sortWithinPartitions("layout", "part", "n")
+    framed.select("value", "layout", "part").write.partitionBy("layout", "part").text(root)
+    found = ST.read_xml(list_files(spark, root).where(F.col("source_filename").startswith("part-")))
+    fields = E.as_map(F.col("entries"))
+    value = lambda k: F.try_element_at(fields, F.lit(k)).alias(k)
+    layout = F.regexp_extract("source_path", "layout=([a-z]+)", 1).alias("layout")
+    # the header is a child of the root too, without an id; a row that failed would be missing
+    return found.select(layout, value("id"), value("tool"), value("note")).where("id IS NOT NULL")
+
+
+@query(
+    "csv_quoted_lines",
+    with_logs("SELECT id, tool_id, event_name || chr(10) || 'said \"' || severity || '\", and more' AS message FROM logs"),
+)
+def csv_quoted_lines(spark, sf_dir):
+    """Cells with line ends and quotes, in files that are split inside all the same."""
+    path = scratch_path(spark, "catalog-quoted") + "/csv"
+    said = F.concat("event_name", F.lit('\nsaid "'), "severity", F.lit('", and more'))
+    rows = spread(logs(spark, sf_dir)).select("id", "tool_id", said.alias("message"))
+    rows.write.option("escape", '"').csv(path, header=True)
+    files = [r.source_path for r in _data_files(spark, path).select("source_path").collect()]
+    found = ST.read_csv_group(spark, files, ["id", "tool_id", "message"], ",", True)
+    fields = E.as_map(F.col("entries"))
+    return found.select(*[F.try_element_at(fields, F.lit(c)).alias(c) for c in ("id", "tool_id", "message")])
+
+
+_WITH_WARNINGS_SQL = with_logs(
+    """SELECT 'rows' AS what, f AS source_format, tool_id, count(*) AS n
+       FROM logs, (VALUES ('csv'), ('syslog'), ('universal')) v(f) GROUP BY ALL
+       UNION ALL SELECT 'Invalid file format', NULL, NULL, 1
+       UNION ALL SELECT 'XML parse error', NULL, NULL, 1
+       UNION ALL SELECT 'row has too few cells', NULL, NULL, 1"""
+)
+
+
+@query("ingest_with_warnings", _WITH_WARNINGS_SQL)
+def ingest_with_warnings(spark, sf_dir):
+    """A folder with syslog, CSV and framed binary files, an image, a broken XML file and a short CSV row: rows per tool and format, and the warnings."""
+    root = scratch_path(spark, "catalog-warned")
+    rows = spread(logs(spark, sf_dir))
+    for fmt in ("csv", "syslog"):
+        write_files(rows, fmt, f"{root}/{fmt}")
+    write_framed(rows, f"{root}/framed")
+    odd = {"photo.png": "\x89PNG picture", "broken.xml": "<?xml version='1.0'?><a><b>pressure</c></a>", "short.csv": "timestamp,tool_id,severity,message\n2024-06-01T00:00:00,SHORT"}
+    for name, text in odd.items():
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/odd/{name}")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+        out.write(bytearray(text.encode("latin-1")))
+        out.close()
+    done = ingest(spark, [f"{root}/*/part-*", f"{root}/odd/*"], ingest_ts=INGEST_TS, mine=False)
+    counts = done.logs.where("tool_id <> 'SHORT'").groupBy("source_format", "tool_id").agg(F.count(F.lit(1)).alias("n"))
+    kinds = ["Invalid file format", "XML parse error", "row has too few cells"]
+    kind = F.coalesce(*[F.when(F.col("warning").contains(k), F.lit(k)) for k in kinds])
+    notes = done.warnings.select(kind.alias("what")).where("what IS NOT NULL").groupBy("what").agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(None).cast("string")
+    return counts.select(F.lit("rows").alias("what"), "source_format", "tool_id", "n").unionByName(
+        notes.select("what", none.alias("source_format"), none.alias("tool_id"), "n")
+    )
+
+
 _INGEST_SQL = LOGS_SQL + f"""
 SELECT 'text' AS source_format, timestamp, tool_id, severity, {_LOG_TYPE.format("line")} AS log_type, replace(event_name, ' fault', '') AS event_name, wafer_id, parameter_value
   FROM (SELECT *, {_TEXT_LINE} AS line FROM logs)

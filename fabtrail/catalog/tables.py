@@ -643,3 +643,54 @@ def streamed_messages(spark, sf_dir):
 def signatures_of_frames(spark, sf_dir):
     rows = logs(spark, sf_dir)
     return rows.select("id", file_signature(F.col("source_filename"), F.col("raw_message")).alias("signature"))
+
+
+@query(
+    "live_view_of_a_stream",
+    with_logs("SELECT timestamp, tool_id, severity, wafer_id FROM logs ORDER BY timestamp DESC, id DESC LIMIT 100"),
+)
+def live_view_of_a_stream(spark, sf_dir):
+    """Log rows that come in three batches; the view after the last one."""
+    root = scratch_path(spark, "catalog-live")
+    rows = logs(spark, sf_dir).withColumn("source_filename", F.concat(F.lit("mqtt_"), "tool_id", F.lit(".json")))
+    view = M.LiveView(spark, f"{root}/view", limit=100)
+    for part in range(3):
+        rows.where(F.pmod(F.xxhash64("id"), F.lit(3)) == part).write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(S.LOGS).parquet(f"{root}/in")
+        view.start(source, f"{root}/checkpoint", available_now=True).awaitTermination()
+    return view.read().select("timestamp", "tool_id", "severity", "wafer_id")
+
+
+@query(
+    "messages_once",
+    with_logs("SELECT tool_id, severity, event_name, min(event_ts) AS event_ts FROM logs GROUP BY ALL"),
+)
+def messages_once(spark, sf_dir):
+    """Messages of one topic and payload within the watermark come through once."""
+    root = scratch_path(spark, "catalog-once")
+    first = logs(spark, sf_dir).groupBy("tool_id", "severity", "event_name").agg(F.min("event_ts").alias("event_ts"))
+    payload = F.concat_ws("|", "severity", "event_name")
+    sent = first.select(
+        F.col("tool_id").alias("topic"), payload.alias("payload"), F.col("event_ts").cast("timestamp").alias("timestamp"), "severity", "event_name"
+    )
+    again = sent.unionByName(sent).unionByName(sent)
+    again.write.parquet(f"{root}/in")
+    source = spark.readStream.schema(again.schema).parquet(f"{root}/in")
+    out = M.distinct_messages(source, late="400 days").writeStream.format("parquet").option("path", f"{root}/out")
+    out.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(again.schema).parquet(f"{root}/out")
+    return found.select(F.col("topic").alias("tool_id"), "severity", "event_name", F.col("timestamp").cast("timestamp_ntz").alias("event_ts"))
+
+
+@query(
+    "enrichment_laid_over",
+    with_logs("SELECT id, tool_id, 'second ' || severity AS ai_summary FROM logs"),
+)
+def enrichment_laid_over(spark, sf_dir):
+    """Two results for each row, written beside the logs; reads give the newest."""
+    store = _store(spark)
+    rows = logs(spark, sf_dir)
+    store.append_logs(rows)
+    for word in ("first ", "second "):
+        store.enrich(rows.select("id", F.concat(F.lit(word), "severity").alias("summary"), F.lit("c").alias("classification"), F.lit("h").alias("root_cause_hint")))
+    return store.read("logs").select("id", "tool_id", "ai_summary")
