@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fabtrail import schema as S
-from fabtrail.operators import lookups
+from fabtrail.operators import lookups, templates as mining
 from fabtrail.session import conformed, stored
 
 #: tables laid out by a column, the others are small and plain
@@ -249,6 +249,29 @@ class LogStore:
         left.withColumn("seq", F.lit(number).cast("bigint")).write.mode("errorifexists").parquet(self._folder("enrichment", number))
         self._drop_before("enrichment", number)
 
+    # -- message templates -----------------------------------------------------------------------
+
+    def message_templates(self) -> DataFrame:
+        """``template, merged, cluster``: every message template met so far; of assignments made side by side the first counts."""
+        folders = [self._folder("message_templates", n) for n in self._versions("message_templates")]
+        schema = f"{mining.BOOK}, seq bigint"
+        rows = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        first = F.min_by(F.struct("merged", "cluster"), F.struct("seq", "cluster"))
+        return rows.groupBy("template").agg(first.alias("first")).select("template", "first.*")
+
+    def with_templates(self, logs: DataFrame, message: str = "raw_message") -> DataFrame:
+        """Log rows with the clusters of their messages, which are the same in every run.
+
+        Templates that were never met get their clusters now and keep them: these are written before any row is given out.
+        """
+        exact = stored(mining.exact_templates(logs, message), "templates")
+        new = stored(mining.new_in_book(exact, self.message_templates()), "book")
+        if not new.isEmpty():
+            number = max(self._versions("message_templates", finished=False), default=-1) + 1
+            path = self._folder("message_templates", number)
+            new.withColumn("seq", F.lit(number).cast("bigint")).write.mode("errorifexists").parquet(path)
+        return mining.fill_from_book(logs, exact, self.message_templates(), message)
+
     def stage(self, pending: DataFrame) -> Appended:
         return self.append("pending_reviews", pending)
 

@@ -96,17 +96,47 @@ def mine_templates(df: DataFrame, message: str = "raw_message", **settings) -> D
     """Rows with ``drain_cluster_id`` and ``drain_template`` filled from their message."""
     exact = stored(exact_templates(df, message), "templates")
     merged = merge_templates(exact, **settings)
-    known = exact.join(merged, "template").select(
-        "masked", F.col("merged").alias("_template")
+    return _filled(df, message, exact, merged.withColumn("cluster", cluster_id(F.col("merged"))))
+
+
+#: templates that have a cluster for good
+BOOK = "template string, merged string, cluster bigint"
+
+
+def new_in_book(exact: DataFrame, book: DataFrame, **settings) -> DataFrame:
+    """The templates of ``exact`` that ``book`` (:data:`BOOK`) does not have, with their clusters.
+
+    They are merged together with the templates of the clusters there are. A new template that falls into one group with such
+    clusters belongs to that of the smallest id; others make new clusters. No cluster changes its template or its id.
+    """
+    fresh = exact.select("template").distinct().join(book.select("template"), "template", "left_anti")
+    fresh = stored(fresh, "new-templates")
+    clusters = stored(book.select(F.col("merged").alias("template"), "cluster").distinct(), "clusters")
+    groups = stored(merge_templates(fresh.unionByName(clusters.select("template")), **settings), "merged")
+    first = F.min(F.struct("cluster", F.col("template").alias("merged"))).alias("first")
+    taken = groups.join(clusters, "template").groupBy(F.col("merged").alias("group")).agg(first)
+    own = fresh.join(groups, "template").withColumnRenamed("merged", "group").join(taken, "group", "left")
+    return own.select(
+        "template",
+        F.coalesce("first.merged", "group").alias("merged"),
+        F.coalesce("first.cluster", cluster_id(F.col("group"))).alias("cluster"),
+    )
+
+
+def fill_from_book(df: DataFrame, exact: DataFrame, book: DataFrame, message: str = "raw_message") -> DataFrame:
+    """Rows with ``drain_cluster_id`` and ``drain_template`` from a book that has all their templates."""
+    return _filled(df, message, exact, book)
+
+
+def _filled(df: DataFrame, message: str, exact: DataFrame, book: DataFrame) -> DataFrame:
+    known = exact.join(book, "template").select(
+        "masked", F.col("merged").alias("_template"), F.col("cluster").alias("_cluster")
     )
     keep = [c for c in df.columns if c not in ("drain_cluster_id", "drain_template")]
     masked = df.select(*keep, mask_message(F.col(message)).alias("masked"))
     counts = exact.select("masked", F.col("n").alias("_n"))
     joined = lookup_join(masked, known, ["masked"], counts)
-    filled = joined.withColumn("drain_template", F.col("_template")).withColumn(
-        "drain_cluster_id",
-        F.when(F.col("_template").isNotNull(), cluster_id(F.col("_template"))),
-    )
+    filled = joined.withColumn("drain_template", F.col("_template")).withColumn("drain_cluster_id", F.col("_cluster"))
     return filled.select(*df.columns, *[c for c in ("drain_cluster_id", "drain_template") if c not in df.columns])
 
 

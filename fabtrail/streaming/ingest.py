@@ -117,8 +117,9 @@ def stream_ingest(
     ingest_ts: str | None = None,
     available_now: bool = False,
     interval: str = "2 seconds",
+    mine: bool = False,
 ) -> StreamingQuery:
-    """Append a stream of ``(topic, payload)`` messages to the log table.
+    """Append a stream of ``(topic, payload)`` messages to the log table; with ``mine`` with the clusters of their messages.
 
     Every batch is written at least once; ids do not change when a batch is run again, and
     rows whose id is stored are left out, so a restart neither loses nor doubles rows.
@@ -128,7 +129,8 @@ def stream_ingest(
         kept = [c for c in ("topic", "payload", "partition", "offset") if c in batch.columns]
         messages = stored(_keyed(stored(batch.select(*kept), "batch"), batch_id), "messages")
         # ids come from the message's topic, which names the file
-        store.append_logs(message_logs(messages, ingest_ts or run_timestamp()), within_files=True)
+        rows = message_logs(messages, ingest_ts or run_timestamp())
+        store.append_logs(store.with_templates(stored(rows, "parsed")) if mine else rows, within_files=True)
         notes = message_warnings(messages).withColumn("batch_id", F.lit(batch_id))
         # a batch that runs again replaces its own warnings
         notes.write.mode("overwrite").parquet(f"{store.root}/stream_warnings/batch={batch_id}")

@@ -161,3 +161,35 @@ def test_messages_once(spark, tmp_path):
     spark.createDataFrame([("t", "b", "2024-01-01 00:40:00"), ("t", "c", "2024-01-01 00:40:00")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert run() == [("t", "a"), ("t", "b"), ("t", "c"), ("u", "a")]
     assert TS
+
+
+def test_clusters_stay(spark, store):
+    first = ["pump failed one now", "pump failed two now", "valve opened a fully today"]
+    second = ["pump failed three now", "valve opened b fully today", "door locked", "pump failed one now"]
+    rows = lambda lines: spark.createDataFrame([(str(k), t) for k, t in enumerate(lines)], "id string, raw_message string")
+    given = lambda frame: {r.raw_message: (r.drain_cluster_id, r.drain_template) for r in frame.collect()}
+    one = given(store.with_templates(rows(first)))
+    two = given(store.with_templates(rows(second)))
+    again = given(store.with_templates(rows(first + second)))
+    # what was given once is given again, and new messages join the clusters there are
+    assert again == one | two and two[first[0]] == one[first[0]]
+    assert one[first[0]][0] == one[first[1]][0] == two[second[0]][0]
+    assert len({c for c, _ in again.values()}) == len({t for _, t in again.values()})
+    assert two["door locked"][0] not in {c for c, _ in one.values()}
+    assert given(store.with_templates(rows([""]))) == {"": (None, None)}
+
+
+def test_streamed_rows_get_clusters(spark, store, tmp_path):
+    messages = [("fab/tool_logs/T1", f'{{"message": "pump {k} failed", "timestamp": "2024-01-01T00:00:0{k}"}}') for k in range(4)]
+
+    def run():
+        source = spark.readStream.schema("topic string, payload binary").parquet(str(tmp_path / "in"))
+        M.stream_ingest(source, store, str(tmp_path / "cp"), ingest_ts=TS, available_now=True, mine=True).awaitTermination()
+        return {r.raw_message: r.drain_cluster_id for r in store.read("logs").collect()}
+
+    for part in (messages[:2], messages[2:]):
+        spark.createDataFrame(part, "topic string, payload string").select("topic", F.col("payload").cast("binary").alias("payload")).coalesce(1).write.mode(
+            "append"
+        ).parquet(str(tmp_path / "in"))
+        found = run()
+    assert len(found) == 4 and len(set(found.values())) == 1 and None not in found.values()
