@@ -694,3 +694,21 @@ def enrichment_laid_over(spark, sf_dir):
     for word in ("first ", "second "):
         store.enrich(rows.select("id", F.concat(F.lit(word), "severity").alias("summary"), F.lit("c").alias("classification"), F.lit("h").alias("root_cause_hint")))
     return store.read("logs").select("id", "tool_id", "ai_summary")
+
+
+@query(
+    "search_of_indexed_files",
+    with_logs(
+        """SELECT id, timestamp, tool_id, severity, raw_message FROM logs
+        WHERE (raw_message ILIKE '%PUMP%user 1_%' OR event_name ILIKE '%PUMP%user 1_%') AND timestamp >= '2024-01-10' AND timestamp <= '2024-03-01'"""
+    ),
+)
+def search_of_indexed_files(spark, sf_dir):
+    """Two thirds of the rows are indexed, the others come later; files that cannot have a hit are not opened."""
+    store, rows = _store(spark), logs(spark, sf_dir)
+    later = F.pmod(F.xxhash64("id"), F.lit(3)) == 0
+    store.append_logs(rows.where(~later))
+    store.index_files()
+    store.append_logs(rows.where(later))
+    found = store.find(search_term="PUMP%user 1_", start_ts="2024-01-10", end_ts="2024-03-01")
+    return found.select("id", "timestamp", "tool_id", "severity", "raw_message")

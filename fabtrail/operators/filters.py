@@ -25,16 +25,17 @@ def field(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else metadata_value(name)
 
 
+#: what a search looks into
+SEARCHED = ("raw_message", "event_name", "normalized_message")
+
+
 def search(term: str, df: DataFrame) -> Column:
     """Case-insensitive substring over message, event and display message.
 
     ``%`` and ``_`` in the term are wildcards.
     """
     pattern = f"%{term}%"
-    hits = [
-        F.coalesce(field(df, c).ilike(pattern), F.lit(False))
-        for c in ("raw_message", "event_name", "normalized_message")
-    ]
+    hits = [F.coalesce(field(df, c).ilike(pattern), F.lit(False)) for c in SEARCHED]
     return reduce(lambda a, b: a | b, hits)
 
 

@@ -10,12 +10,13 @@ rows of their own that are laid over the logs when these are read, and settled i
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fabtrail import schema as S
-from fabtrail.operators import lookups, templates as mining
+from fabtrail.operators import filters, lookups, slices, templates as mining
 from fabtrail.session import conformed, stored
 
 #: tables laid out by a column, the others are small and plain
@@ -24,6 +25,9 @@ LAYOUT = {"logs": "source_filename", "recipes": "source_filename", "pending_revi
 #: an append names up to so many files to the scan of the stored rows; more files meet by a join
 MOST_NAMED_FILES = 10_000
 
+#: a search names up to so many files to the scan; more of them are not worth leaving out the rest
+MOST_FOUND_FILES = 10_000
+
 #: enrichment results beyond this number are settled into the logs
 MOST_LAID_OVER = 1_000_000
 
@@ -151,6 +155,41 @@ class LogStore:
         self.append("recipes", to_recipes(new), within_files=within_files)
         return done
 
+    # -- searches that skip files --------------------------------------------------------------
+
+    def index_files(self) -> None:
+        """Make entries for the stored files of log rows that have none, so that :meth:`find` can skip them.
+
+        Files never change, so entries stay right; those of files that are gone are not looked at.
+        """
+        missing = [row.file for row in self._log_files().where("may IS NULL").select("file").collect()]
+        if not missing:
+            return
+        number = max(self._versions("slices", finished=False), default=-1) + 1
+        logs = self._stored("logs")
+        entries = slices.slice_index(logs.where(F.col("_metadata.file_path").isin(missing)))
+        entries.write.mode("errorifexists").parquet(self._folder("slices", number))
+
+    def _log_files(self, **conditions) -> DataFrame:
+        """``file, may`` of the stored files of log rows; ``may`` is null for files without an entry."""
+        # rows name local files with one slash, listings with three
+        present = [(re.sub("^file:/+", "file:/", name),) for name in self._stored("logs").inputFiles()]
+        files = self.spark.createDataFrame(present, "file string")
+        folders = [self._folder("slices", n) for n in self._versions("slices")]
+        index = self.spark.read.schema(slices.SLICES).parquet(*folders) if folders else self.spark.createDataFrame([], slices.SLICES)
+        return files.join(slices.may_hold(index, **conditions), "file", "left")
+
+    def find(self, **conditions) -> DataFrame:
+        """Log rows that meet the conditions of :func:`fabtrail.operators.filters.log_predicates`; files that cannot have any are not opened."""
+        asked = {k: v for k, v in conditions.items() if k in ("search_term", "tool_id", "start_ts", "end_ts") and v}
+        rows = self._stored("logs")
+        if asked and self._versions("slices"):
+            found = self._log_files(**asked).where(F.coalesce("may", F.lit(True))).select("file").limit(MOST_FOUND_FILES + 1).collect()
+            if len(found) <= MOST_FOUND_FILES:
+                rows = rows.where(F.col("_metadata.file_path").isin([row.file for row in found]))
+        rows = filters.filter_logs(rows, **conditions)
+        return lookups.apply_enrichment(rows, self._results()) if self._laid_over() else rows
+
     # -- replace, delete, clear ----------------------------------------------------------------
 
     def delete_file(self, source_filename: str) -> None:
