@@ -236,6 +236,21 @@ def permute_date(date: Column, key: str, inverse: bool = False) -> Column:
     return _bind(F.unix_date(date).cast("bigint") - CYCLE_START, run)
 
 
+#: a walk of so many steps ends before with a probability of all but 1e-25
+MOST_STEPS = 64
+
+
+def permute_day_first(date: Column, key: str, inverse: bool = False) -> Column:
+    """Another day after the twelfth of a month, of the same 400 years: the permutation of days is taken again until it gives one.
+
+    Such a day, written day first, is no date month first, and stays so.
+    """
+    again = lambda d: permute_date(d, key, inverse)
+    return F.aggregate(
+        F.sequence(F.lit(2), F.lit(MOST_STEPS)), again(date), lambda d, _: F.when(F.dayofmonth(d) > 12, d).otherwise(again(d))
+    )
+
+
 def _whole(value: Column, pattern: str) -> Column:
     return value.rlike(f"^(?:{pattern})$")
 
@@ -275,7 +290,7 @@ def pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
     """What a match of ``PATTERN`` becomes; a match that is none of the valid kinds stays as it is, but for valid IBANs and card
     numbers among its groups.
 
-    Dates with slashes are read month first where that gives a date, else day first.
+    Dates with slashes are read month first where that gives a date, else day first; either kind becomes one that is read the same way.
     """
     whole = lambda p: _whole(value, p)
     dated = lambda fmt: F.try_to_date(value, fmt)
@@ -296,7 +311,10 @@ def pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
         .when(whole(ISO_DATE) & dated("yyyy-MM-dd").isNotNull(), date_as("yyyy-MM-dd"))
         .when(whole(DAY_FIRST) & dated("dd.MM.yyyy").isNotNull(), date_as("dd.MM.yyyy"))
         .when(whole(SLASHED) & dated("MM/dd/yyyy").isNotNull(), date_as("MM/dd/yyyy"))
-        .when(whole(SLASHED) & dated("dd/MM/yyyy").isNotNull(), date_as("dd/MM/yyyy"))
+        .when(
+            whole(SLASHED) & dated("dd/MM/yyyy").isNotNull(),
+            F.date_format(permute_day_first(dated("dd/MM/yyyy"), key, inverse), "dd/MM/yyyy"),
+        )
         .when(whole(IPV4) & valid_ipv4(value), permute_ipv4(value, key, inverse))
         .when(whole(IBAN) & valid_iban(value), permute_iban(value, key, inverse))
         .when(whole(CARD) & valid_card(value), permute_card(value, key, inverse))

@@ -102,3 +102,15 @@ def test_texts(spark, clashing):
     a, b = got[8].text.split()[-2:]
     assert a == b == got[None].text
     assert pseudonyms.pseudonymised(documents(spark, []), KEY).collect() == []
+
+
+def test_slashed_dates_stay_apart(spark):
+    """All days of three years, month first and day first."""
+    days = spark.range(1096).select(F.expr("date_add(date'2009-01-01', cast(id as int))").alias("d"))
+    written = days.select(F.explode(F.array(F.date_format("d", "MM/dd/yyyy"), F.date_format("d", "dd/MM/yyyy"))).alias("v")).distinct()
+    got = written.withColumn("p", pseudonyms.pseudonym(F.col("v"), KEY)).repartition(8)
+    rows = got.withColumn("back", pseudonyms.pseudonym(F.col("p"), KEY, inverse=True)).collect()
+    assert len(rows) > 1700 and len({r.p for r in rows}) == len(rows)
+    for r in rows:
+        assert r.back == r.v and re.fullmatch("[0-9]{2}/[0-9]{2}/[0-9]{4}", r.p)
+        assert (int(r.v[:2]) > 12) == (int(r.p[:2]) > 12)
