@@ -48,6 +48,52 @@ def test_cut_frames_are_reported(spark, write):
     assert sorted(e.value for r in rows for e in r.entries if e.key == "tool_id") == ["T1", "T2", "T4", "T5"]
 
 
+def frames_of(sizes, fill):
+    return b"".join(len(p).to_bytes(4, "little") + p for p in (fill(k, n) for k, n in enumerate(sizes)))
+
+
+def pairs(k, n):
+    return (f"tool_id=T{k}\x00value=" + "7" * n).encode()
+
+
+def decoys(k, n):
+    # payloads that look like frames of their own, from any place on
+    return b"\x05\x00\x00\x00abcde" * n + b"k=" + str(k).encode()
+
+
+@pytest.mark.parametrize("split", [64, 100, 1000, 1 << 26])
+def test_frames_do_not_depend_on_splits(spark, write, split, monkeypatch):
+    sizes = [1, 40, 3, 300, 2, 90, 700, 5, 11] * 4
+    head = frames_of([12, 15], pairs)
+    files = {
+        "plain__bin": B.MAGIC + frames_of(sizes, pairs),
+        "decoys__bin": B.MAGIC + head + frames_of([s // 9 + 1 for s in sizes], decoys),
+        "cut__bin": B.MAGIC + frames_of(sizes, pairs)[:-3],
+        "tail__bin": B.MAGIC + frames_of(sizes, pairs) + b"xy",
+        "bad__bin": B.MAGIC + frames_of(sizes[:20], pairs) + b"\xff\xff\xff\xff" + frames_of(sizes, pairs),
+        "none__bin": b"\x00\x01" * 300,
+        "empty__bin": b"",
+        "one__bin": frames_of([30], pairs),
+    }
+    path = write(**files)
+    found = {}
+    for r in B.frame_index(list_files(spark, path), split).orderBy("row").collect():
+        found.setdefault(r.source_filename, []).append((r.row, r.at, r.size, r.stopped))
+    for name, data in files.items():
+        ranges, stopped = B.frame_ranges(lambda at, n: data[at : at + n], len(data))  # noqa: B023
+        want = [(k, at, size, None) for k, (at, size) in enumerate(ranges)] + ([(len(ranges), None, None, stopped)] if stopped else [])
+        assert found.get(name.replace("__", "."), []) == want
+    assert len(found["decoys.bin"]) == 38 and found["bad.bin"][-1][3].startswith("frame of")
+
+
+def test_guesses_skip_what_is_no_chain_of_frames():
+    data = b"tool=7\x00" * 9 + frames_of([9, 8, 7, 6, 5], pairs)
+    read = lambda at, n: data[at : at + n]
+    assert B.guessed_start(read, 5, len(data), len(data)) == 63
+    assert B.guessed_start(read, 64, len(data), len(data)) == 63 + 4 + len(pairs(0, 9))
+    assert B.guessed_start(lambda at, n: (b"\x00" * 99)[at : at + n], 1, 99, 99) == -1
+
+
 @pytest.mark.parametrize("depth", [1, 7, 40])
 def test_objects_of_any_depth_are_unfolded(spark, depth):
     doc = {"k": "v{", "n": None}
