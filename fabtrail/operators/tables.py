@@ -6,6 +6,8 @@ the next one, so a rewrite that broke off at any step leaves the old version or
 Logs and recipes are laid out by ``source_filename``, staged reviews by ``job_id``, so that reading, replacing and
 deleting one file or job touches its folder only. Enrichment results are not written into the logs one by one: they are
 rows of their own that are laid over the logs when these are read, and settled into them when they have become many.
+Many small files of a folder are packed into few: the packed files and the list of those they stand for are written first, and
+who finds both finished, be it a reader, puts them in place.
 """
 
 from __future__ import annotations
@@ -13,11 +15,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fabtrail import schema as S
 from fabtrail.operators import filters, lookups, slices, templates as mining
 from fabtrail.session import conformed, stored
+from fabtrail.sources.files import plain_path
 
 #: tables laid out by a column, the others are small and plain
 LAYOUT = {"logs": "source_filename", "recipes": "source_filename", "pending_reviews": "job_id"}
@@ -31,6 +34,9 @@ MOST_FOUND_FILES = 10_000
 #: enrichment results beyond this number are settled into the logs
 MOST_LAID_OVER = 1_000_000
 
+#: small files of a folder are packed into files of about this size; files of half of it are left alone
+PACKED_BYTES = 128 << 20
+
 #: results laid over the logs; those of one call have one number, the highest one counts
 ENRICHMENT = "id string, summary string, classification string, root_cause_hint string, seq bigint"
 
@@ -92,6 +98,7 @@ class LogStore:
         return rows
 
     def _stored(self, table: str) -> DataFrame:
+        self._put_in_place(table)
         if not self._versions(table):
             return self.spark.createDataFrame([], S.TABLES[table])
         return self.spark.read.schema(S.TABLES[table]).parquet(self.path(table))
@@ -106,11 +113,13 @@ class LogStore:
 
     def _drop_folder(self, table: str, value: str) -> None:
         """Remove the folder of one value of the layout column; no row is read or written."""
+        self._put_in_place(table)
         escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
         folder, system = self._file_system(f"{self.path(table)}/{escape.getPartitionPathString(LAYOUT[table], value)}")
         system.delete(folder, True)
 
     def _writer(self, df: DataFrame, table: str, mode: str) -> None:
+        self._put_in_place(table)
         df = conform(df, table)
         column = LAYOUT.get(table)
         if column is None:
@@ -155,6 +164,73 @@ class LogStore:
         self.append("recipes", to_recipes(new), within_files=within_files)
         return done
 
+    # -- small files ---------------------------------------------------------------------------
+
+    def small_files(self, table: str, packed_bytes: int = PACKED_BYTES) -> DataFrame:
+        """``file, bin`` of the files of a table's folders that are packed together; the rows of a bin go to one file.
+
+        A bin has at least two files, of one folder, and about ``packed_bytes``. One row for each small file meets in a folder's group.
+        """
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.path(table))
+        small = files.where(F.col("length") < packed_bytes // 2).select(
+            F.col("path").alias("file"), F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "length"
+        )
+        before = Window.partitionBy("folder").orderBy("length", "file").rowsBetween(Window.unboundedPreceding, -1)
+        number = F.floor(F.coalesce(F.sum("length").over(before), F.lit(0)) / packed_bytes)
+        bins = small.withColumn("bin", F.concat_ws("/", "folder", number.cast("string")))
+        return bins.withColumn("_files", F.count(F.lit(1)).over(Window.partitionBy("bin"))).where("_files > 1").select("file", "bin")
+
+    def pack_files(self, table: str, packed_bytes: int = PACKED_BYTES) -> int:
+        """Put few large files in the place of many small ones; how many small ones there were. Rows stay the same.
+
+        Only small files are read. Until the list of these is finished nothing has changed; after that any reader or writer of the table
+        puts the packed files in place first, from wherever it was broken off. One writer at a time.
+        """
+        self._put_in_place(table)
+        packed, replaced = f"{table}_packed", f"{table}_replaced"
+        # what an earlier call left that broke off before its list was finished
+        self._drop_before(packed, 1 << 62)
+        number = max(self._versions(replaced, finished=False), default=-1) + 1
+        if not self._versions(table):
+            return 0
+        bins = stored(self.small_files(table, packed_bytes), "bins")
+        count = bins.count()
+        if not count:
+            return 0
+        path = F.regexp_replace(plain_path(F.col("_metadata.file_path")), "^file:/+", "file:/")
+        rows = self._stored(table).select("*", path.alias("_file"))
+        names = bins.select(F.regexp_replace("file", "^file:/+", "file:/").alias("_file"), "bin")
+        number_of_bins = bins.select("bin").distinct().count()
+        together = rows.join(names, "_file").repartition(number_of_bins, "bin").drop("_file", "bin")
+        writer = together.write.mode("errorifexists")
+        column = LAYOUT.get(table)
+        (writer.partitionBy(column) if column else writer).parquet(self._folder(packed, number))
+        bins.select("file").write.mode("errorifexists").parquet(self._folder(replaced, number))
+        self._put_in_place(table)
+        return count
+
+    def _put_in_place(self, table: str) -> None:
+        """Finish what :meth:`pack_files` began, if it was broken off: move the packed files in, remove those they stand for.
+
+        Every step can be taken again.
+        """
+        packed, replaced = f"{table}_packed", f"{table}_replaced"
+        for number in self._versions(replaced):
+            source, target = self._folder(packed, number), self.path(table)
+            folder, system = self._file_system(source)
+            if system.exists(folder):
+                prefix = system.getFileStatus(folder).getPath().toString()
+                found = system.listFiles(folder, True)
+                while found.hasNext():
+                    file = found.next().getPath()
+                    if file.getName()[:1] not in "_.":
+                        system.rename(file, self._file_system(target + file.toString()[len(prefix) :])[0])
+            names = self.spark.read.schema("file string").parquet(self._folder(replaced, number))
+            for row in names.toLocalIterator():
+                system.delete(self._file_system(row.file)[0], False)
+            system.delete(folder, True)
+            system.delete(self._file_system(self._folder(replaced, number))[0], True)
+
     # -- searches that skip files --------------------------------------------------------------
 
     def index_files(self) -> None:
@@ -222,6 +298,7 @@ class LogStore:
 
     def _rewrite(self, table: str, rows: DataFrame) -> None:
         """Write the whole table as its next version; older ones go when that is finished."""
+        self._put_in_place(table)
         rows = conform(rows, table)
         number = max(self._versions(table, finished=False), default=-1) + 1
         column = LAYOUT.get(table)

@@ -118,9 +118,12 @@ def stream_ingest(
     available_now: bool = False,
     interval: str = "2 seconds",
     mine: bool = False,
+    pack_every: int = 100,
 ) -> StreamingQuery:
     """Append a stream of ``(topic, payload)`` messages to the log table; with ``mine`` with the clusters of their messages.
 
+    After every ``pack_every`` batches the small files they have left are packed together (0: never).
+
     Every batch is written at least once; ids do not change when a batch is run again, and
     rows whose id is stored are left out, so a restart neither loses nor doubles rows.
     """
@@ -134,6 +137,9 @@ def stream_ingest(
         notes = message_warnings(messages).withColumn("batch_id", F.lit(batch_id))
         # a batch that runs again replaces its own warnings
         notes.write.mode("overwrite").parquet(f"{store.root}/stream_warnings/batch={batch_id}")
+        if pack_every and (batch_id + 1) % pack_every == 0:
+            for table in ("logs", "recipes"):
+                store.pack_files(table)
 
     writer = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)

@@ -193,3 +193,84 @@ def test_streamed_rows_get_clusters(spark, store, tmp_path):
         ).parquet(str(tmp_path / "in"))
         found = run()
     assert len(found) == 4 and len(set(found.values())) == 1 and None not in found.values()
+
+
+def stored_rows(store):
+    return sorted((r.id, r.source_filename, r.severity) for r in store.read("logs").collect())
+
+
+def with_small_files(spark, store, batches=4):
+    names = ["a.log", "b c+d:e%2F=f.log"]
+    for k in range(batches):
+        store.append_logs(log_rows(spark, [(f"{k}-{n}", name, "INFO") for n, name in enumerate(names)]), within_files=True)
+    store.append_logs(log_rows(spark, [("alone", "one.log", "ERROR")]))
+
+
+def test_small_files_are_packed(spark, store, tmp_path):
+    assert store.pack_files("logs") == 0
+    with_small_files(spark, store)
+    before, files = stored_rows(store), parts(tmp_path)
+    assert store.pack_files("logs") == 8
+    assert stored_rows(store) == before and len(parts(tmp_path)) == len(files) - 6
+    # nothing is left to pack, and appends, files' folders and packing go on
+    assert store.pack_files("logs") == 0
+    with_small_files(spark, store, 5)
+    assert len(stored_rows(store)) == 11 and store.pack_files("logs") == 4 and len(stored_rows(store)) == 11
+    store.delete_file("b c+d:e%2F=f.log")
+    assert {f for _, f, _ in stored_rows(store)} == {"a.log", "one.log"}
+    # files of half the size are left alone
+    assert store.small_files("logs", packed_bytes=2).count() == 0
+
+
+def test_bins_have_a_size(spark, store):
+    with_small_files(spark, store, 5)
+    size = store.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(store.path("logs")).agg(F.max("length")).first()[0]
+    bins = store.small_files("logs", packed_bytes=2 * size + 2).groupBy("bin").count().collect()
+    assert len(bins) >= 2 and all(2 <= r["count"] <= 3 for r in bins)
+
+
+@pytest.mark.parametrize("step", ["list", "move", "delete", "forget"])
+def test_packing_that_breaks_off_is_finished(spark, store, tmp_path, step):
+    with_small_files(spark, store)
+    before, files = stored_rows(store), parts(tmp_path)
+    put, done = LogStore._put_in_place, []
+
+    class Lost(Exception):
+        pass
+
+    class Fails:
+        """A file system that is lost at the second call of a kind."""
+
+        def __init__(self, system):
+            self.system = system
+
+        def __getattr__(self, name):
+            return getattr(self.system, name)
+
+        def _call(self, name, kind, *args):
+            done.append(kind)
+            if kind == step and done.count(kind) == 2:
+                raise Lost
+            return getattr(self.system, name)(*args)
+
+        def rename(self, *args):
+            return self._call("rename", "move", *args)
+
+        def delete(self, path, recursive):
+            return self._call("delete", "forget" if recursive else "delete", path, recursive)
+
+    with pytest.MonkeyPatch.context() as patch:
+        if step == "list":
+            # the packed files are written, their list is not
+            patch.setattr(LogStore, "_put_in_place", lambda self, table: None)
+            store.pack_files("logs")
+            (list_of,) = (tmp_path / "store" / "logs_replaced").iterdir()
+            (list_of / "_SUCCESS").unlink()
+        else:
+            system_of = LogStore._file_system
+            patch.setattr(LogStore, "_file_system", lambda self, path: (system_of(self, path)[0], Fails(system_of(self, path)[1])))
+            with pytest.raises(Lost):
+                store.pack_files("logs")
+    assert put is LogStore._put_in_place and stored_rows(store) == before
+    store.pack_files("logs")
+    assert stored_rows(store) == before and len(parts(tmp_path)) == len(files) - 6
