@@ -41,8 +41,8 @@ SIMILARITY = 80
 #: counters of the sketch that orders shingles: a fixed 2 ** 20, sent to all tasks as one byte each (1 MB)
 SKETCH_BITS, CHUNK = 20, 1 << 16
 
-#: bytes of a shingle's hash that are shipped and compared when sets are measured
-MEMBER_BYTES = 5
+#: bits of a shingle's hash that are shipped and compared when sets are measured
+MEMBER_BITS = 40
 
 #: bits of the filter of classes whose sets are needed (4 MB, fixed); more classes mean more false alarms only
 FILTER_BITS = 1 << 25
@@ -107,16 +107,44 @@ def set_classes(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(sums(mix(value ^ _CLASS_SALT), bounds) + size * _SALT).view(np.int64)
 
 
-def _shortened(value: np.ndarray) -> bytes:
-    """The high bytes of sorted numbers."""
-    return value.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :MEMBER_BYTES].tobytes()
+def packed_set(value: np.ndarray) -> bytes:
+    """The high ``MEMBER_BITS`` bits of sorted numbers, without loss.
 
-
-def _lengthened(data) -> np.ndarray:
-    short = np.frombuffer(data, np.uint8).reshape(-1, MEMBER_BYTES)
-    out = np.zeros((len(short), 8), np.uint8)
-    out[:, 8 - MEMBER_BYTES :] = short
-    return out.view(">u8").ravel().astype(np.uint64)
+    Sorted numbers repeat their own high bits: of ``n`` the ``log2 n`` highest are written as gaps in unary, about two
+    bits a number, and only the rest in full.
+    """
+    n = len(value)
+    if not n:
+        return b""
+    value = value >> np.uint64(64 - MEMBER_BITS)
+    low = MEMBER_BITS + 1 - n.bit_length()
+    marks = np.zeros(n + (1 << MEMBER_BITS - low), np.uint8)
+    marks[(value >> np.uint64(low)).astype(np.int64) + np.arange(n)] = 1
+    parts = [n.to_bytes(4, "little"), np.packbits(marks).tobytes()]
+    rest = (value << np.uint64(64 - low)).astype(">u8").view(np.uint8).reshape(n, 8)
+    for k in range(0, n, CHUNK):
+        parts.append(np.packbits(np.unpackbits(rest[k : k + CHUNK], axis=1, count=low)).tobytes())
+    return b"".join(parts)
+
+
+def unpacked_set(data) -> np.ndarray:
+    """The numbers of :func:`packed_set`."""
+    data = np.frombuffer(data, np.uint8)
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    n = int(data[:4].view("<u4")[0])
+    low = MEMBER_BITS + 1 - n.bit_length()
+    length = n + (1 << MEMBER_BITS - low)
+    at = 4 + (length + 7) // 8
+    value = (np.flatnonzero(np.unpackbits(data[4:at], count=length)) - np.arange(n)).astype(np.uint64) << np.uint64(low)
+    for k in range(0, n, CHUNK):
+        size = min(CHUNK, n - k)
+        end = at + (size * low + 7) // 8
+        bits = np.zeros((size, 64), np.uint8)
+        bits[:, 64 - low :] = np.unpackbits(data[at:end], count=size * low).reshape(size, low)
+        value[k : k + size] |= np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
+        at = end
+    return value
 
 
 def _slot(value: np.ndarray) -> np.ndarray:
@@ -225,7 +253,7 @@ def _place_in_filter(cls, doc_id):
 
 
 def _sets(docs: DataFrame, wanted, n: int) -> DataFrame:
-    """``cls, members``: the whole sets, ``MEMBER_BYTES`` bytes a shingle, of the documents that the filter lets through."""
+    """``cls, members``: the whole sets, packed, of the documents that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.uint8)
@@ -236,7 +264,7 @@ def _sets(docs: DataFrame, wanted, n: int) -> DataFrame:
                 doc_id = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
                 slot = _place_in_filter(cls, doc_id) & (FILTER_BITS - 1)
                 chosen = np.flatnonzero((bits[slot >> 3] >> (slot & 7)) & 1).tolist()
-                members = [_shortened(value[bounds[i] : bounds[i + 1]]) for i in chosen]
+                members = [packed_set(value[bounds[i] : bounds[i + 1]]) for i in chosen]
                 yield pa.RecordBatch.from_pydict({"cls": pa.array(cls[chosen]), "members": pa.array(members, pa.binary())})
 
     return docs.mapInArrow(run, "cls bigint, members binary")
@@ -269,7 +297,7 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             common, n_a, n_b = [], [], []
             for x, y in zip(batch.column("members_a"), batch.column("members_b")):
-                u, v = _lengthened(x.as_buffer()), _lengthened(y.as_buffer())
+                u, v = unpacked_set(x.as_buffer()), unpacked_set(y.as_buffer())
                 common.append(len(np.intersect1d(u, v, assume_unique=True)))
                 n_a.append(len(u))
                 n_b.append(len(v))

@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from corpus import DOCUMENTS, SPACES, documents, lower_words, sentence
 
@@ -156,3 +157,16 @@ def test_components_of_a_path_and_a_star(spark):
     pairs = [(k, k + 1) for k in range(0, 40)] + [(1000, 1000 + k) for k in range(1, 50)] + [(7, 7), (2000, 2000)]
     got = {r.id: r.component_id for r in graph.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
     assert got == {**{k: 0 for k in range(41)}, **{1000 + k: 1000 for k in range(50)}}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 255, 256, 1000, 65536, 70001, 200003])
+def test_packed_sets_lose_nothing(n):
+    from fabtrail.llm.jaccard_join import packed_set, unpacked_set
+
+    value = np.sort(np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64))
+    if n > 2:
+        value[0], value[-1] = 0, (1 << 64) - 1
+        value[1] = value[2]
+    data = packed_set(value)
+    assert unpacked_set(data).tolist() == (value >> np.uint64(24)).tolist()
+    assert n < 64 or len(data) < 0.92 * 5 * n
