@@ -184,7 +184,7 @@ def test_streamed_rows_get_clusters(spark, store, tmp_path):
 
     def run():
         source = spark.readStream.schema("topic string, payload binary").parquet(str(tmp_path / "in"))
-        M.stream_ingest(source, store, str(tmp_path / "cp"), ingest_ts=TS, available_now=True, mine=True).awaitTermination()
+        M.stream_ingest(source, store, str(tmp_path / "cp"), ingest_ts=TS, available_now=True, mine=True, pack_every=1).awaitTermination()
         return {r.raw_message: r.drain_cluster_id for r in store.read("logs").collect()}
 
     for part in (messages[:2], messages[2:]):
@@ -193,6 +193,8 @@ def test_streamed_rows_get_clusters(spark, store, tmp_path):
         ).parquet(str(tmp_path / "in"))
         found = run()
     assert len(found) == 4 and len(set(found.values())) == 1 and None not in found.values()
+    # the files of both batches were packed into one
+    assert len([p for p in parts(tmp_path) if "source_filename=" in p]) == 1
 
 
 def stored_rows(store):
