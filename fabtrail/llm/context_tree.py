@@ -5,15 +5,16 @@ in that decision tree the ``DEPTH`` bytes before give a context tree. A node of
 its counts, and mixes it, weighted by how well each explains the training texts, with what its longer contexts say. So every
 prediction mixes the estimates of all depths. A context not met in training hands on to nothing: the longest one met decides.
 
-Counts of (context, byte) come from all training texts, merged in the tasks before they are shuffled. Longer contexts are weighted where
-all contexts that end in the same two bytes lie together; the sums for shorter ones are bounded by the alphabet.
+Counts of (context, byte) come from all training texts, merged in the tasks before they are shuffled, and lie together by the last two
+bytes of the context, packed into one row for these. Longer contexts are weighted row by row; the sums for shorter ones are bounded by the
+alphabet.
 Each distinct (context, byte) gets its probability once. The most frequent ones, a fixed number, go to all tasks;
 texts meet the rest by a join. The unigram base is computed in the same passes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,16 @@ END = 0xFF
 FREQUENT = {"gram": 1 << 21, "word": 1 << 20}
 
 #: distinct entries a task merges before it hands them on, and how many it gathers between mergers
-MERGED, GATHERED = 1 << 22, 1 << 21
+MERGED, GATHERED = 1 << 21, 1 << 20
+
+#: entries that are weighed together, or as many as one suffix has
+WEIGHED = 1 << 17
 
 #: bytes of text that are counted or scored at once
-SLICE = 2 << 20
+SLICE = 1 << 19
+
+#: remainders of word hashes by which words are dealt
+WORD_BUCKETS = 1024
 
 #: held-out documents: crc32 of the id has this remainder
 FOLDS = 10
@@ -116,8 +123,63 @@ class _Counter:
         return self.parts[0] if self.parts else (np.zeros(0, np.uint64), none, none)
 
 
+#: sorted entries of one bucket: differences of the keys, and counts
+BUCKETS = "bucket int, keys binary, total binary, trained binary"
+
+
+def _packed(kind: str, values: np.ndarray, total: np.ndarray, trained: np.ndarray, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Sorted entries as rows of :data:`BUCKETS`, of up to ``most`` entries each.
+
+    The bucket of a (context, byte) pair is the last ``SPLIT`` bytes of its context; buckets of words are negative.
+    """
+    if kind == "word":
+        bucket = -1 - (values & np.uint64(WORD_BUCKETS - 1)).astype(np.int32)
+    else:
+        bucket = ((values >> np.uint64(8)) & _mask(SPLIT)).astype(np.int32)
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    bucket, values, total, trained = (x[order] for x in (bucket, values, total, trained))
+    first = _runs(bucket)
+    if most:
+        first = np.union1d(first, np.arange(0, len(bucket), most))
+    rows, size = [], 0
+    for at, end in zip(first.tolist(), [*first[1:].tolist(), len(bucket)]):
+        keys = np.diff(values[at:end], prepend=np.uint64(0))
+        rows.append((bucket[at], *(x.tobytes() for x in (keys, total[at:end].astype(np.int64), trained[at:end].astype(np.int64)))))
+        size += end - at
+        if size >= 1 << 17 or end == len(bucket):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, pa.binary() if k else pa.int32()) for k, x in enumerate(zip(*rows))], ["bucket", "keys", "total", "trained"]
+            )
+            rows, size = [], 0
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], enough: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """Kind, keys in order, total and trained counts of running buckets that have about ``enough`` entries; none is cut in two."""
+    held, size, now = [], 0, 0
+
+    def merged() -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        keys, total, trained = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = _runs(keys)
+        return "word" if now < 0 else "gram", keys[first], *(np.add.reduceat(x[order], first) for x in (total, trained))
+
+    for batch in batches:
+        for bucket, keys, total, trained in zip(batch.column("bucket").to_pylist(), *(batch.column(c) for c in ("keys", "total", "trained"))):
+            if held and bucket != now and (size >= enough or (bucket < 0) != (now < 0)):
+                yield merged()
+                held, size = [], 0
+            # copies, so that what is held does not keep whole batches
+            own = [np.frombuffer(x.as_buffer(), np.int64).copy() for x in (total, trained)]
+            held.append((np.cumsum(np.frombuffer(keys.as_buffer(), np.uint64)), *own))
+            size += len(own[0])
+            now = bucket
+    if held:
+        yield merged()
+
+
 def _counts(docs: DataFrame) -> DataFrame:
-    """``kind, key, total, trained``: partial counts of all (context, byte) pairs and words."""
+    """All (context, byte) pairs and words with their counts, one row for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = {"gram": _Counter(), "word": _Counter()}
@@ -125,12 +187,7 @@ def _counts(docs: DataFrame) -> DataFrame:
         def empty(kind: str) -> Iterator[pa.RecordBatch]:
             values, total, trained = counters[kind].merge()
             counters[kind] = _Counter()
-            for at in range(0, len(values), 1 << 17):
-                own = slice(at, at + (1 << 17))
-                yield pa.RecordBatch.from_pydict(
-                    {"kind": pa.array([kind] * len(values[own]), pa.string()), "key": pa.array(values[own].view(np.int64)),
-                     "total": pa.array(total[own].astype(np.int64)), "trained": pa.array(trained[own].astype(np.int64))}
-                )
+            yield from _packed(kind, values, total, trained, 1 << 14)
 
         for batch in batches:
             for part in text_slices(batch, limit=SLICE):
@@ -143,7 +200,11 @@ def _counts(docs: DataFrame) -> DataFrame:
         for kind in counters:
             yield from empty(kind)
 
-    return docs.mapInArrow(run, "kind string, key bigint, total bigint, trained bigint")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for entries in _unpacked(batches, GATHERED):
+            yield from _packed(*entries)
+
+    return docs.mapInArrow(run, BUCKETS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, BUCKETS)
 
 
 # -- the tree -----------------------------------------------------------------------------------
@@ -169,41 +230,37 @@ class Level:
     """Nodes of one depth over sorted rows ``context * 256 + byte``.
 
     The rows that share a context and the first k bits of the byte lie together, so the nodes of each k are runs of rows.
-    Rows may have count 0; a node without counts changes no other one.
+    Rows may have count 0; a node without counts changes no other one. Only the given places ``bits`` of the byte are looked at.
     """
 
-    def __init__(self, rows: np.ndarray, count: np.ndarray):
-        self.rows = rows
+    def __init__(self, rows: np.ndarray, count: np.ndarray, bits: Iterable[int] = range(8)):
+        self.rows, self.bits = rows, bits
         byte = (rows & np.uint64(255)).astype(np.int64)
-        self.first, self.node, ones, total = [], [], [], []
-        for k in range(8):
+        self.first, self.node, self.ones, self.total = {}, {}, {}, {}
+        for k in bits:
             first = _runs(rows >> np.uint64(8 - k))
             node = np.zeros(len(rows), np.int32)
             node[first[1:]] = 1
-            self.first.append(first)
-            self.node.append(np.cumsum(node, dtype=np.int32))
+            self.first[k], self.node[k] = first, np.cumsum(node, dtype=np.int32)
             if len(rows):
-                total.append(np.add.reduceat(count, first))
-                ones.append(np.add.reduceat(np.where((byte >> (7 - k)) & 1, count, 0.0), first))
+                self.total[k] = np.add.reduceat(count, first)
+                self.ones[k] = np.add.reduceat(np.where((byte >> (7 - k)) & 1, count, 0.0), first)
             else:
-                total.append(np.zeros(0))
-                ones.append(np.zeros(0))
-        self.total, self.ones = total, ones
-        self.stop: list[np.ndarray] = []
-        self.log_weighted: list[np.ndarray] = []
+                self.total[k] = self.ones[k] = np.zeros(0)
+        self.stop: dict[int, np.ndarray] = {}
+        self.log_weighted: dict[int, np.ndarray] = {}
 
     def weigh(self, deeper: Level | None, up: np.ndarray | None) -> None:
         """Mix with the level below, whose rows belong to this level's rows ``up``."""
-        for k in range(8):
+        for k in self.bits:
             log_stop = log_kt(self.total[k] - self.ones[k], self.ones[k])
             if deeper is None:
-                self.log_weighted.append(log_stop)
-                self.stop.append(np.ones(len(log_stop)))
+                self.log_weighted[k], self.stop[k] = log_stop, np.ones(len(log_stop))
                 continue
             parent = self.node[k][up[deeper.first[k]]]
             children = np.bincount(parent, deeper.log_weighted[k], len(log_stop))
-            self.log_weighted.append(np.logaddexp(HALF + log_stop, HALF + children))
-            self.stop.append(np.exp(HALF + log_stop - self.log_weighted[k]))
+            self.log_weighted[k] = np.logaddexp(HALF + log_stop, HALF + children)
+            self.stop[k] = np.exp(HALF + log_stop - self.log_weighted[k])
 
 
 def _mask(depth: int) -> np.uint64:
@@ -214,20 +271,31 @@ def _mask(depth: int) -> np.uint64:
 SPLIT = 2
 
 
+def _rows(values: np.ndarray, trained: np.ndarray) -> dict[int, tuple[np.ndarray, ...]]:
+    """For the depths ``DEPTH`` to ``SPLIT``: rows, their counts, the row that each row of the level below belongs to, and each pair's."""
+    rows, count, place = values, trained.astype(np.float64), np.arange(len(values), dtype=np.int32)
+    out = {DEPTH: (rows, count, place, place)}
+    for depth in range(DEPTH - 1, SPLIT - 1, -1):
+        rows, up = np.unique(rows & _mask(depth + 1), return_inverse=True)
+        up = up.astype(np.int32)
+        count, place = np.bincount(up, count, len(rows)), up[place]
+        out[depth] = (rows, count, up, place)
+    return out
+
+
+def _levels(rows: dict[int, tuple[np.ndarray, ...]], bits: Iterable[int]) -> dict[int, Level]:
+    levels: dict[int, Level] = {}
+    for depth, (own, count, up, _) in rows.items():
+        levels[depth] = Level(own, count, bits)
+        levels[depth].weigh(levels.get(depth + 1), up)
+    return levels
+
+
 def deep_levels(values: np.ndarray, trained: np.ndarray) -> tuple[dict[int, Level], dict[int, np.ndarray]]:
     """Levels ``SPLIT`` to ``DEPTH`` of distinct (context, byte) pairs in order, weighted from below, and for each level
     the row of every pair."""
-    rows, count = values, trained.astype(np.float64)
-    place = np.arange(len(values))
-    levels, places = {DEPTH: Level(rows, count)}, {DEPTH: place}
-    levels[DEPTH].weigh(None, None)
-    for depth in range(DEPTH - 1, SPLIT - 1, -1):
-        rows, up = np.unique(rows & _mask(depth + 1), return_inverse=True)
-        count = np.bincount(up, count, len(rows))
-        levels[depth], place = Level(rows, count), up[place]
-        places[depth] = place
-        levels[depth].weigh(levels[depth + 1], up)
-    return levels, places
+    rows = _rows(values, trained)
+    return _levels(rows, range(8)), {depth: place for depth, (*_, place) in rows.items()}
 
 
 class Top:
@@ -257,16 +325,18 @@ class Top:
 
 def log_probabilities(values: np.ndarray, trained: np.ndarray, top: Top) -> np.ndarray:
     """Natural logarithm of each byte's probability in its context; values are distinct and in order."""
-    levels, places = deep_levels(values, trained)
+    rows = _rows(values, trained)
     byte = (values & np.uint64(255)).astype(np.int64)
     last = ((values >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
     out = np.zeros(len(values))
+    # one place of the byte after the other, as levels of all of them take eight times as much memory
     for k in range(8):
+        levels = _levels(rows, [k])
         place, bit = (byte | 256) >> (8 - k), (byte >> (7 - k)) & 1
         said, left, near = top.said[last, place], top.left[last, place], top.near[last, place]
         for depth in range(SPLIT, DEPTH + 1):
             level = levels[depth]
-            node = level.node[k][places[depth]]
+            node = level.node[k][rows[depth][3]]
             estimates = (level.ones[k] + 0.5) / (level.total[k] + 1)
             # a context that was not met hands on to nothing; neither do longer ones
             met = (level.total[k] > 0)[node]
@@ -324,53 +394,53 @@ class Table:
 # -- Spark --------------------------------------------------------------------------------------
 
 
-def _by_suffix(pairs: DataFrame) -> DataFrame:
-    """All pairs whose contexts end in the same bytes in one task."""
-    return pairs.repartition(F.shiftright("key", 8).bitwiseAND(F.lit(int(_mask(SPLIT)))))
-
-
-def _in_order(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> list[np.ndarray]:
-    """Columns of all rows of a task, sorted by the first."""
-    kept = [[b.column(c).to_numpy(zero_copy_only=False) for c in names] for b in batches]
-    if not kept:
-        return [np.zeros(0, np.int64) for _ in names]
-    columns = [np.concatenate(x) for x in zip(*kept)]
-    order = np.argsort(columns[0])
-    return [c[order] for c in columns]
-
-
-def _learn_top(pairs: DataFrame) -> Top:
+def _learn_top(counted: DataFrame) -> Top:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, trained = _in_order(batches, ("key", "trained"))
-        level = deep_levels(key.view(np.uint64), trained)[0][SPLIT]
-        for k in range(8):
-            rows = level.rows[level.first[k]]
-            met = level.total[k] > 0
-            last = ((rows >> np.uint64(8)) & np.uint64(255)).astype(np.int32)
-            place = (((rows & np.uint64(255)).astype(np.int32) | 256) >> (8 - k)).astype(np.int32)
-            zeros = level.total[k] - level.ones[k]
-            columns = {"last": last, "place": place, "zeros": zeros, "ones": level.ones[k], "below": level.log_weighted[k]}
-            yield pa.RecordBatch.from_pydict({c: pa.array(v[met]) for c, v in columns.items()})
-
-    nodes = _by_suffix(pairs).select("key", "trained").mapInArrow(run, "last int, place int, zeros double, ones double, below double")
+        for _, key, _, trained in _unpacked(batches, WEIGHED):
+            rows = _rows(key, trained)
+            for k in range(8):
+                level = _levels(rows, [k])[SPLIT]
+                own = level.rows[level.first[k]]
+                last = ((own >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
+                place = (((own & np.uint64(255)).astype(np.int64) | 256) >> (8 - k)).astype(np.int64)
+                # sums by last byte and place
+                nodes, up = np.unique(last << 8 | place, return_inverse=True)
+                met = level.total[k] > 0
+                columns = {"last": nodes >> 8, "place": nodes & 255}
+                sums_of = {"zeros": level.total[k] - level.ones[k], "ones": level.ones[k], "below": np.where(met, level.log_weighted[k], 0)}
+                columns |= {c: np.bincount(up, v, len(nodes)) for c, v in sums_of.items()}
+                seen = columns["zeros"] + columns["ones"] > 0
+                yield pa.RecordBatch.from_pydict({c: pa.array(v[seen]) for c, v in columns.items()})
+
+    nodes = counted.where("bucket >= 0").mapInArrow(run, "last bigint, place bigint, zeros double, ones double, below double")
     # at most 256 * 255 rows
     rows = nodes.groupBy("last", "place").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toPandas()
     rows = rows.sort_values(["last", "place"])
     return Top(*(rows[c].to_numpy() for c in ("last", "place", "zeros", "ones", "below")))
 
 
-def _weigh(pairs: DataFrame, top) -> DataFrame:
+def _weigh(counted: DataFrame, top) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, total, trained = _in_order(batches, ("key", "total", "trained"))
-        if len(key):
-            value = log_probabilities(key.view(np.uint64), trained, top.value)
+        for _, key, total, trained in _unpacked(batches, WEIGHED):
+            value = log_probabilities(key, trained, top.value)
+            key = key.view(np.int64)
             for at in range(0, len(key), 1 << 16):
                 own = slice(at, at + (1 << 16))
                 yield pa.RecordBatch.from_pydict(
                     {"key": pa.array(key[own]), "total": pa.array(total[own]), "value": pa.array(value[own])}
                 )
 
-    return _by_suffix(pairs).select("key", "total", "trained").mapInArrow(run, "key bigint, total bigint, value double")
+    return counted.where("bucket >= 0").mapInArrow(run, "key bigint, total bigint, value double")
+
+
+def _words(counted: DataFrame) -> DataFrame:
+    """``key, total, trained`` of each word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, key, total, trained in _unpacked(batches, WEIGHED):
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "total": pa.array(total), "trained": pa.array(trained)})
+
+    return counted.where("bucket < 0").mapInArrow(run, "key bigint, total bigint, trained bigint")
 
 
 def _frequent(rows: DataFrame, most: int, column: str) -> Table:
@@ -408,12 +478,10 @@ def scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     held = remainder(F.col("doc_id"), FOLDS) == 0
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
-    counted = _counts(texts).groupBy("kind", "key").agg(F.sum("total").alias("total"), F.sum("trained").alias("trained"))
-    counted = stored(counted, "counts")
-    pairs = counted.where("kind = 'gram'").drop("kind")
-    words = counted.where("kind = 'word'").drop("kind")
-    top = spark.sparkContext.broadcast(_learn_top(pairs))
-    weighed = stored(_weigh(pairs, top), "weighed")
+    counted = stored(_counts(texts), "counts")
+    words = _words(counted)
+    top = spark.sparkContext.broadcast(_learn_top(counted))
+    weighed = stored(_weigh(counted, top), "weighed")
     ends = texts.where("NOT held_out").count()
     known = words.agg(F.sum("trained").alias("n"), F.count(F.when(F.col("trained") > 0, 1)).alias("v")).first()
     n_train = (known.n or 0) + ends

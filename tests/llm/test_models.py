@@ -110,6 +110,42 @@ def test_sixth_byte_of_a_context_counts():
     assert seen[int.from_bytes(b"abcdefx", "big")] > np.log(0.6) and seen[int.from_bytes(b"zbcdefy", "big")] > np.log(0.6)
 
 
+def test_weighing_takes_bounded_memory_an_entry():
+    import tracemalloc
+
+    random = np.random.default_rng(6)
+    keys = np.unique(random.integers(0, 1 << 56, 100_000).astype(np.uint64) & ~np.uint64(0xFFFF00) | np.uint64(0x616200))
+    zero = np.zeros(0, int)
+    top = context_tree.Top(zero, zero, zero, zero, zero)
+    tracemalloc.start()
+    context_tree.log_probabilities(keys, np.ones(len(keys), np.int64), top)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak / len(keys) < 700
+
+
+def test_counts_of_a_suffix_are_one_row(spark, monkeypatch):
+    monkeypatch.setattr(context_tree, "SLICE", 500)
+    monkeypatch.setattr(context_tree, "MERGED", 50)
+    monkeypatch.setattr(context_tree, "GATHERED", 50)
+    texts = [(k, sentence(k, 60), k % 3 == 0) for k in range(20)] + [(20, None, False)]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string, held_out boolean").repartition(5)
+    rows = context_tree._counts(frame).toArrow()
+    assert rows.num_rows == len(set(rows.column("bucket").to_pylist()))
+    got = {}
+    for kind, *entries in context_tree._unpacked(rows.to_batches(), 100):
+        for key, total, trained in zip(*(e.tolist() for e in entries)):
+            assert (kind, key) not in got
+            got[kind, key] = (total, trained)
+    want = {}
+    for _, text, held_out in texts:
+        for kind, find in (("gram", context_tree.grams), ("word", context_tree.text_words)):
+            for key in find(pa.array([text], pa.string()))[0].tolist():
+                total, trained = want.get((kind, key), (0, 0))
+                want[kind, key] = (total + 1, trained + (not held_out))
+    assert got == want
+
+
 def test_probabilities_sum_to_one():
     values, _ = context_tree.grams(pa.array([sentence(3, 50)]))
     keys, trained = np.unique(values, return_counts=True)
