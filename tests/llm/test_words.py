@@ -51,3 +51,26 @@ def test_slices_hold_every_row():
     batch = pa.RecordBatch.from_pydict({"text": pa.array(TEXTS, pa.string()), "k": pa.array(range(len(TEXTS)))})
     for limit in (1, 50, 10**9):
         assert [k for part in W.text_slices(batch, limit=limit) for k in part.column("k").to_pylist()] == list(range(len(TEXTS)))
+
+
+def test_each_word_is_encoded_once():
+    """Words with and without commas and full stops share one call of the model."""
+    from types import SimpleNamespace
+
+    import public_tokenizers
+
+    from fabtrail.llm.words import WordEncoder
+
+    encoder = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer, asked = encoder._tokenizer, []
+
+    def tokenize(word):
+        asked.append(word)
+        return tokenizer.model.tokenize(word)
+
+    encoder._tokenizer = SimpleNamespace(model=SimpleNamespace(tokenize=tokenize), encode=tokenizer.encode)
+    texts = pa.array(["was, Was was. it É.", None, "so, so... wa,s it,. ., É it's"])
+    ids, bounds = encoder.encode(texts, 2)
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts.to_pylist()]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+    assert len(asked) == len(set(asked))
