@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,11 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 def _frequent_pairs(pairs: np.ndarray, most: int, least: int) -> np.ndarray:
     """Up to ``most`` distinct pairs that occur at least ``least`` times, most frequent first, ties by value."""
     ordered = np.sort(pairs)
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    counts = np.diff(np.concatenate([first, [len(ordered)]]))
-    often = counts >= least
-    values, counts = ordered[first[often]], counts[often]
+    # places that begin ``least`` equal pairs: a pair has as many of them as it has occurrences beyond least - 1
+    often = ordered[: max(len(ordered) - least + 1, 0)]
+    often = often[often == ordered[least - 1 :]]
+    first = np.flatnonzero(np.concatenate([[True], often[1:] != often[:-1]])[: len(often)])
+    values, counts = often[first], np.diff(np.append(first, len(often)))
     return values[np.lexsort((values, -counts))[:most]]
 
 
@@ -61,23 +63,29 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = PAIRS_PER_R
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        halves = np.empty((len(seq) - 1, 2), "<u4")
+        halves[:, 1], halves[:, 0] = seq[:-1], seq[1:]
+        pairs = halves.view("<u8").ravel()
         chosen = _frequent_pairs(pairs, per_round, least)
         if not len(chosen):
             break
-        slot = lambda p: ((p * _GOLDEN) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        slot = lambda p: ((p * _GOLDEN) >> np.uint64(64 - _TABLE_BITS)).view(np.int64)
         # pairs that share a slot with a more frequent one wait for a later round
         _, keep = np.unique(slot(chosen), return_index=True)
         chosen = chosen[np.sort(keep)]
-        table = np.full(1 << _TABLE_BITS, -1, np.int32)
-        table[slot(chosen)] = np.arange(len(chosen))
-        rule = table[slot(pairs)]
-        at = np.flatnonzero((rule >= 0) & (chosen[rule] == pairs))
+        taken = np.zeros(1 << _TABLE_BITS, bool)
+        rule_of = np.zeros(1 << _TABLE_BITS, np.uint32)
+        taken[slot(chosen)], rule_of[slot(chosen)] = True, np.arange(len(chosen))
+        slots = slot(pairs)
+        at = np.flatnonzero(taken[slots])
+        rule = rule_of[slots[at]]
+        own = chosen[rule] == pairs[at]
+        at, rule = at[own], rule[own]
         starts_run = np.concatenate([[True], np.diff(at) > 1])
-        run_start = at[np.flatnonzero(starts_run)][np.cumsum(starts_run) - 1]
-        at = at[(at - run_start) % 2 == 0]
-        seq = seq.copy()
-        seq[at] = top + rule[at].astype(np.uint32)
+        run_start = at[starts_run][np.cumsum(starts_run) - 1]
+        replaced = (at - run_start) & 1 == 0
+        at = at[replaced]
+        seq[at] = top + rule[replaced]
         stays = np.ones(len(seq), bool)
         stays[at + 1] = False
         seq = seq[stays]
@@ -158,7 +166,24 @@ class Shard:
         self.symbols = take("<u4", n_symbols)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.per, self.lowest)
+        return self._expanded(self.symbols)
+
+    @cached_property
+    def _of_rules(self) -> np.ndarray:
+        """The ids of all rules, one rule after the other."""
+        every = np.arange(self.lowest, self.lowest + len(self.rules))
+        return expand(every, self.rules, self.per, self.lowest).astype(np.uint32)
+
+    def _expanded(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids a run of symbols stands for, taken from those of the rules."""
+        table = np.concatenate([self._of_rules, symbols])
+        sizes, sources = np.ones(len(symbols), np.int64), np.arange(len(self._of_rules), len(table))
+        is_rule = symbols >= self.lowest
+        which = symbols[is_rule] - self.lowest
+        sizes[is_rule] = self.lengths[which]
+        sources[is_rule] = (np.cumsum(self.lengths, dtype=np.int64) - self.lengths)[which]
+        ends = np.cumsum(sizes)
+        return table[np.repeat(sources - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
 
     def span(self, start: int, n: int) -> np.ndarray:
         """Ids ``start`` to ``start + n`` of the shard; only the symbols that hold them are expanded."""
@@ -170,7 +195,7 @@ class Shard:
         first = int(np.searchsorted(ends, start, side="right"))
         last = int(np.searchsorted(ends, start + n, side="left"))
         before = int(ends[first - 1]) if first else 0
-        part = expand(self.symbols[first : last + 1], self.rules, self.per, self.lowest)
+        part = self._expanded(self.symbols[first : last + 1])
         return part[start - before : start - before + n]
 
     def document(self, number: int) -> np.ndarray:

@@ -128,3 +128,26 @@ def test_mixed_documents_are_whole(spark):
     texts = {i: t for i, t, _ in DOCUMENTS}
     rows = left.collect()
     assert rows and all(r.text == texts[r.doc_id] for r in rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 3000])
+def test_frequent_pairs_are_those_of_a_count(n):
+    pairs = np.random.default_rng(n).integers(0, 40, n).astype(np.uint64) ** np.uint64(3)
+    for least in (1, 2, 8, 70):
+        for most in (3, 100):
+            counts = defaultdict(int)
+            for p in pairs.tolist():
+                counts[p] += 1
+            want = sorted((p for p in counts if counts[p] >= least), key=lambda p: (-counts[p], p))[:most]
+            assert token_files._frequent_pairs(pairs, most, least).tolist() == want
+
+
+def test_rules_are_expanded_once_for_all_documents(monkeypatch):
+    ids = (np.random.default_rng(3).zipf(1.4, 20_000) % 300).astype(np.uint32)
+    shard = token_files.Shard(token_files.pack_shard(np.arange(200), np.zeros(200, bool), np.full(200, 100), ids))
+    calls, whole = [], token_files.expand
+    monkeypatch.setattr(token_files, "expand", lambda *a: calls.append(len(a[0])) or whole(*a))
+    got = [shard.document(k) for k in range(200)]
+    assert np.array_equal(np.concatenate(got), ids) and np.array_equal(shard.all_ids(), ids)
+    # only the rules go through their rounds, not the symbols
+    assert calls == [len(shard.rules)]

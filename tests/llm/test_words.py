@@ -74,3 +74,31 @@ def test_each_word_is_encoded_once():
     want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts.to_pylist()]
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
     assert len(asked) == len(set(asked))
+
+
+def test_words_with_any_punctuation_share_one_call():
+    """The letters of a word are encoded once whatever ASCII punctuation ends it, and each end once in a slice."""
+    import string
+    from types import SimpleNamespace
+
+    encoder = W.WordEncoder(PATH)
+    tokenizer, asked, whole = encoder._tokenizer, [], []
+
+    def tokenize(word):
+        asked.append(word)
+        return tokenizer.model.tokenize(word)
+
+    def encode(word, **options):
+        whole.append(word)
+        return tokenizer.encode(word, **options)
+
+    encoder._tokenizer = SimpleNamespace(model=SimpleNamespace(tokenize=tokenize), encode=encode)
+    ends = [*string.punctuation, "", "!!", "&&&", ",***", "'", "''", "'!", ".'", "<|", "|>", "<||>"]
+    texts = pa.array([" ".join(w + e for w in ("enach", "Übeñ") for e in ends), "enach$$$", None])
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts.to_pylist()]
+    for _ in range(2):
+        ids, bounds = encoder.encode(texts, 2)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+    # upper-case letters beyond ASCII are another word until the model lowers them
+    assert len(asked) == 2 and len(encoder._keys) == 2
+    assert set(whole) == set(ends + ["$$$"]) - {""} and len(whole) == 2 * len(set(whole))
