@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fabtrail.llm.words import hash_words, mix, text_slices
 from fabtrail.operators.ordering import lookup_join
-from fabtrail.session import stored
+from fabtrail.session import stored, stored_in_few
 
 #: a phrase needs so many occurrences in its language
 SUPPORT = 30
@@ -229,7 +229,7 @@ def locally_frequent(shards: DataFrame, shortest: int, longest: int, pairs: _Bit
 def _candidates(found: DataFrame, support: int) -> DataFrame:
     """Keys that may have the support: what was counted and what may have been held back."""
     sums = found.repartition("key").groupBy("key").agg(F.sum("extra").alias("extra"), F.max("slack").alias("slack"))
-    return stored(sums.where(F.col("extra") + F.col("slack") >= support).select("key"), "candidates")
+    return stored_in_few(sums.where(F.col("extra") + F.col("slack") >= support).select("key"), "candidates")
 
 
 def candidate_counts(shards: DataFrame, candidates: _Bits, longest: int) -> DataFrame:
@@ -314,7 +314,7 @@ def frequent_phrases(
         bits = short.unionByName(_candidates(locally_frequent(told, 3, longest, _Bits(short)), support))
     counted = candidate_counts(shards, _Bits(bits), longest)
     sums = counted.groupBy("lang", "phrase").agg(F.any_value("size").alias("size"), F.sum("a").alias("a"))
-    return stored(sums.where(F.col("a") >= support), "phrases"), totals
+    return stored_in_few(sums.where(F.col("a") >= support), "phrases"), totals
 
 
 def _lowest_cut(phrases: DataFrame) -> DataFrame:

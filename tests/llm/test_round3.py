@@ -11,6 +11,7 @@ from corpus import LONG, LOWER
 
 from pyspark.sql import functions as F
 
+from fabtrail import session
 from fabtrail.llm import centroids, collocations, nearest
 
 # -- centroid clustering ------------------------------------------------------------------------
@@ -269,3 +270,25 @@ def test_quality_learns_from_one_row_of_an_id(spark):
     often = quality.learn(docs, labels)
     x = quality.features(__import__("pyarrow").array(["some text", "of number 3", ""]))
     assert (once.score(x) == often.score(x)).all()
+
+
+def test_phrases_left_in_many_partitions_are_stored_in_few_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    many = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in many}
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for key, value in many.items():
+        spark.conf.set(key, value)
+    try:
+        phrases, _ = collocations.frequent_phrases(texts(spark, TEXTS), support=6)
+        brute = brute_collocations(TEXTS, 6, 4, 10**6)
+        assert {(r[0], r[2], r[3]) for r in brute} <= {(p.lang, p.phrase, p.a) for p in phrases.collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    for table in ("candidates", "phrases"):
+        folders = list(tmp_path.glob(f"shared/fabtrail/*/{table}-*"))
+        assert folders
+        for folder in folders:
+            assert 0 < len(list(folder.glob("part-*"))) <= spark.sparkContext.defaultParallelism
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
