@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fabtrail.session import stored
+from fabtrail.session import stored, stored_in_few
 
 #: bits of one bitmap of Spark's bitmap functions
 BITMAP_BITS = 32768
@@ -91,14 +91,15 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         ).withColumn("row", F.monotonically_increasing_id()),
         "digests",
     )
-    flagged = possibly_repeated(digests, filter_bits(digests.count()))
+    rows = digests.count()
+    flagged = possibly_repeated(digests, filter_bits(rows))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     suspects = flagged.where("again").drop("again")
     groups = suspects.groupBy("text_sha256").agg(
         F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size")
     )
     # stored, so that both sides of the join are shuffled anew and a large group's rows can be split
-    groups = stored(groups, "groups")
+    groups = stored_in_few(groups, "groups", rows)
     met = suspects.join(groups, "text_sha256").select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),

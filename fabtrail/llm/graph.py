@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fabtrail.session import stored
+from fabtrail.session import stored_in_few
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -31,13 +31,13 @@ def components(links: DataFrame) -> DataFrame:
     Steps are stored in the shared folder, so a lost executor costs one step.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = stored(edges, "links")
+    edges = stored_in_few(edges, "links", links.count())
     seen = None
     while True:
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
         seen = mark
-        edges = stored(_small_star(_large_star(edges)), "links")
+        edges = stored_in_few(_small_star(_large_star(edges)), "links", mark[0])
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component_id"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(roots)

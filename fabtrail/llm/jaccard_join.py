@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fabtrail.llm.graph import components
 from fabtrail.llm.words import hash_words, mix, owners, split_words, sums, text_slices
-from fabtrail.session import stored
+from fabtrail.session import stored, stored_in_few
 
 WORDS = 5
 
@@ -357,11 +357,11 @@ def _pairs(regions: DataFrame, similarity: int) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _by_size(live: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Small regions (with more than one member, not all of one ball) and large ones."""
+def _by_size(live: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Small regions (with more than one member, not all of one ball) and large ones, of at most ``most`` rows in all."""
     unlike = F.max(F.col("ball").isNull()) | (F.min("ball") != F.max("ball"))
     sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("size"), unlike.alias("open"))
-    sized = stored(live.join(sizes.where("size > 1 AND open"), "key").drop("open"), "regions")
+    sized = stored_in_few(live.join(sizes.where("size > 1 AND open"), "key").drop("open"), "regions", most)
     small = sized.where(F.col("size") <= LEAF).drop("size")
     return small, sized.where(F.col("size") > LEAF).drop("size")
 
@@ -385,7 +385,8 @@ def _first_pivots(windows: DataFrame, levels: np.ndarray) -> DataFrame:
         level = F.shiftrightunsigned("key", 56)
         crowded = windows.where(level >= HEAVY_LEVEL).dropDuplicates(["key", "cls"])
         order = F.struct((F.col("most") < F.col("n")).alias("larger"), "rank", "cls", "n")
-        first = stored(crowded.groupBy("key").agg(F.min(order).alias("first")).where("NOT first.larger"), "first-pivots")
+        first = crowded.groupBy("key").agg(F.min(order).alias("first")).where("NOT first.larger")
+        first = stored_in_few(first, "first-pivots", windows.count())
         # rows of a key of any size meet one row, so they can be split
         found = crowded.join(first, "key").where(F.col("cls") != F.col("first.cls"))
         found = found.select("key", "cls", "n", "rank", "most", F.col("first.cls").alias("pivot"), F.col("first.n").alias("n_pivot"))
@@ -439,8 +440,8 @@ def _pivots(live: DataFrame) -> DataFrame:
     )
 
 
-def _round(met: DataFrame, sets: DataFrame, similarity: int, number: int) -> tuple[DataFrame, DataFrame]:
-    """Members beside a pivot of each region: the links found, and what must still meet in each region.
+def _round(met: DataFrame, sets: DataFrame, similarity: int, number: int) -> tuple[DataFrame, DataFrame, int]:
+    """Members beside a pivot of each region: the links found, what must still meet in each region, and the number of members.
 
     The ball is one component from now on, with all earlier balls it shares a member with: its members need not meet each
     other. ``ball`` is the number of the round that made it, null outside. A member within the radius stays only while a member of
@@ -451,7 +452,9 @@ def _round(met: DataFrame, sets: DataFrame, similarity: int, number: int) -> tup
     # beyond twice the radius, which sizes alone may tell, the distance does not matter
     within = F.least("n", "n_pivot") >= (1 - 2 * radius) * F.greatest("n", "n_pivot") - 1e-9
     pairs = met.where(within).select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
-    measured = stored(_measured(pairs, sets), "distances")
+    # neither the pairs nor the rows told nor what is left are more than the members
+    most = met.count()
+    measured = stored_in_few(_measured(pairs, sets), "distances", most)
     links = measured.where(_is_link(similarity)).select("a", "b")
     distance = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
     # only what is at most twice the radius away matters here, and it is little
@@ -459,7 +462,8 @@ def _round(met: DataFrame, sets: DataFrame, similarity: int, number: int) -> tup
         F.col("a").alias("cls"), F.col("b").alias("pivot"), distance.alias("d"), _is_link(similarity).alias("linked")
     ).where(F.col("linked") | (F.col("d") <= 2 * radius + 1e-9))
     told = met.join(near, ["cls", "pivot"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    told = stored(told.select("key", "cls", "n", "rank", "most", "ball", "seen", "ball_pivot", "d", "linked"), "told")
+    told = told.select("key", "cls", "n", "rank", "most", "ball", "seen", "ball_pivot", "d", "linked")
+    told = stored_in_few(told, "told", most)
     # at most one row for each round so far and one for members of no ball
     by_ball = told.groupBy("key", "ball").agg(
         (F.max("linked") | F.coalesce(F.max("ball_pivot") == F.col("ball"), F.lit(False))).alias("joined"),
@@ -480,7 +484,7 @@ def _round(met: DataFrame, sets: DataFrame, similarity: int, number: int) -> tup
     return links, rest.select(
         "key", "cls", "n", "rank", "most", F.when(mine, F.lit(number)).otherwise(F.col("ball")).alias("ball"),
         F.array_append("seen", F.least(F.coalesce("d", far), far).cast("float")).alias("seen"),
-    )
+    ), most
 
 
 def class_links(docs: DataFrame, rows: DataFrame, sketches: DataFrame, n: int, similarity: int) -> DataFrame:
@@ -488,27 +492,32 @@ def class_links(docs: DataFrame, rows: DataFrame, sketches: DataFrame, n: int, s
     spark: SparkSession = docs.sparkSession
     levels = _levels(sketches)
     held = spark.sparkContext.broadcast(levels.tobytes())
-    met = stored(_first_pivots(_prefixes(docs, held, n, similarity), levels), "met")
+    size = F.col("n_shingles")
+    windows = rows.agg(F.sum(size - F.ceil(similarity * size / 100) + 1).cast("bigint")).first()[0] or 0
+    met = stored_in_few(_first_pivots(_prefixes(docs, held, n, similarity), levels), "met", windows)
     classes = met.select("cls").unionByName(met.select(F.col("pivot").alias("cls")))
     # one document stands for each class
     chosen = rows.groupBy("cls").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"))
     wanted = spark.sparkContext.broadcast(_class_filter(chosen.join(classes.distinct(), "cls", "left_semi")))
     sets = stored(_sets(docs, wanted, n), "sets")
-    found, rest = _round(met, sets, similarity, 0)
-    links, todo = [found], []
-    small, large = _by_size(rest)
+    found, rest, most = _round(met, sets, similarity, 0)
+    links, todo, measured = [found], [], most
+    small, large = _by_size(rest, most)
     todo.append(small)
     for number in range(1, MOST_ROUNDS + 1):
-        if large.isEmpty():
+        left = large.count()
+        if not left:
             break
-        found, rest = _round(stored(_pivots(large), "met"), sets, similarity, number)
+        found, rest, most = _round(stored_in_few(_pivots(large), "met", left), sets, similarity, number)
         links.append(found)
-        small, large = _by_size(rest)
+        measured += most
+        small, large = _by_size(rest, most)
         todo.append(small)
     regions = [leaf.withColumn("region", F.struct(F.lit(number).alias("round"), "key")) for number, leaf in enumerate([*todo, large])]
-    every = stored(_pairs(reduce(DataFrame.unionByName, regions), similarity), "pairs")
+    # of pairs no near bound is known
+    every = stored_in_few(_pairs(reduce(DataFrame.unionByName, regions), similarity), "pairs")
     links.append(_measured(every, sets).where(_is_link(similarity)).select("a", "b"))
-    return stored(reduce(DataFrame.unionByName, links).distinct(), "class-links")
+    return stored_in_few(reduce(DataFrame.unionByName, links).distinct(), "class-links", measured + every.count())
 
 
 def jaccard_components(docs: DataFrame, n: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from fabtrail.llm.words import text_slices, word_encoder
-from fabtrail.session import stored
+from fabtrail.session import stored, stored_in_few
 
 CAPACITY = 4096
 
@@ -115,8 +115,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
     a doc_id are documents of their own. Other columns are not read. Sequence ids are unique, not dense.
     """
     pieces = stored(pieces_of(docs, tokenizer, end_id, capacity), "pieces")
-    slices = min(MOST_SLICES, max(1, pieces.count() // SLICE_PIECES))
-    ranked = stored(_numbered(pieces, slices), "ranked")
+    n = pieces.count()
+    slices = min(MOST_SLICES, max(1, n // SLICE_PIECES))
+    ranked = stored_in_few(_numbered(pieces, slices), "ranked", n)
     size = F.col("class")
     full = F.col("rank") < F.floor(F.col("in_class") / size) * size
     # class and bin number make the id; a class has fewer than 2 ** 40 bins

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from corpus import DOCUMENTS, SPACES, documents, lower_words, sentence
 
+from fabtrail import session
 from fabtrail.llm import exact_dedup, graph, jaccard_join
 
 
@@ -153,6 +154,33 @@ def test_drop_near_copies(spark):
     assert Counter(r.doc_id for r in left.collect()) == Counter([1, 3, 4, 5, 6, 8, 10, 13, 14, 14, 15])
 
 
+def test_few_rows_in_many_partitions_are_stored_in_few_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    monkeypatch.setattr(jaccard_join, "LEAF", 3)
+    base = sentence(3, 90).split()
+    rows = [(k, " ".join([f"x{j}" for j in range(k // 2)] + base[k // 2 :] + [f"end{k % 2}"]), "a") for k in range(60)]
+    rows += [(100 + k, sentence(77, 40) + f" other{k} " + sentence(200 + k, 6), "b") for k in range(40)]
+    rows += [(200 + k, t, s) for k, t, s in rows]
+    many = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in many}
+    for key, value in many.items():
+        spark.conf.set(key, value)
+    try:
+        docs = documents(spark, rows)
+        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+        kept = {r.doc_id for r in exact_dedup.drop_repeats(docs).collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got == _components(_sets(rows), 80)
+    assert kept == {k for k, _, _ in rows if k < 200}
+    for table in ("met", "distances", "told", "regions", "pairs", "class-links", "links", "groups"):
+        folders = list(tmp_path.glob(f"shared/fabtrail/*/{table}-*"))
+        assert folders
+        for folder in folders:
+            assert len(list(folder.glob("part-*"))) <= spark.sparkContext.defaultParallelism
+
+
 def test_components_of_a_path_and_a_star(spark):
     pairs = [(k, k + 1) for k in range(0, 40)] + [(1000, 1000 + k) for k in range(1, 50)] + [(7, 7), (2000, 2000)]
     got = {r.id: r.component_id for r in graph.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
