@@ -6,7 +6,7 @@ completely at that local support, and what is frequent in any shard is a candida
 counts, together with the most that shards may have held back, do not reach the support, the phrase is dropped before it is counted
 again. Words and pairs are mined first, then longer phrases whose pairs all are candidates.
 
-The second pass counts all candidates in all shards. Which phrases are candidates is told by a bitmap of bounded size (more candidates
+The second pass counts all candidates in all shards. Which phrases are candidates is told by a Bloom filter of bounded size (more candidates
 than it serves are false alarms, never losses); the counts are added up by the phrase's text, so they are exact. Scores, cuts and the
 cover by longer phrases are joins of the counted phrases.
 """
@@ -14,11 +14,12 @@ cover by longer phrases are joins of the counted phrases.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fabtrail.llm.words import hash_words, mix, text_slices
 from fabtrail.operators.ordering import lookup_join
@@ -45,15 +46,21 @@ HELD_BYTES = 16 << 20
 #: keys that a task adds up before it hands them on
 HELD_KEYS = 1 << 18
 
-#: candidates that a task counts before it hands them on, with their texts (about 100 MB)
+#: shards that are read and handed to Python at once
+BATCH_SHARDS = 8
+
+#: candidates that a task counts before it hands them on, with their texts (about 80 MB)
 HELD_PHRASES = 1 << 20
 
 #: languages whose local support is raised above one; the largest ones
 RAISED_LANGS = 1000
 
-#: bits of the candidates' bitmap: at least so many a candidate, 64 MB at most
-BITS_PER_CANDIDATE = 64
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
+#: bits of the candidates' filter: at least so many a candidate, 32 MB at most
+BITS_PER_CANDIDATE = 16
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+
+#: where a key's four bits in a word of the filter are taken from; the word's place lies between the first and the second
+MARK_SHIFTS = 0, 46, 52, 58
 
 #: fixed values: what ends a piece, and what parts its words
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -137,8 +144,22 @@ def shards_of(docs: DataFrame, shard_bytes: int) -> DataFrame:
     return source.mapInArrow(run, SHARD_SCHEMA)
 
 
+@contextmanager
+def _few_shards_at_once(spark: SparkSession) -> Iterator[None]:
+    """Readers and Python workers take ``BATCH_SHARDS`` rows at once: the usual thousands of rows would be all shards of a task."""
+    names = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, str(BATCH_SHARDS))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 class _Bits:
-    """A set of keys as a bitmap in which false alarms occur, losses never."""
+    """A set of keys as a Bloom filter, all bits of a key in one word: false alarms occur, losses never."""
 
     def __init__(self, keys: DataFrame):
         """``keys`` has a column ``key`` of mixed 64-bit integers."""
@@ -147,7 +168,7 @@ class _Bits:
         slot = F.col("key").bitwiseAND(F.lit(bits - 1))
         marks = keys.select(
             F.shiftright(slot, 6).alias("place"),
-            F.expr(f"shiftleft(1L, cast((key & {bits - 1}L) & 63L as int))").alias("mark"),
+            F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned(key, {k}) & 63L as int))" for k in MARK_SHIFTS)).alias("mark"),
         )
         found = marks.groupBy("place").agg(F.bit_or("mark").alias("mark")).toArrow()
         table = np.zeros(bits // 64, np.uint64)
@@ -158,7 +179,10 @@ class _Bits:
     def hold(self, keys: np.ndarray) -> np.ndarray:
         slot = keys & self._last
         word = self._table.value[(slot >> np.uint64(6)).astype(np.int64)]
-        return (word >> (slot & np.uint64(63))) & np.uint64(1) == 1
+        held = np.ones(len(keys), bool)
+        for k in MARK_SHIFTS:
+            held &= (word >> ((keys >> np.uint64(k)) & np.uint64(63))) & np.uint64(1) == 1
+        return held
 
 
 def _phrase_keys(lang: str, words: pa.Array, codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -239,8 +263,7 @@ def candidate_counts(shards: DataFrame, candidates: _Bits, longest: int) -> Data
         def __init__(self):
             self.keys, self.counts, self.text_at = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
             self.texts: list[pa.Array] = []
-            self.langs: list[pa.Array] = []
-            self.sizes: list[np.ndarray] = []
+            self.kinds: list[tuple[str, int]] = []  # language and size
             self.n_texts = 0
 
         def add(self, lang: str, words: pa.Array, codes: np.ndarray, size: int, keys: np.ndarray, places: np.ndarray) -> None:
@@ -256,8 +279,7 @@ def candidate_counts(shards: DataFrame, candidates: _Bits, longest: int) -> Data
             begin = places[first[new]]
             parts = [words.take(pa.array(codes[begin + k])) for k in range(size)]
             self.texts.append(pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0])
-            self.langs.append(pa.array([lang] * len(begin), pa.string()))
-            self.sizes.append(np.full(len(begin), size, np.int32))
+            self.kinds.append((lang, size))
             self.text_at = np.insert(self.text_at, at[new], self.n_texts + np.arange(len(begin)))
             self.counts = np.insert(self.counts, at[new], counts[new])
             self.keys = np.insert(self.keys, at[new], found[new])
@@ -267,11 +289,13 @@ def candidate_counts(shards: DataFrame, candidates: _Bits, longest: int) -> Data
             counts = np.zeros(self.n_texts, np.int64)
             counts[self.text_at] = self.counts
             at = 0
-            for texts, langs, sizes in zip(self.texts, self.langs, self.sizes):
+            for texts, (lang, size) in zip(self.texts, self.kinds):
+                n = len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [langs, texts, pa.array(sizes), pa.array(counts[at : at + len(texts)])], ["lang", "phrase", "size", "a"]
+                    [pa.repeat(lang, n), texts, pa.repeat(pa.scalar(size, pa.int32()), n), pa.array(counts[at : at + n])],
+                    ["lang", "phrase", "size", "a"],
                 )
-                at += len(texts)
+                at += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Held()
@@ -288,7 +312,10 @@ def candidate_counts(shards: DataFrame, candidates: _Bits, longest: int) -> Data
                     held = Held()
         yield from held.rows()
 
-    return shards.mapInArrow(run, "lang string, phrase string, size int, a bigint")
+    # what a task adds up needs no shuffle: tasks take two parts of the scan where there are enough of them
+    cores = shards.sparkSession.sparkContext.defaultParallelism
+    few = shards.coalesce(max(2 * cores, shards.rdd.getNumPartitions() // 2))
+    return few.mapInArrow(run, "lang string, phrase string, size int, a bigint")
 
 
 def frequent_phrases(
@@ -308,13 +335,17 @@ def frequent_phrases(
         "lang", "words", "codes",
         F.coalesce(least, F.lit(1)).alias("least"), F.coalesce("slack", F.lit(0)).cast("bigint").alias("slack"),
     )
-    short = _candidates(locally_frequent(told, 1, 2), support)
+    with _few_shards_at_once(docs.sparkSession):
+        short = _candidates(locally_frequent(told, 1, 2), support)
     bits = short
     if longest > 2:
-        bits = short.unionByName(_candidates(locally_frequent(told, 3, longest, _Bits(short)), support))
+        pairs = _Bits(short)
+        with _few_shards_at_once(docs.sparkSession):
+            bits = short.unionByName(_candidates(locally_frequent(told, 3, longest, pairs), support))
     counted = candidate_counts(shards, _Bits(bits), longest)
     sums = counted.groupBy("lang", "phrase").agg(F.any_value("size").alias("size"), F.sum("a").alias("a"))
-    return stored_in_few(sums.where(F.col("a") >= support), "phrases"), totals
+    with _few_shards_at_once(docs.sparkSession):
+        return stored_in_few(sums.where(F.col("a") >= support), "phrases"), totals
 
 
 def _lowest_cut(phrases: DataFrame) -> DataFrame:

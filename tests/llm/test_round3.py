@@ -292,3 +292,29 @@ def test_phrases_left_in_many_partitions_are_stored_in_few_files(spark, monkeypa
         for folder in folders:
             assert 0 < len(list(folder.glob("part-*"))) <= spark.sparkContext.defaultParallelism
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+
+
+def test_filter_of_candidates_is_small_and_loses_none(spark):
+    keys = spark.range(100_000).select(F.xxhash64("id").alias("key"))
+    bits = collocations._Bits(keys)
+    own = keys.toArrow()["key"].to_numpy().view(np.uint64)
+    others = spark.range(100_000, 300_000).select(F.xxhash64("id").alias("key")).toArrow()["key"].to_numpy().view(np.uint64)
+    assert bits.hold(own).all()
+    # at most four bytes for each key, whatever their number, and few false alarms
+    assert bits._table.value.nbytes <= 4 * len(own)
+    assert bits.hold(others).mean() < 0.01
+
+
+def test_shards_come_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    with collocations._few_shards_at_once(spark):
+        most = spark.range(0, 100, 1, 1).mapInArrow(sizes, "n bigint").agg(F.max("n")).first()[0]
+    assert most == collocations.BATCH_SHARDS and spark.conf.get(name) == before
