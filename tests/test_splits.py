@@ -121,3 +121,24 @@ def test_quoted_line_ends_do_not_depend_on_splits(spark, tmp_path, size):
 def test_splits_beyond_the_broadcast(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(splits, "MOST_BROADCAST_SPLITS", 0)
     test_json_arrays_do_not_depend_on_splits(spark, tmp_path, "64")
+
+
+def test_one_parser_takes_many_records(monkeypatch):
+    calls = []
+    whole = ElementTree.fromstring
+    monkeypatch.setattr(ElementTree, "fromstring", lambda text: calls.append(text) or whole(text))
+    good = [f"<row id='{k}'><a>{k}</a></row>" for k in range(50)]
+    got = list(ST._xml_records("<r xmlns:z='urn:z'>", "r", good))
+    assert [(k, dict((n, v) for n, v, _ in fields)) for k, fields, _ in got] == [(k, {"id": str(k), "a": str(k)}) for k in range(50)]
+    assert len(calls) == 1
+    # records that are not well-formed alone are told one by one, also where they would be so together
+    got = list(ST._xml_records("<r>", "r", [good[0], "<a>", "</a><b/><c/>", good[1]]))
+    assert [(k, error is None) for k, _, error in got] == [(0, True), (1, False), (2, False), (3, True)]
+
+
+def test_pieces_carry_no_paths(spark, tmp_path):
+    (tmp_path / "a b+%20.xml").write_text("<r><row><a>1</a></row></r>")
+    pieces = splits._pieces(spark, [str(tmp_path)], splits.Xml())
+    assert "string" not in dict(pieces.dtypes).values()
+    rows = ST.read_xml(list_files(spark, str(tmp_path))).collect()
+    assert [(r.source_filename, r.entries[0].value) for r in rows] == [("a b+%20.xml", "1")]
