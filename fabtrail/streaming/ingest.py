@@ -39,18 +39,30 @@ def with_source(messages: DataFrame) -> DataFrame:
     ).withColumn("admitted", admit(F.col("source_filename"), F.col("payload")))
 
 
+def opened(messages: DataFrame) -> DataFrame:
+    """Messages with their source and, in the place of the payload, the texts of their ``objects``; null where not admitted.
+
+    Made to be stored where both the records and the warnings of messages are wanted.
+    """
+    sourced = barrier(with_source(messages))
+    objects = F.when(F.col("admitted"), object_texts(F.col("content")))
+    return sourced.withColumn("objects", objects).drop("payload", "content")
+
+
 def message_records(messages: DataFrame) -> DataFrame:
     """One row of ``entries`` per object in an admitted message."""
-    kept = [c for c in messages.columns if c not in ("payload", "content", "admitted", "row")]
+    made = ("payload", "content", "objects", "admitted", "row", "topic_tool", "source_filename", "source_format")
+    kept = [c for c in messages.columns if c not in made]
+    is_open = "objects" in messages.columns
     parsed = (
-        with_source(messages)
+        (messages if is_open else with_source(messages))
         .where("admitted")
         .select(
             *kept,
             "topic_tool",
             "source_filename",
             "source_format",
-            F.posexplode(object_texts(F.col("content"))).alias("row", "_object"),
+            F.posexplode("objects" if is_open else object_texts(F.col("content"))).alias("row", "_object"),
         )
         .withColumn("row", F.col("row").cast("bigint"))
         .withColumn("entries", E.json_entries(F.col("_object")))
@@ -87,14 +99,14 @@ def message_logs(messages: DataFrame, ingest_ts: str) -> DataFrame:
 
 def message_warnings(messages: DataFrame) -> DataFrame:
     """Messages the guard rejects, and messages without a record."""
-    sourced = with_source(messages)
-    objects = F.filter(
-        object_texts(F.col("content")), lambda o: E.object_entries(o).isNotNull()
-    )
+    sourced = messages if "objects" in messages.columns else opened(messages)
+    # an object whose members can be read
+    found = F.exists("objects", lambda o: F.from_json(o, "map<string,string>").isNotNull())
     text = F.when(
         ~F.col("admitted"), F.concat(F.lit("Invalid file format: "), F.col("source_filename"))
-    ).when(F.size(objects) == 0, F.concat(F.lit("No records extracted from "), F.col("topic")))
-    return warning(sourced.withColumn("_text", text).where(F.col("_text").isNotNull()), F.col("_text"))
+    ).when(~F.coalesce(found, F.lit(False)), F.concat(F.lit("No records extracted from "), F.col("topic")))
+    told = barrier(sourced.withColumn("_text", text))
+    return warning(told.where(F.col("_text").isNotNull()), F.col("_text"))
 
 
 def _keyed(batch: DataFrame, batch_id: int) -> DataFrame:
@@ -130,7 +142,8 @@ def stream_ingest(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         kept = [c for c in ("topic", "payload", "partition", "offset") if c in batch.columns]
-        messages = stored(_keyed(stored(batch.select(*kept), "batch"), batch_id), "messages")
+        # the guard and the search for objects run once, for the records and the warnings
+        messages = stored(opened(_keyed(stored(batch.select(*kept), "batch"), batch_id)), "messages")
         # ids come from the message's topic, which names the file
         rows = message_logs(messages, ingest_ts or run_timestamp())
         store.append_logs(store.with_templates(stored(rows, "parsed")) if mine else rows, within_files=True)

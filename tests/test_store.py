@@ -276,3 +276,26 @@ def test_packing_that_breaks_off_is_finished(spark, store, tmp_path, step):
     assert put is LogStore._put_in_place and stored_rows(store) == before
     store.pack_files("logs")
     assert stored_rows(store) == before and len(parts(tmp_path)) == len(files) - 6
+
+
+def test_guard_of_stored_messages_runs_once(spark):
+    from fabtrail.streaming import ingest as M
+
+    rows = [
+        ("fab/tool_logs/T-1", b'[{"tool_id": "T-1", "severity": "INFO", "message": "pressure"}, 1]'),
+        ("fab/tool_logs/T-2", b'{"tool_id": "T-2", "timestamp": "2024-06-01T00:00:00", "message": "wafer"}'),
+        ("short", b"hello there"),
+        ("fab/tool_logs/T-3", b'[1, 2] tool_id wafer pressure'),
+        ("fab/tool_logs/T-4", None),
+    ]
+    messages = spark.createDataFrame(rows, "topic string, payload binary")
+    opened = M.opened(messages)
+    assert "payload" not in opened.columns
+    show = lambda frame: sorted(map(str, frame.drop("id", "row").collect()))
+    assert show(M.message_warnings(opened)) == show(M.message_warnings(messages))
+    at = "2024-06-01T00:00:00"
+    assert show(M.message_logs(opened, at)) == show(M.message_logs(messages, at))
+    # what is stored needs neither the guard nor the search for objects again
+    again = spark.createDataFrame(opened.collect(), opened.schema)
+    for frame in (M.message_warnings(again), M.message_records(again)):
+        assert "0x[0-9a-fA-F]+" not in frame._jdf.queryExecution().optimizedPlan().toString()
